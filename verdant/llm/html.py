@@ -2,7 +2,7 @@
 
 A page becomes leaf blocks in page order, each with its path from the root. Text length and punctuation are summed for each
 path, smoothed over the page, fused, and paths over a share of the mean are content. Regions that never hold the article
-(menus, forms, adverts, comments ...) are left out before; where the page marks its article, blocks outside it are out, too.
+(menus, forms, adverts, comments ...) are left out before; the page's own mark of its article raises the paths under it.
 
 Null or empty html: empty text. Unclosed and stray tags: a block tag ends the paragraph that is open; stray end tags are ignored.
 """
@@ -49,6 +49,9 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
         tag = name[2].lower()
         if tag in INLINE:
             continue
+        if tag == "br":
+            parts.append(" ")
+            continue
         flush()
         if name[1]:
             if any(t == tag for t, _, _ in stack):
@@ -69,11 +72,7 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
 def extract(page: str | None, share: float = 0.1) -> str:
     if not page:
         return ""
-    found = blocks(page)
-    inside = [b for b in found if not b[2]]
-    if any(b[3] for b in inside):
-        return "\n".join(b[1] for b in inside if b[3])
-    # no article is marked: ratios of text and punctuation for each path
+    inside = [b for b in blocks(page) if not b[2]]
     size: dict[str, list[float]] = {}
     for path, text, _, _ in inside:
         s = size.setdefault(path, [0.0, 0.0, 0.0])
@@ -82,13 +81,16 @@ def extract(page: str | None, share: float = 0.1) -> str:
         s[2] += 1
     ratio = {p: (n / k) * (1 + c / k) for p, (n, c, k) in size.items()}
     each = [ratio[b[0]] for b in inside]
-    smooth = [sum(each[max(0, i - 1) : i + 2]) / len(each[max(0, i - 1) : i + 2]) for i in range(len(each))]
+    smooth = [sum(w) / len(w) for w in (each[max(0, i - 1) : i + 2] for i in range(len(each)))]
     fused: dict[str, list[float]] = {}
     for (path, *_), a, b in zip(inside, each, smooth):
         fused.setdefault(path, []).append((a * b) ** 0.5)
     score = {p: sum(v) / len(v) for p, v in fused.items()}
-    least = share * max(score.values(), default=0)
-    return "\n".join(b[1] for b in inside if score[b[0]] >= least or re.search(r"(^|/)(p|h[1-6])$", b[0]))
+    # a path under the page's own article mark gets the mean on top, so that short headings of the article stay
+    mean = sum(score.values()) / max(len(score), 1)
+    marked = {b[0] for b in inside if b[3]}
+    least = mean if marked else share * mean
+    return "\n".join(b[1] for b in inside if score[b[0]] + (mean if b[0] in marked else 0) >= least)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
