@@ -39,7 +39,7 @@ def fold(text: str) -> str:
     if any(c in t for c in DIGITS):
         words = t.split(" ")
         for i, w in enumerate(words):
-            if any(c in w for c in DIGITS) and sum(c.isalpha() for c in w) * 2 >= sum(c.isalnum() or c in "@$" for c in w):
+            if any(c in w for c in DIGITS) and sum(c.isalpha() for c in w) * 3 >= sum(c.isalnum() or c in "@$" for c in w):
                 words[i] = "".join(DIGITS.get(c, c) for c in w)
         t = " ".join(words)
     return t
