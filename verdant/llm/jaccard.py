@@ -47,7 +47,7 @@ class Shingler:
         if len(self.known) > self.keep:
             self.known.clear()
         known = self.known
-        for w in set(words) - known.keys():
+        for w in [w for w in words if w not in known]:
             known[w] = xxhash.xxh64_intdigest(w)
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         k = min(self.size, len(h))
@@ -63,12 +63,10 @@ def _sets(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sh, hist = Shingler(), np.zeros(BUCKETS, np.int64)
         for b in batches:
-            rows = []
-            for i, t in zip(b["doc_id"], b["text"]):
-                s = sh(t)
-                hist += np.bincount((s % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-                rows.append((i, len(s), xxhash.xxh3_128_digest(s.tobytes())))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "fp"])
+            sets = [sh(t) for t in b["text"]]
+            if sets:
+                hist += np.bincount((np.concatenate(sets) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "n": [len(s) for s in sets], "fp": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]})
         yield pd.DataFrame({"doc_id": pd.array([None] * 64, "Int64"), "n": range(64), "fp": [x.tobytes() for x in np.split(hist, 64)]})
 
     return docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).mapInPandas(run, "doc_id bigint, n bigint, fp binary")
@@ -91,7 +89,7 @@ def prefixes(docs: DataFrame, hist: np.ndarray, share: int = SHARE) -> DataFrame
         mean = max(hist.mean(), 1.0)
         crowded = hist > 2 * mean + 50
         for b in batches:
-            out = []
+            picks, of = [], []
             for i, t in zip(b["doc_id"], b["text"]):
                 s = sh(t)
                 n = len(s)
@@ -102,10 +100,12 @@ def prefixes(docs: DataFrame, hist: np.ndarray, share: int = SHARE) -> DataFrame
                 spare = n - -(-share * n // 100)
                 cost = np.maximum(hist[at[order[: spare + 1]]] - mean, 0).sum()
                 more = int(np.clip(1 + np.log2(1 + cost / (16 * mean)), 1, max(1, min(6, n - spare))))
-                pick = s[order[: spare + more]].view(np.int64)
-                out.append(pd.DataFrame({"token": pick, "doc_id": i, "n": n, "l": more}))
-            if out:
-                yield pd.concat(out)
+                picks.append(s[order[: spare + more]].view(np.int64))
+                of.append((i, n, more))
+            if picks:
+                sizes = [len(x) for x in picks]
+                i, n, more = (np.repeat(np.array(x), sizes) for x in zip(*of))
+                yield pd.DataFrame({"token": np.concatenate(picks), "doc_id": i, "n": n, "l": more})
 
     return docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).mapInPandas(run, "token bigint, doc_id bigint, n int, l int")
 

@@ -139,7 +139,7 @@ def predict(docs: DataFrame, models: Models | None, reject: float = 0.5, slope:
             split = [WORDS.findall(t.lower()) if t else [] for t in b["text"]]
             if len(known) > 500_000:
                 known, table, sizes = {}, table[:0], sizes[:0]
-            new = list({w for ws in split for w in ws} - known.keys())
+            new = list({w for ws in split for w in ws if w not in known})
             if new and m:
                 known.update(zip(new, range(len(known), len(known) + len(new))))
                 nats, chars = m.nats(new)
