@@ -2,10 +2,14 @@
 
 Shingle hashes have one global order: hashes in crowded buckets of a histogram over all documents come last, then by value.
 A document of n shingles that needs t = ceil(0.8 n) in common has a base prefix of n - t + 1; by the estimated cost of its
-candidates (histogram counts along the prefix) it is lengthened to n - t + l, and a pair then must share min(l, l') prefix
-shingles. Prefixes meet in a join; first each prefix shingle's members are verified against its smallest member, then only
-pairs of different components remain, so groups of copies never make all their pairs. Every link between different texts is
-either verified or lies inside one component. Equal sets form a class before that.
+candidates (histogram counts along the prefix) it is lengthened to n - t + l. Candidates share a token of both base prefixes,
+and a pair must share min(l, l') tokens of the long prefixes before it is verified. Equal sets form a class before that.
+
+First each token's members are verified against its smallest member. Then only pairs of different components remain. Tokens of
+few members join into pairs. The members of a token of many are cut into blocks of bounded weight, and each two blocks meet in
+one small group that counts all their common shingles at once, as a matrix product of 0/1 rows; blocks of one component
+do not meet. So no group of copies makes rows for its pairs, no task holds a whole group, and every link is verified or lies
+inside one component.
 
 Null or wordless text: empty set, its own component. Fewer words than a shingle: the whole sequence is the one shingle.
 Repeated rows share a class. Empty table: no rows. Components are named by their smallest doc_id.
@@ -26,6 +30,9 @@ from .common import ASCII_LOWER, WORD, cut
 
 SIZE, SHARE = 5, 80  # words of a shingle; per cent
 BUCKETS = 1 << 16
+FEW = 16  # members of a token that join into pairs
+BLOCK = 100_000  # weight of a block: shingles, and MEMBER for each set
+MEMBER = 100
 _WORD = re.compile(WORD)
 
 
@@ -81,7 +88,7 @@ def _histogram(sets: DataFrame) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, hist: np.ndarray, share: int = SHARE) -> DataFrame:
-    """(token, doc_id, n, l) of each document's prefix."""
+    """(token, doc_id, n, l, base) of each document's prefix; base marks the part that is not lengthened."""
     shared = docs.sparkSession.sparkContext.broadcast(hist)  # BUCKETS numbers
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -105,31 +112,109 @@ def prefixes(docs: DataFrame, hist: np.ndarray, share: int = SHARE) -> DataFrame
             if picks:
                 sizes = [len(x) for x in picks]
                 i, n, more = (np.repeat(np.array(x), sizes) for x in zip(*of))
-                yield pd.DataFrame({"token": np.concatenate(picks), "doc_id": i, "n": n, "l": more})
+                base = np.concatenate([np.arange(k) <= k - m for k, m in zip(sizes, (x[2] for x in of))])
+                yield pd.DataFrame({"token": np.concatenate(picks), "doc_id": i, "n": n, "l": more, "base": base})
+
+    return docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).mapInPandas(run, "token bigint, doc_id bigint, n int, l int, base boolean")
+
+
+def shingles(texts: DataFrame) -> DataFrame:
+    """v, s: the sorted hashes of each document's set."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sh = Shingler()
+        for b in batches:
+            yield pd.DataFrame({"v": b["doc_id"], "s": [sh(t).tobytes() for t in b["text"]]})
 
-    return docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).mapInPandas(run, "token bigint, doc_id bigint, n int, l int")
+    return texts.select("doc_id", "text").mapInPandas(run, "v bigint, s binary")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, share: int = SHARE) -> DataFrame:
-    """The pairs (a, b) whose sets share at least the given per cent of their union."""
+def verify(pairs: DataFrame, prefix: DataFrame, sets: DataFrame, share: int = SHARE) -> DataFrame:
+    """The pairs (a, b) that share enough prefix tokens, and then at least the given per cent of their union."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sh, kept = Shingler(), {}
         for b in batches:
             good = []
-            for a, x, y in zip(b["a"], b["ta"], b["tb"]):
-                if a not in kept:
-                    if len(kept) > 50:
-                        kept.clear()
-                    kept[a] = sh(x)
-                s, t = kept[a], sh(y)
+            for x, y in zip(b["sa"], b["sb"]):
+                s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 good.append(100 * both >= share * (len(s) + len(t) - both))
             yield b.loc[good, ["a", "b"]]
 
-    t = texts.select("doc_id", "text")
-    j = pairs.join(t.toDF("b", "tb"), "b").join(t.toDF("a", "ta"), "a")
-    return j.select("a", "b", "ta", "tb").mapInPandas(run, "a bigint, b bigint")
+    j = pairs.join(prefix.toDF("a", "la", "pa"), "a").join(prefix.toDF("b", "lb", "pb"), "b")
+    j = j.where(F.size(F.array_intersect("pa", "pb")) >= F.least("la", "lb")).select("a", "b")
+    j = j.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
+    return j.select("a", "b", "sa", "sb").mapInPandas(run, "a bigint, b bigint")
+
+
+def common(s: list[np.ndarray], t: list[np.ndarray], width: int = 4096) -> np.ndarray:
+    """Sizes of the intersections of all sets of s with all of t."""
+    out = np.zeros((len(s), len(t)), np.float32)
+    u, v = np.concatenate(s), np.concatenate(t)
+    both = np.intersect1d(u, v)
+
+    def places(x: np.ndarray, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        at = np.minimum(np.searchsorted(both, x), len(both) - 1)
+        hit = both[at] == x
+        at, row = at[hit], np.repeat(np.arange(len(sets)), [len(k) for k in sets])[hit]
+        order = np.argsort(at, kind="stable")
+        return at[order], row[order]
+
+    if not len(both):
+        return out
+    (ua, ur), (va, vr) = places(u, s), places(v, t)
+    for low in range(0, len(both), width):
+        high = min(low + width, len(both))
+        i, j = np.searchsorted(ua, [low, high]), np.searchsorted(va, [low, high])
+        x, y = np.zeros((len(s), high - low), np.float32), np.zeros((len(t), high - low), np.float32)
+        x[ur[i[0] : i[1]], ua[i[0] : i[1]] - low] = 1
+        y[vr[j[0] : j[1]], va[j[0] : j[1]] - low] = 1
+        out += x @ y.T
+    return out
+
+
+def joined(v: np.ndarray, left: np.ndarray, right: np.ndarray, sets: list[np.ndarray], share: int) -> list[tuple[int, int]]:
+    """Edges (a, b) that connect what the links between the members at left and right connect."""
+    c = common([sets[i] for i in left], [sets[i] for i in right])
+    n = np.array([len(x) for x in sets], np.float32)
+    linked = 100 * c >= share * (n[left][:, None] + n[right] - c)
+    out, todo = [], linked.any(1)
+    while todo.any():
+        rows = np.zeros(len(left), bool)
+        rows[todo.argmax()] = True
+        size = 0
+        while rows.sum() > size:
+            size = rows.sum()
+            cols = linked[rows].any(0)
+            rows = linked[:, cols].any(1)
+        ends = np.unique(np.r_[v[left[rows]], v[right[cols]]])
+        out += [(ends[0], x) for x in ends[1:]]
+        todo &= ~rows
+    return out
+
+
+def blocks(named: DataFrame, sets: DataFrame, share: int = SHARE) -> DataFrame:
+    """Edges between different components among the members (token, v, n, component) of each token."""
+    weight = F.col("n") + MEMBER
+    per = named.groupBy("token", "component").agg(F.sum(weight).alias("w"))
+    per = per.withColumn("own", F.when(F.col("w") > BLOCK // 2, F.col("component")))  # a component with blocks of its own
+    parts = per.groupBy("token", "own").agg(F.ceil(F.sum("w") / BLOCK).cast("int").alias("parts"))
+    put = named.join(per.select("token", "component", "own"), ["token", "component"]).join(parts.withColumnRenamed("own", "o"), (F.col("own").eqNullSafe(F.col("o"))) & (named["token"] == parts["token"])).drop(parts["token"])
+    put = put.select("token", "v", "component", "own", F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("no"))
+    cell = parts.select("token", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("no"))
+    tile = cell.alias("x").join(cell.alias("y"), "token").select("token", F.struct("x.own", "x.no").alias("x"), F.struct("y.own", "y.no").alias("y")).where("x <= y").where("x.own IS NULL OR y.own IS NULL OR x.own <> y.own")
+    sides = tile.select("token", "x", "y", F.explode(F.expr("CASE WHEN x = y THEN array(named_struct('side', 2, 'b', x)) ELSE array(named_struct('side', 0, 'b', x), named_struct('side', 1, 'b', y)) END")).alias("e"))
+    sides = sides.select(F.col("token").alias("t"), F.xxhash64("token", "x", "y").alias("tile"), "e.side", F.col("e.b.own").alias("o"), F.col("e.b.no").alias("k"))
+    met = put.join(sides, (F.col("token") == F.col("t")) & F.col("own").eqNullSafe(F.col("o")) & (F.col("no") == F.col("k"))).select("tile", "side", "v")
+
+    def run(b: pd.DataFrame) -> pd.DataFrame:
+        s = [np.frombuffer(x, np.uint64) for x in b["s"]]
+        side = b["side"].to_numpy()
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        edges = joined(b["v"].to_numpy(), left, right, s, share) if len(left) and len(right) else []
+        return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
+
+    return met.join(sets, "v").groupBy("tile").applyInPandas(run, "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -159,27 +244,28 @@ def link(docs: DataFrame, share: int = SHARE) -> DataFrame:
     member = cut(rows.join(classes, "fp", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id")))
     token = cut(prefixes(docs, hist, share))
     met = token.groupBy("token").agg(F.min("doc_id").alias("x"), F.max("doc_id").alias("y")).where("x <> y").select("token")
-    ids = member.select("doc_id", "class_id")
-    active = token.join(met, "token").join(ids, "doc_id").select("token", F.col("class_id").alias("v"), "n", "l").distinct()
-    active = cut(active)
+    active = token.join(met, "token").join(member.select("doc_id", "class_id"), "doc_id")
+    active = cut(active.groupBy("token", F.col("class_id").alias("v"), "n", "l", "base").agg(F.lit(1).alias("one")).drop("one"))
+    base = active.where("base").select("token", "v", "n")
     fits = lambda a, b: (F.col(a) * 100 >= F.col(b) * share) & (F.col(b) * 100 >= F.col(a) * share)
-    # 1: each shingle's members against its smallest member
-    lead = active.groupBy("token").agg(F.min(F.struct("v", "n", "l")).alias("h"), F.count("*").alias("size")).where("size > 1")
-    first = active.join(lead, "token").where("v <> h.v").select(F.col("h.v").alias("a"), F.col("v").alias("b"), F.col("h.n").alias("na"), "n", F.least("l", "h.l").alias("need"))
-    first = first.where(fits("na", "n")).groupBy("a", "b").agg(F.count("*").alias("c"), F.max("need").alias("need")).where("c >= need").select("a", "b")
-    many = lead.select("token")
-    used = active.join(many, "token", "left_semi").select("v").distinct()
-    texts = cut(docs.select("doc_id", "text").join(used, F.col("doc_id") == F.col("v"), "left_semi"))
-    edges = cut(verify(first, texts, share))
+    # 1: each token's members against its smallest member
+    lead = cut(base.groupBy("token").agg(F.min(F.struct("v", "n")).alias("h"), F.count("*").alias("size")).where("size > 1"))
+    base = cut(base.join(lead, "token"))
+    first = base.where("v <> h.v").where(fits("n", "h.n")).select(F.col("h.v").alias("a"), F.col("v").alias("b")).distinct()
+    used = cut(base.select("v").distinct())
+    prefix = cut(active.join(used, "v", "left_semi").groupBy("v").agg(F.first("l").alias("l"), F.collect_list("token").alias("p")))
+    sets = cut(shingles(docs.join(used, F.col("doc_id") == F.col("v"), "left_semi").dropDuplicates(["doc_id"])))
+    edges = cut(verify(first, prefix, sets, share))
     # 2: the pairs left between different components
     comp = components(edges)
-    named = active.join(many, "token", "left_semi").join(comp, "v", "left").withColumn("component", F.coalesce("component", "v"))
+    named = base.select("token", "v", "n", "size").join(comp, "v", "left").withColumn("component", F.coalesce("component", "v"))
     mixed = named.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("token")
     named = cut(named.join(mixed, "token", "left_semi"))
-    other = named.select("token", *[F.col(c).alias(f"{c}2") for c in ("v", "n", "l", "component")])
-    rest = named.join(other, "token").where((F.col("v") < F.col("v2")) & (F.col("component") != F.col("component2"))).where(fits("n", "n2"))
-    rest = rest.groupBy(F.col("v").alias("a"), F.col("v2").alias("b")).agg(F.count("*").alias("c"), F.max(F.least("l", "l2")).alias("need")).where("c >= need").select("a", "b")
-    more = cut(verify(rest, texts, share))
+    little = named.where(F.col("size") <= FEW)
+    other = little.select("token", *[F.col(c).alias(f"{c}2") for c in ("v", "n", "component")])
+    rest = little.join(other, "token").where((F.col("v") < F.col("v2")) & (F.col("component") != F.col("component2"))).where(fits("n", "n2"))
+    rest = rest.select(F.col("v").alias("a"), F.col("v2").alias("b")).distinct()
+    more = cut(verify(rest, prefix, sets, share).union(blocks(named.where(F.col("size") > FEW), sets, share)))
     comp = components(edges.union(more)) if more.take(1) else comp
     out = member.join(comp, F.col("class_id") == F.col("v"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id"), "class_id")
