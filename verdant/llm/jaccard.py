@@ -1,8 +1,8 @@
 """N-gram Jaccard join with adaptive multi-match prefixes, and the components of its links.
 
-Shingle hashes have one global order: hashes in crowded buckets of a histogram over all documents come last, then by value.
+Shingle hashes have one global order: by the level of their bucket in a histogram over all documents, so that frequent ones come last, then by value.
 A document of n shingles that needs t = ceil(0.8 n) in common has a base prefix of n - t + 1; by the estimated cost of its
-candidates (histogram counts along the prefix) it is lengthened to n - t + l. Candidates share a token of both base prefixes,
+candidates (levels along the prefix) it is lengthened to n - t + l. Candidates share a token of both base prefixes,
 and a pair must share min(l, l') tokens of the long prefixes before it is verified. Equal sets form a class before that.
 
 First each token's members are verified against its smallest member. Then only pairs of different components remain. Tokens of
@@ -17,8 +17,8 @@ Repeated rows share a class. Empty table: no rows. Components are named by their
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -26,14 +26,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, WORD, cut
+from .common import cut
 
 SIZE, SHARE = 5, 80  # words of a shingle; per cent
-BUCKETS = 1 << 16
+BUCKETS = 1 << 20  # of the histogram; 1 byte each is broadcast
 FEW = 16  # members of a token that join into pairs
 BLOCK = 100_000  # weight of a block: shingles, and MEMBER for each set
 MEMBER = 100
-_WORD = re.compile(WORD)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -42,71 +41,77 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-class Shingler:
-    def __init__(self, size: int = SIZE, keep: int = 1_000_000):
-        self.size, self.keep, self.known = size, keep, {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        """Sorted distinct shingle hashes."""
-        words = _WORD.findall(text.translate(ASCII_LOWER)) if text else []
-        if not words:
-            return np.zeros(0, np.uint64)
-        if len(self.known) > self.keep:
-            self.known.clear()
-        known = self.known
-        for w in [w for w in words if w not in known]:
-            known[w] = xxhash.xxh64_intdigest(w)
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        k = min(self.size, len(h))
-        out = np.full(len(h) - k + 1, np.uint64(k))
-        for j in range(k):
-            out = mix(out + h[j : len(h) - k + 1 + j] * np.uint64(2 * j + 3))
-        return np.unique(out)
+def shingled(texts: Iterable[str | None], size: int = SIZE) -> list[np.ndarray]:
+    """Sorted distinct shingle hashes of each text."""
+    # lower() and split() of bytes know the ASCII letters and the ASCII white space only
+    split = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]
+    lens = np.array([len(w) for w in split], np.int64)
+    total = int(lens.sum())
+    h = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(split)), np.uint64, total)
+    ends = np.cumsum(lens)
+    long = np.full(total, np.uint64(size))
+    for j in range(size):
+        k = max(total - j, 0)
+        long[:k] = mix(long[:k] + h[j:] * np.uint64(2 * j + 3))
+    out = []
+    for n, end in zip(lens.tolist(), ends.tolist()):
+        if 0 < n < size:
+            one = np.full(1, np.uint64(n))
+            for j in range(n):
+                one = mix(one + h[end - n + j : end - n + j + 1] * np.uint64(2 * j + 3))
+            out.append(one)
+        else:
+            out.append(np.unique(long[end - n : end - size + 1]) if n else long[:0])
+    return out
 
 
 def _sets(docs: DataFrame) -> DataFrame:
     """doc_id, n, fingerprint; and, with a null doc_id, the histogram of each task in 64 pieces."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sh, hist = Shingler(), np.zeros(BUCKETS, np.int64)
+        hist = np.zeros(BUCKETS, np.int64)
         for b in batches:
-            sets = [sh(t) for t in b["text"]]
+            sets = shingled(b["text"])
             if sets:
                 hist += np.bincount((np.concatenate(sets) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
             yield pd.DataFrame({"doc_id": b["doc_id"], "n": [len(s) for s in sets], "fp": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]})
-        yield pd.DataFrame({"doc_id": pd.array([None] * 64, "Int64"), "n": range(64), "fp": [x.tobytes() for x in np.split(hist, 64)]})
+        yield pd.DataFrame({"doc_id": pd.array([None] * 64, "Int64"), "n": range(64), "fp": [x.tobytes() for x in np.split(hist.astype(np.uint32), 64)]})
 
     return docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).mapInPandas(run, "doc_id bigint, n bigint, fp binary")
 
 
 def _histogram(sets: DataFrame) -> np.ndarray:
     def add(b: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"n": [b["n"].iloc[0]], "fp": [np.sum([np.frombuffer(x, np.int64) for x in b["fp"]], 0).tobytes()]})
+        return pd.DataFrame({"n": [b["n"].iloc[0]], "fp": [np.sum([np.frombuffer(x, np.uint32) for x in b["fp"]], 0, np.int64).tobytes()]})
 
     rows = sets.where("doc_id IS NULL").groupBy("n").applyInPandas(add, "n bigint, fp binary").orderBy("n").collect()  # 64 rows of fixed size
     return np.concatenate([np.frombuffer(r["fp"], np.int64) for r in rows]) if rows else np.zeros(BUCKETS, np.int64)
 
 
+def levels(hist: np.ndarray) -> np.ndarray:
+    """0 for buckets filled as by chance, and one more for each doubling of what lies over that."""
+    mean = hist.mean()
+    over = (hist - mean - 4 * np.sqrt(mean)) / 4
+    return np.log2(np.maximum(over, 1)).astype(np.uint8)
+
+
 def prefixes(docs: DataFrame, hist: np.ndarray, share: int = SHARE) -> DataFrame:
     """(token, doc_id, n, l, base) of each document's prefix; base marks the part that is not lengthened."""
-    shared = docs.sparkSession.sparkContext.broadcast(hist)  # BUCKETS numbers
+    shared = docs.sparkSession.sparkContext.broadcast(levels(hist))  # BUCKETS bytes
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sh, hist = Shingler(), shared.value
-        mean = max(hist.mean(), 1.0)
-        crowded = hist > 2 * mean + 50
+        level = shared.value
         for b in batches:
             picks, of = [], []
-            for i, t in zip(b["doc_id"], b["text"]):
-                s = sh(t)
+            for i, s in zip(b["doc_id"], shingled(b["text"])):
                 n = len(s)
                 if not n:
                     continue
-                at = (s % np.uint64(BUCKETS)).astype(np.int64)
-                order = np.lexsort((s, crowded[at]))
+                at = level[(s % np.uint64(BUCKETS)).astype(np.int64)]
+                order = np.argsort(at, kind="stable")  # s is sorted
                 spare = n - -(-share * n // 100)
-                cost = np.maximum(hist[at[order[: spare + 1]]] - mean, 0).sum()
-                more = int(np.clip(1 + np.log2(1 + cost / (16 * mean)), 1, max(1, min(6, n - spare))))
+                cost = (2.0 ** at[order[: spare + 1]] - 1).sum()
+                more = int(np.clip(1 + np.log2(1 + cost / 16), 1, max(1, min(6, n - spare))))
                 picks.append(s[order[: spare + more]].view(np.int64))
                 of.append((i, n, more))
             if picks:
@@ -122,9 +127,8 @@ def shingles(texts: DataFrame) -> DataFrame:
     """v, s: the sorted hashes of each document's set."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sh = Shingler()
         for b in batches:
-            yield pd.DataFrame({"v": b["doc_id"], "s": [sh(t).tobytes() for t in b["text"]]})
+            yield pd.DataFrame({"v": b["doc_id"], "s": [s.tobytes() for s in shingled(b["text"])]})
 
     return texts.select("doc_id", "text").mapInPandas(run, "v bigint, s binary")
 
