@@ -33,6 +33,7 @@ BUCKETS = 1 << 20  # of the histogram; 1 byte each is broadcast
 FEW = 16  # members of a token that join into pairs
 BLOCK = 100_000  # weight of a block: shingles, and MEMBER for each set
 MEMBER = 100
+MAX_IDS = 1_000_000  # broadcast up to so many ids, else shuffle
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -123,6 +124,12 @@ def prefixes(docs: DataFrame, hist: np.ndarray, share: int = SHARE) -> DataFrame
     return docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).mapInPandas(run, "token bigint, doc_id bigint, n int, l int, base boolean")
 
 
+def only(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The rows whose key is among the distinct ids (column v)."""
+    ids = ids.toDF("_id")
+    return rows.join(F.broadcast(ids) if ids.count() <= MAX_IDS else ids, F.col(key) == F.col("_id"), "left_semi")
+
+
 def shingles(texts: DataFrame) -> DataFrame:
     """v, s: the sorted hashes of each document's set."""
 
@@ -147,6 +154,8 @@ def verify(pairs: DataFrame, prefix: DataFrame, sets: DataFrame, share: int = SH
 
     j = pairs.join(prefix.toDF("a", "la", "pa"), "a").join(prefix.toDF("b", "lb", "pb"), "b")
     j = j.where(F.size(F.array_intersect("pa", "pb")) >= F.least("la", "lb")).select("a", "b")
+    j = cut(j)
+    sets = only(sets, "v", cut(j.select(F.col("a").alias("v")).union(j.select("b")).distinct()))
     j = j.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
     return j.select("a", "b", "sa", "sb").mapInPandas(run, "a bigint, b bigint")
 
@@ -218,6 +227,7 @@ def blocks(named: DataFrame, sets: DataFrame, share: int = SHARE) -> DataFrame:
         edges = joined(b["v"].to_numpy(), left, right, s, share) if len(left) and len(right) else []
         return pd.DataFrame(edges, columns=["a", "b"], dtype="int64")
 
+    sets = only(sets, "v", cut(named.select("v").distinct()))
     return met.join(sets, "v").groupBy("tile").applyInPandas(run, "a bigint, b bigint").distinct()
 
 
@@ -253,12 +263,14 @@ def link(docs: DataFrame, share: int = SHARE) -> DataFrame:
     base = active.where("base").select("token", "v", "n")
     fits = lambda a, b: (F.col(a) * 100 >= F.col(b) * share) & (F.col(b) * 100 >= F.col(a) * share)
     # 1: each token's members against its smallest member
-    lead = cut(base.groupBy("token").agg(F.min(F.struct("v", "n")).alias("h"), F.count("*").alias("size")).where("size > 1"))
+    hashes = [F.sum(F.xxhash64("v", F.lit(k)).cast("decimal(38,0)")).alias(f"f{k}") for k in range(2)]
+    lead = base.groupBy("token").agg(F.min(F.struct("v", "n")).alias("h"), F.count("*").alias("size"), *hashes).where("size > 1")
+    lead = cut(lead.groupBy("h", "size", "f0", "f1").agg(F.min("token").alias("token")).select("token", "h", "size"))  # one token for those of the same members
     base = cut(base.join(lead, "token"))
     first = base.where("v <> h.v").where(fits("n", "h.n")).select(F.col("h.v").alias("a"), F.col("v").alias("b")).distinct()
     used = cut(base.select("v").distinct())
     prefix = cut(active.join(used, "v", "left_semi").groupBy("v").agg(F.first("l").alias("l"), F.collect_list("token").alias("p")))
-    sets = cut(shingles(docs.join(used, F.col("doc_id") == F.col("v"), "left_semi").dropDuplicates(["doc_id"])))
+    sets = cut(shingles(only(docs, "doc_id", used)))
     edges = cut(verify(first, prefix, sets, share))
     # 2: the pairs left between different components
     comp = components(edges)
