@@ -23,6 +23,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,10 +43,20 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingled(texts: Iterable[str | None], size: int = SIZE) -> list[np.ndarray]:
+def utf8(t: str | bytes) -> bytes:
+    return t if isinstance(t, bytes) else t.encode("utf-8", "surrogatepass")
+
+
+def unpacked(packed: Iterable[bytes]) -> list[np.ndarray]:
+    """The sets of compressed texts."""
+    z = zstandard.ZstdDecompressor()
+    return shingled([z.decompress(x) for x in packed])
+
+
+def shingled(texts: Iterable[str | bytes | None], size: int = SIZE) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     # lower() and split() of bytes know the ASCII letters and the ASCII white space only
-    split = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]
+    split = [utf8(t).lower().split() if t else [] for t in texts]
     lens = np.array([len(w) for w in split], np.int64)
     total = int(lens.sum())
     h = np.fromiter(map(xxhash.xxh64_intdigest, chain.from_iterable(split)), np.uint64, total)
@@ -130,12 +141,13 @@ def only(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(ids) if ids.count() <= MAX_IDS else ids, F.col(key) == F.col("_id"), "left_semi")
 
 
-def shingles(texts: DataFrame) -> DataFrame:
-    """v, s: the sorted hashes of each document's set."""
+def packed(texts: DataFrame) -> DataFrame:
+    """v, s: each text compressed, a third of its set's size."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        z = zstandard.ZstdCompressor()
         for b in batches:
-            yield pd.DataFrame({"v": b["doc_id"], "s": [s.tobytes() for s in shingled(b["text"])]})
+            yield pd.DataFrame({"v": b["doc_id"], "s": [z.compress(utf8(t or "").lower()) for t in b["text"]]})
 
     return texts.select("doc_id", "text").mapInPandas(run, "v bigint, s binary")
 
@@ -146,8 +158,10 @@ def verify(pairs: DataFrame, prefix: DataFrame, sets: DataFrame, share: int = SH
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             good = []
+            texts = pd.concat([b["sa"], b["sb"]]).unique()
+            sets = dict(zip(texts, unpacked(texts)))
             for x, y in zip(b["sa"], b["sb"]):
-                s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                s, t = sets[x], sets[y]
                 both = len(np.intersect1d(s, t, assume_unique=True))
                 good.append(100 * both >= share * (len(s) + len(t) - both))
             yield b.loc[good, ["a", "b"]]
@@ -221,7 +235,7 @@ def blocks(named: DataFrame, sets: DataFrame, share: int = SHARE) -> DataFrame:
     met = put.join(sides, (F.col("token") == F.col("t")) & F.col("own").eqNullSafe(F.col("o")) & (F.col("no") == F.col("k"))).select("tile", "side", "v")
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
-        s = [np.frombuffer(x, np.uint64) for x in b["s"]]
+        s = unpacked(b["s"])
         side = b["side"].to_numpy()
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         edges = joined(b["v"].to_numpy(), left, right, s, share) if len(left) and len(right) else []
@@ -270,7 +284,7 @@ def link(docs: DataFrame, share: int = SHARE) -> DataFrame:
     first = base.where("v <> h.v").where(fits("n", "h.n")).select(F.col("h.v").alias("a"), F.col("v").alias("b")).distinct()
     used = cut(base.select("v").distinct())
     prefix = cut(active.join(used, "v", "left_semi").groupBy("v").agg(F.first("l").alias("l"), F.collect_list("token").alias("p")))
-    sets = cut(shingles(only(docs, "doc_id", used)))
+    sets = cut(packed(only(docs, "doc_id", used)))
     edges = cut(verify(first, prefix, sets, share))
     # 2: the pairs left between different components
     comp = components(edges)
