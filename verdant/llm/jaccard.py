@@ -296,7 +296,7 @@ def link(docs: DataFrame, share: int = SHARE) -> DataFrame:
     rest = little.join(other, "token").where((F.col("v") < F.col("v2")) & (F.col("component") != F.col("component2"))).where(fits("n", "n2"))
     rest = rest.select(F.col("v").alias("a"), F.col("v2").alias("b")).distinct()
     more = cut(verify(rest, prefix, sets, share).union(blocks(named.where(F.col("size") > FEW), sets, share)))
-    comp = components(edges.union(more)) if more.take(1) else comp
+    comp = components(comp.toDF("a", "b").union(more)) if more.take(1) else comp  # stars need fewer rounds than links
     out = member.join(comp, F.col("class_id") == F.col("v"), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "class_id").alias("component_id"), "class_id")
 
