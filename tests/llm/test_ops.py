@@ -83,6 +83,31 @@ def test_op2_chain_of_edits(spark):
     assert jaccard.link(df).select("component_id").distinct().count() == 1
 
 
+def test_op2_common_counts():
+    sets = jaccard.shingled(["a b c d e f g", "b c d e f g h", None, "x", "A b", "a b c d e f g"])
+    want = [[len(np.intersect1d(x, y)) for y in sets[1:]] for x in sets]
+    assert (jaccard.common(sets, sets[1:], width=2) == want).all()
+    assert [len(x) for x in jaccard.shingled(["a b", ""])] == [1, 0]
+
+
+def test_op2_blocks_as_pairs(spark, monkeypatch):
+    base = [f"w{i}" for i in range(60)]
+    texts = [" ".join(base[:k] + [f"z{k}"] + base[k + 1 :]) for k in range(0, 60, 3)] + [" ".join(base[:40]), None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "FEW", 1)
+    monkeypatch.setattr(jaccard, "BLOCK", 700)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.link(df).collect()}
+    sets = jaccard.shingled(texts)
+    want = list(range(len(texts)))
+    for _ in texts:
+        for a in range(len(texts)):
+            for b in range(len(texts)):
+                both = len(np.intersect1d(sets[a], sets[b]))
+                if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                    want[b] = min(want[b], want[a])
+    assert got == dict(enumerate(want))
+
+
 def test_op3_brute_force(docs, rows):
     got = by_id(rules.apply(docs))
     for i, t in zip(rows.doc_id, rows.text):
