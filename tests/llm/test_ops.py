@@ -226,3 +226,21 @@ def test_op10_windows_agree():
     model = neural.Attention(50, np.ones(50))
     ids = list(np.random.default_rng(1).integers(0, 50, 100))
     assert np.allclose(model.score([ids, ids[:10], []], batch=3), [*model.score([ids]), *model.score([ids[:10]]), 0])
+
+
+def test_op10_trains_on_all_rows(spark):
+    """Counts and steps take every training row, of far more than a few hundred documents."""
+    texts = [f"alpha beta gamma {i} delta" for i in range(1500)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    tok = bpe.load(queries.tokenizer_file())
+    end = tok.special.get("<|endoftext|>", 0)
+    ids = np.array([x for t in texts for x in [*tok.encode(t), end]])
+    model = neural.train(df, queries.tokenizer_file())
+    fresh = neural.Attention(model.bos, np.bincount(ids, minlength=model.bos).astype(float))
+    assert (model.inside == fresh.inside).all() and (model.of == fresh.of).all()
+    moved = (model.p["e"] != fresh.p["e"]).any(1)
+    assert set(np.flatnonzero(moved)) == {*ids.tolist(), model.bos}
+    lists = [[*tok.encode(t), end] for t in texts[:50]]
+    assert model.score(lists).sum() > fresh.score(lists).sum() * 0.7
+    read = neural.Attention(50, np.ones(50)).train([np.arange(45), np.arange(3)])
+    assert read.sum() == 48
