@@ -244,3 +244,11 @@ def test_op10_trains_on_all_rows(spark):
     assert model.score(lists).sum() > fresh.score(lists).sum() * 0.7
     read = neural.Attention(50, np.ones(50)).train([np.arange(45), np.arange(3)])
     assert read.sum() == 48
+
+
+@pytest.mark.parametrize("text, value", [('password: "Zq8!kf02#LmPw" x', "Zq8!kf02#LmPw"), ("secret=aB3$xY9!kLm2Qw", "aB3$xY9!kLm2Qw"), ("api_key: k9#Lm2!xQ7@vR4zT", "k9#Lm2!xQ7@vR4zT"), ("token = Xy7@#pQ2!rT9", "Xy7@#pQ2!rT9"), ("dbpasswd='hunter2xyz!Secret#9'", "hunter2xyz!Secret#9"), ("password=hunter2xyz!Secret#9", "hunter2xyz!Secret#9")])
+def test_op4_whole_values(text, value):
+    at = text.index(value)
+    assert (at, at + len(value), "guess") in secrets.spans(text)
+    assert value[-6:] not in secrets.redact(text)
+    assert "guess" not in [k for _, _, k in secrets.spans('{"password":"admin1","user":"Zq8!kf02#LmPw"}')]

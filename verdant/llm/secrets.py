@@ -20,7 +20,12 @@ from pyspark.sql import DataFrame
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # as all runs of which those under 32 are dropped
-CONTEXT = re.compile(r"""(?<![A-Za-z])(pwd|passphrase|pass|credentials?|auth|bearer|private_?key|access_?key|client_?secret)["']?\x20*[:=]\x20*["']?([!-~]{6,})""", re.I | re.A)
+# The keywords of ASSIGN stand anywhere, as there; the others do not follow a letter. A quoted value ends at its quote.
+CONTEXT = re.compile(
+    r"""(?:(?<![A-Za-z])(?:pwd|passphrase|pass|credentials?|auth|bearer|private_?key|access_?key|client_?secret)|password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*"""
+    r"""(?:"(?P<double>[!#-~]{6,})|'(?P<single>[!-&(-~]{6,})|(?P<bare>[!#-&(-~][!-~]{5,}))""",
+    re.I | re.A,
+)
 KINDS = ("assign", "access", "hex", "guess")
 MIN_GUESS = 8.0
 MAX_SPAN = 32
@@ -67,7 +72,7 @@ def spans(text: str | None, min_guess: float = MIN_GUESS) -> list[tuple[int, int
     out = [(*m.span(), "assign") for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
     out += [(*m.span(), "access") for m in ACCESS.finditer(text) if len(m[0]) >= 16]
     out += [(*m.span(), "hex") for m in HEX.finditer(text)]
-    out += [(*m.span(2), "guess") for m in CONTEXT.finditer(text) if guess_cost(m[2]) >= min_guess]
+    out += [(*m.span(m.lastgroup), "guess") for m in CONTEXT.finditer(text) if guess_cost(m[m.lastgroup]) >= min_guess]
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
