@@ -1,6 +1,7 @@
 """The ten operators against brute force, on the smallest tables plus hand-made rows."""
 
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -252,3 +253,21 @@ def test_op4_whole_values(text, value):
     assert (at, at + len(value), "guess") in secrets.spans(text)
     assert value[-6:] not in secrets.redact(text)
     assert "guess" not in [k for _, _, k in secrets.spans('{"password":"admin1","user":"Zq8!kf02#LmPw"}')]
+
+
+def test_op8_masks_cover_tolerance():
+    """Every pattern that verification accepts leaves some mask equal at some place."""
+    for n in range(decontam.SPAN, decontam.WINDOW + 1):
+        wrong = n - math.ceil(n * decontam.LEAST / decontam.WINDOW)
+        for bad in map(set, itertools.combinations(range(n), wrong)):
+            assert any(not bad & {i + k for k in mask} for mask in decontam.MASKS for i in range(n - mask[-1])), (n, bad)
+
+
+def test_op8_tolerance_and_short_items(spark):
+    w = [f"w{k}" for k in range(40)]
+    bench = spark.createDataFrame([("ten", " ".join(w[:10])), ("long", " ".join(f"v{k}" for k in range(40))), ("four", "one two three four"), ("none", ""), ("null", None)], "item_id string, text string")
+    texts = {k: " ".join([*"abc", *w[:k], "x", *w[k + 1 : 10], "d"]) for k in range(10)}  # one substitution in the item of ten
+    texts |= {20: " ".join("x" if k % 4 == 3 else f"v{k}" for k in range(40)), 21: "Say: one, two three FOUR.", 22: "one two three 4", 23: "two three four one", 24: "one two three four"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["n_equal"], r["n_aligned"]) for r in decontam.leaks(df, bench).collect()}
+    assert got == {(k, "ten"): (9, 10) for k in range(10)} | {(20, "long"): (10, 13), (21, "four"): (4, 4), (24, "four"): (4, 4)}
