@@ -271,3 +271,10 @@ def test_op8_tolerance_and_short_items(spark):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {(r["doc_id"], r["item_id"]): (r["n_equal"], r["n_aligned"]) for r in decontam.leaks(df, bench).collect()}
     assert got == {(k, "ten"): (9, 10) for k in range(10)} | {(20, "long"): (10, 13), (21, "four"): (4, 4), (24, "four"): (4, 4)}
+
+
+def test_op9_ratios_inside_the_mark():
+    """Short blocks without punctuation leave the marked article, its headings stay."""
+    p = "<p>" + "Many words stand here, and they make a sentence; so it goes. " * 5 + "</p>"
+    page = f"<body><article><h1>Title</h1>{p}<h2>Part</h2>{p}<ul><li>Print</li><li>Mail</li><li>Save</li><li>Top</li></ul></article><div>Elsewhere</div></body>"
+    assert [x[:5] for x in html.extract(page).split("\n")] == ["Title", "Many ", "Part", "Many "]

@@ -2,7 +2,8 @@
 
 A page becomes leaf blocks in page order, each with its path from the root. Text length and punctuation are summed for each
 path, smoothed over the page, fused, and paths over a share of the mean are content. Regions that never hold the article
-(menus, forms, adverts, comments ...) are left out before; the page's own mark of its article raises the paths under it.
+(menus, forms, adverts, comments ...) are left out before; the page's own mark of its article multiplies the scores of the paths
+under it by PRIOR, no more, so the ratios decide there, too. A heading under the mark is fused with the content after it.
 
 Null or empty html: empty text. Unclosed and stray tags: a block tag ends the paragraph that is open; stray end tags are ignored.
 """
@@ -26,6 +27,8 @@ OUTSIDE = frozenset("head nav header footer aside form button select dialog menu
 PARAGRAPH_ENDS = frozenset("p div article section ul ol li table h1 h2 h3 h4 h5 h6 blockquote pre nav header footer aside form main dl figure hr".split())
 BAD = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|gdpr|newsletter|subscribe|comments?|replies|disqus|sidebar|side|widget|menu|nav\w*|breadcrumbs?|footer|header|masthead|share|social|related|recommended|popup|modal|navigation|contentinfo|complementary)(?:$|[\s_-])", re.I)
 GOOD = frozenset(["article", "main"])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+PRIOR = 2.0
 
 
 def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
@@ -86,11 +89,12 @@ def extract(page: str | None, share: float = 0.1) -> str:
     for (path, *_), a, b in zip(inside, each, smooth):
         fused.setdefault(path, []).append((a * b) ** 0.5)
     score = {p: sum(v) / len(v) for p, v in fused.items()}
-    # a path under the page's own article mark gets the mean on top, so that short headings of the article stay
-    mean = sum(score.values()) / max(len(score), 1)
-    marked = {b[0] for b in inside if b[3]}
-    least = mean if marked else share * mean
-    return "\n".join(b[1] for b in inside if score[b[0]] + (mean if b[0] in marked else 0) >= least)
+    least = share * sum(score.values()) / max(len(score), 1)
+    value = [score[b[0]] * (PRIOR if b[3] else 1) for b in inside]
+    for i in range(len(inside) - 2, -1, -1):  # from the end, as a heading may stand over another
+        if inside[i][3] and inside[i + 1][3] and inside[i][0].rsplit("/", 1)[-1] in HEADINGS:
+            value[i] = max(value[i], (value[i] + value[i + 1]) / 2)
+    return "\n".join(b[1] for b, v in zip(inside, value) if v >= least)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
