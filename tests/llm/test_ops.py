@@ -278,3 +278,16 @@ def test_op9_ratios_inside_the_mark():
     p = "<p>" + "Many words stand here, and they make a sentence; so it goes. " * 5 + "</p>"
     page = f"<body><article><h1>Title</h1>{p}<h2>Part</h2>{p}<ul><li>Print</li><li>Mail</li><li>Save</li><li>Top</li></ul></article><div>Elsewhere</div></body>"
     assert [x[:5] for x in html.extract(page).split("\n")] == ["Title", "Many ", "Part", "Many "]
+
+
+def test_op1_rejects_unlearned_language(spark):
+    """Slope and levels come from held-back rows; long texts in no learned language are rejected, those of learned ones are not."""
+    r = np.random.default_rng(3)
+    make = lambda letters: " ".join("".join(r.choice(list(letters), 2 + r.integers(4))) for _ in range(60))
+    known = [(i, make("aeinrst" if i % 2 else "oumdlkb"), "xy"[i % 2]) for i in range(800)]
+    df = spark.createDataFrame(known, "doc_id long, text string, lang string")
+    models = langid.learn(df.where("doc_id < 700"))
+    assert models.slope != 8.0 and np.isfinite(models.width).all()
+    fresh = spark.createDataFrame([(i, make("qwzxcvj")) for i in range(40)], "doc_id long, text string")
+    assert langid.predict(fresh, models).where("rejected").count() == 40
+    assert langid.predict(df.where("doc_id >= 700"), models).where("NOT rejected").count() >= 90

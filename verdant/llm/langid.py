@@ -2,8 +2,11 @@
 
 Words are scored as strings of letters between boundaries. All n-grams of all languages stand in one sorted array of 64-bit
 hashes for each order, with a column of log probabilities for each language; missing n-grams back off by interpolation weight.
-The language of the lowest cross-entropy for each character wins; ties go to the first in alphabetical order. The margin to the
-second, through a logistic function fitted on training words, is the score, and scores under the calibrated level are marked rejected.
+The language of the lowest cross-entropy for each character wins; ties go to the first in alphabetical order. The score is a
+softmax of the margins to it times a slope and the logarithm of the length. Slope and rejection levels are fitted on training
+rows held back from the counts: the score below which LOST of the rightly named rows fall, and for each language the
+cross-entropy, as its mean plus a width that shrinks with the root of the length, above which LOST of them lie. A row under the
+first or over the second is marked rejected. With less than LEAST_ROWS rows held back, fixed values stand and no cross-entropy is rejected.
 
 Training counts words of at most MAX_DOCS documents for each language, drawn by a hash of doc_id. Text that is null or has no
 letter: `und`, score 0. No training rows: `und` for all. Empty table: no rows.
@@ -12,7 +15,7 @@ letter: `und`, score 0. No training rows: `und` for all. Empty table: no rows.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,6 +24,9 @@ from pyspark.sql import functions as F
 
 ORDER = 4
 MAX_DOCS = 3000
+HELD = 8  # one of so many sampled training rows is held back
+LOST = 0.01
+LEAST_ROWS = 20
 WORDS = re.compile(r"[^\W\d_]+")
 
 
@@ -42,6 +48,8 @@ def hashes(c: np.ndarray, n: int) -> np.ndarray:
 class Models:
     def __init__(self, langs: list[str], counts: dict[str, dict[str, int]], order: int = ORDER):
         self.langs, self.order, self.tables = langs, order, []
+        self.slope, self.reject = 8.0, 0.5
+        self.usual, self.width = np.zeros(len(langs)), np.full(len(langs), np.inf)
         per = []
         for lang in langs:
             words = sorted(counts[lang])
@@ -109,6 +117,73 @@ class Models:
         return out, np.array([len(w) + 1 for w in words])
 
 
+class Scorer:
+    """Characters and cross-entropy for each character by every language, of each text; None without letters."""
+
+    def __init__(self, models: Models, keep: int = 500_000):
+        self.m, self.keep = models, keep
+        self.known: dict[str, int] = {}
+        self.table, self.sizes = np.zeros((0, len(models.langs))), np.zeros(0, int)
+
+    def __call__(self, texts: Iterable[str | None]) -> Iterator[tuple[int, np.ndarray] | None]:
+        split = [WORDS.findall(t.lower()) if t else [] for t in texts]
+        if len(self.known) > self.keep:
+            self.known, self.table, self.sizes = {}, self.table[:0], self.sizes[:0]
+        new = list({w for ws in split for w in ws if w not in self.known})
+        if new:
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            nats, chars = self.m.nats(new)
+            self.table, self.sizes = np.concatenate([self.table, nats]), np.concatenate([self.sizes, chars])
+        for ws in split:
+            if not ws:
+                yield None
+                continue
+            at = np.fromiter(map(self.known.__getitem__, ws), np.int64, len(ws))
+            chars = self.sizes[at].sum()
+            yield chars, self.table[at].sum(0) / chars
+
+
+def softmax(chars: np.ndarray, each: np.ndarray, slope: float) -> np.ndarray:
+    """Score of the best language of each row."""
+    gap = (each - each.min(1, keepdims=True)) * slope * np.log1p(chars)[:, None]
+    return 1 / np.exp(-np.clip(gap, 0, 50)).sum(1)
+
+
+def calibrate(m: Models, lang: np.ndarray, chars: np.ndarray, each: np.ndarray) -> None:
+    """Set slope, rejection level and the usual cross-entropies of m from rows held back (lang as place in m.langs)."""
+    if len(lang) < LEAST_ROWS:
+        return
+    z = (each - each.min(1, keepdims=True)) * np.log1p(chars)[:, None]
+    slopes = np.geomspace(0.1, 100, 200)
+    loss = [(k * z[np.arange(len(lang)), lang] + np.log(np.exp(-k * z).sum(1))).sum() + np.log(k / m.slope) ** 2 for k in slopes]  # drawn a little to the fixed one
+    m.slope = float(slopes[int(np.argmin(loss))])
+    right = each.argmin(1) == lang
+    if right.sum() < LEAST_ROWS:
+        return
+    m.reject = float(np.quantile(softmax(chars, each, m.slope)[right], LOST))
+    for k in range(len(m.langs)):
+        own = right & (lang == k)
+        if own.sum() >= LEAST_ROWS:
+            m.usual[k] = np.average(each[own, k], weights=chars[own])
+            m.width[k] = max(np.quantile((each[own, k] - m.usual[k]) * np.sqrt(chars[own]), 1 - LOST), 0)
+
+
+def held_back(docs: DataFrame, models: Models) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """lang, chars and cross-entropies of a bounded number of rows."""
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(shared.value)
+        place = {k: i for i, k in enumerate(shared.value.langs)}
+        for b in batches:
+            got = [(place[k], int(x[0]), x[1].tolist()) for k, x in zip(b["lang"], scorer(b["text"])) if x and k in place]
+            yield pd.DataFrame(got, columns=["lang", "chars", "each"])
+
+    got = docs.select("lang", "text").mapInPandas(run, "lang int, chars bigint, each array<double>").collect()
+    shared.unpersist()
+    return np.array([r["lang"] for r in got], int), np.array([r["chars"] for r in got], float), np.array([r["each"] for r in got], float).reshape(-1, len(models.langs))
+
+
 def learn(docs: DataFrame, max_docs: int = MAX_DOCS) -> Models | None:
     """Models from (doc_id, text, lang) of training rows; None without any."""
     docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -119,43 +194,37 @@ def learn(docs: DataFrame, max_docs: int = MAX_DOCS) -> Models | None:
     for lang, n in sizes.items():
         keep = keep | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, max_docs / n) * (1 << 30))))
     letters = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
-    rows = docs.where(keep).select("lang", F.explode(letters).alias("w")).groupBy("lang", "w").count().where(F.length("w") <= 60).collect()  # words of a bounded sample
+    held = F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(HELD)) == 0
+    rows = docs.where(keep & ~held).select("lang", F.explode(letters).alias("w")).groupBy("lang", "w").count().where(F.length("w") <= 60).collect()  # words of a bounded sample
     counts: dict[str, dict[str, int]] = {k: {} for k in sorted(sizes)}
     for lang, w, n in rows:
         counts[lang][w] = n
     counts = {k: v for k, v in counts.items() if v}
-    return Models(sorted(counts), counts) if counts else None
+    if not counts:
+        return None
+    models = Models(sorted(counts), counts)
+    calibrate(models, *held_back(docs.where(keep & held), models))
+    return models
 
 
-def predict(docs: DataFrame, models: Models | None, reject: float = 0.5, slope: float = 8.0) -> DataFrame:
+def predict(docs: DataFrame, models: Models | None) -> DataFrame:
     """doc_id, lang_pred, score and rejected of each document."""
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        known: dict[str, int] = {}
-        table, sizes = np.zeros((0, len(m.langs) if m else 1)), np.zeros(0, int)
+        scorer = Scorer(m) if m else lambda texts: [None] * len(texts)
         for b in batches:
-            split = [WORDS.findall(t.lower()) if t else [] for t in b["text"]]
-            if len(known) > 500_000:
-                known, table, sizes = {}, table[:0], sizes[:0]
-            new = list({w for ws in split for w in ws if w not in known})
-            if new and m:
-                known.update(zip(new, range(len(known), len(known) + len(new))))
-                nats, chars = m.nats(new)
-                table, sizes = np.concatenate([table, nats]), np.concatenate([sizes, chars])
             rows = []
-            for i, ws in zip(b["doc_id"], split):
-                if not ws or not m:
+            for i, got in zip(b["doc_id"], scorer(b["text"])):
+                if not got:
                     rows.append((i, "und", 0.0, True))
                     continue
-                at = np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))
-                chars = sizes[at].sum()
-                each = table[at].sum(0) / chars
+                chars, each = got
                 best = int(each.argmin())
-                gap = np.clip((each - each[best]) * slope * np.log1p(chars), 0, 50)
-                score = float(1 / np.exp(-gap).sum())
-                rows.append((i, m.langs[best], score, score < reject))
+                score = float(softmax(np.array([chars]), each[None], m.slope)[0])
+                strange = each[best] > m.usual[best] + m.width[best] / np.sqrt(chars)
+                rows.append((i, m.langs[best], score, bool(score < m.reject or strange)))
             yield pd.DataFrame(rows, columns=["doc_id", "lang_pred", "score", "rejected"])
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, lang_pred string, score double, rejected boolean")
