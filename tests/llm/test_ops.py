@@ -291,3 +291,12 @@ def test_op1_rejects_unlearned_language(spark):
     fresh = spark.createDataFrame([(i, make("qwzxcvj")) for i in range(40)], "doc_id long, text string")
     assert langid.predict(fresh, models).where("rejected").count() == 40
     assert langid.predict(df.where("doc_id >= 700"), models).where("NOT rejected").count() >= 90
+
+
+def test_op5_every_homoglyph():
+    assert [toxicity.fold(k) for k in toxicity.HOMOGLYPHS] == list(toxicity.HOMOGLYPHS.values())
+    a = toxicity.automaton({k: 1.0 for k in toxicity.LEXICON})
+    greek = str.maketrans("ABEZHIKMNOPTYX", "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ")
+    for word in ("MORON", "IDIOT", "BASTARD", "FILTHY"):
+        assert toxicity.hits(word.translate(greek), a)[1] == 1, word
+    assert toxicity.hits("М0RОN, ίdiot", a)[1] == 2

@@ -1,6 +1,6 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick after folding.
 
-Folding lower-cases, drops accents, and maps homoglyphs and digits inside words to Latin letters. Whole-word matches add
+Folding maps homoglyphs, capital ones before it lower-cases, drops accents, and maps digits inside words to Latin letters. Whole-word matches add
 their weight unless an exception phrase covers them. A logistic model turns hits, normalised by length, into a score;
 weights and model come from labelled rows only (at most MAX_LABELLED of them, drawn by a hash of doc_id).
 
@@ -33,9 +33,12 @@ _ONE = {ord(a): b for a, b in HOMOGLYPHS.items()}
 
 def fold(text: str) -> str:
     """Letters as Latin ones; digits and signs become letters only where they touch a letter of the same word."""
-    t = text.lower().translate(_ONE)
+    t = text
+    if not t.isascii():  # capitals look like other letters than their small forms, so they are mapped before and after
+        t = "".join(c for c in unicodedata.normalize("NFKD", t.translate(_ONE)) if not unicodedata.combining(c)).translate(_ONE)
+    t = t.lower()
     if not t.isascii():
-        t = "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower()
+        t = t.translate(_ONE)
     if any(c in t for c in DIGITS):
         words = t.split(" ")
         for i, w in enumerate(words):
