@@ -300,3 +300,16 @@ def test_op5_every_homoglyph():
     for word in ("MORON", "IDIOT", "BASTARD", "FILTHY"):
         assert toxicity.hits(word.translate(greek), a)[1] == 1, word
     assert toxicity.hits("М0RОN, ίdiot", a)[1] == 2
+
+
+def test_op2_null_ids(spark):
+    """Rows without an id are linked and kept as others are."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(30)) for x in "abc")
+    rows = [(5, a), (None, a), (None, b), (None, b + " more"), (None, c), (None, None), (7, "other words stand here alone")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = jaccard.link(df).collect()
+    assert len(got) == len(rows) and sum(r["doc_id"] is None for r in got) == 5
+    assert sorted((r["component_id"], r["class_id"]) for r in got if r["component_id"] is not None) == [(5, 5), (5, 5), (7, 7)]
+    kept = jaccard.keep_first(df).collect()
+    assert sorted(((r["doc_id"], (r["text"] or "")[:2]) for r in kept), key=repr) == [(5, "a0"), (7, "ot"), (None, ""), (None, "b0"), (None, "c0")]
+    assert jaccard.keep_first(df.where("doc_id IS NULL")).count() == 4

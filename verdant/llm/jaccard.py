@@ -11,6 +11,9 @@ one small group that counts all their common shingles at once, as a matrix produ
 do not meet. So no group of copies makes rows for its pairs, no task holds a whole group, and every link is verified or lies
 inside one component.
 
+Null doc_id: the row takes part under a number above all ids, which must fit a long; so it is linked as any other, and stays only
+where no row of its component has an id and it is the first. In link() such a number shows as null: the doc_id of the row, and
+class_id or component_id where no row of the class or component has an id.
 Null or wordless text: empty set, its own component. Fewer words than a shingle: the whole sequence is the one shingle.
 Repeated rows share a class. Empty table: no rows. Components are named by their smallest doc_id.
 """
@@ -24,7 +27,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -263,8 +266,28 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("v"), F.col("b").alias("component")).union(e.select(F.col("b").alias("v"), F.col("b").alias("component"))).distinct()
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, int | None]:
+    """The rows with numbers above the largest id in place of null ids, and that id; None where no id is null."""
+    top, lost = docs.agg(F.coalesce(F.max("doc_id"), F.lit(0)), F.count_if(F.col("doc_id").isNull())).first()
+    if not lost:
+        return docs, None
+    # written, as the numbers must not change between reads
+    rest = cut(docs.where(F.col("doc_id").isNull()).withColumn("doc_id", F.lit(top + 1).cast("long") + F.monotonically_increasing_id()))
+    return docs.where(F.col("doc_id").isNotNull()).unionByName(rest), top
+
+
+def named(c: str, top: int | None) -> Column:
+    return F.col(c) if top is None else F.when(F.col(c) <= top, F.col(c)).alias(c)
+
+
 def link(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """doc_id, n_shingles, class_id (smallest doc_id of the same set) and component_id of each document."""
+    docs, top = numbered(docs)
+    return _link(docs, share).select(named("doc_id", top), "n_shingles", named("component_id", top), named("class_id", top))
+
+
+def _link(docs: DataFrame, share: int) -> DataFrame:
+    """As link(), without null ids."""
     sets = cut(_sets(docs))
     hist = _histogram(sets)
     rows = sets.where("doc_id IS NOT NULL")
@@ -303,4 +326,6 @@ def link(docs: DataFrame, share: int = SHARE) -> DataFrame:
 
 def keep_first(docs: DataFrame, share: int = SHARE) -> DataFrame:
     """One document, that of the smallest doc_id, of each component."""
-    return docs.join(link(docs, share).where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi")
+    docs, top = numbered(docs)
+    kept = docs.join(_link(docs, share).where("doc_id = component_id").select("doc_id"), "doc_id", "left_semi")
+    return kept if top is None else kept.withColumn("doc_id", named("doc_id", top))
