@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from verdant.operators import phenology
+from verdant.operators import phenology, series
 from verdant.plans import queries as Q
 
 SF = "/root/testdata/sf0.001"
@@ -52,3 +52,16 @@ def test_smoother_is_surer_than_filter(spark):
     f = Q.QUERIES["f2_kf_filter"](spark, SF).withColumnsRenamed({"mean": "m", "variance": "v"})
     s = Q.QUERIES["f3_f17_kf_smooth"](spark, SF)
     assert f.join(s, ["pixel_id", "obs_date"]).where("variance > v + 1e-12").count() == 0
+
+
+def test_despike_over_nulls(spark):
+    """A spike's neighbours are the values next to it, not the NULLs."""
+    rows = [(1, d, v) for d, v in enumerate([None, 10.0, None, 1.0, None, None, 10.0, None])]
+    got = series.despike(spark.createDataFrame(rows, "pixel_id long, obs_date int, v double"), "v")
+    assert [r["obs_date"] for r in got.where("spike").collect()] == [3]
+
+
+def test_union_of_dates(spark):
+    got = Q.QUERIES["h2_union_dates"](spark, SF)
+    shared = Q.QUERIES["h2_h3_shared_dates"](spark, SF).select("pixel_id", "obs_date")
+    assert got.count() == got.distinct().count() > shared.count() and shared.subtract(got).count() == 0

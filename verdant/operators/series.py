@@ -33,9 +33,10 @@ def interpolate(value: str, key: str, day: str) -> Column:
 
 
 def despike(df: DataFrame, value: str, key: str = "pixel_id", day: str = "obs_date", ratio: float = 2.0, least: float = 0.0) -> DataFrame:
-    """Adds `spike`: a fall against the mean of both neighbours that is large beside their difference."""
+    """Adds `spike`: a fall against the mean of both non-null neighbours that is large beside their difference."""
     w = order(key, day)
-    a, b = F.lag(value).over(w), F.lead(value).over(w)
+    a = F.last(value, True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    b = F.first(value, True).over(w.rowsBetween(1, Window.unboundedFollowing))
     dev = F.col(value) - (b - a) / 2 - a
     return df.withColumn("spike", F.coalesce((dev < 0) & (F.abs(dev) > least) & (F.abs(dev) > ratio * F.abs(b - a)), F.lit(False)))
 

@@ -273,6 +273,13 @@ def h2_h3_shared_dates(spark: SparkSession, d: str) -> DataFrame:
     return a.intersect(b).withColumn("sensor", F.lit("S1"))
 
 
+@query(f"""WITH {OBS} SELECT pixel_id, obs_date FROM obs WHERE sensor='S1' UNION SELECT pixel_id, obs_date FROM obs WHERE sensor='S3'""")
+def h2_union_dates(spark: SparkSession, d: str) -> DataFrame:
+    o = V.obs(spark, d)
+    a, b = (o.where(F.col("sensor") == s).select("pixel_id", "obs_date") for s in ("S1", "S3"))
+    return a.union(b).distinct()
+
+
 @query(f"""WITH {GROUND} SELECT site_id, count(*) FILTER (WHERE phase='1-URGENT') urgent, count(*) FILTER (WHERE phase='2-HIGH') high FROM ground GROUP BY 1""")
 def i2_pivot(spark: SparkSession, d: str) -> DataFrame:
     p = V.ground(spark, d).groupBy("site_id").pivot("phase", ["1-URGENT", "2-HIGH"]).count().na.fill(0)
