@@ -84,20 +84,8 @@ def test_op2_chain_of_edits(spark):
     assert jaccard.link(df).select("component_id").distinct().count() == 1
 
 
-def test_op2_common_counts():
-    sets = jaccard.shingled(["a b c d e f g", "b c d e f g h", None, "x", "A b", "a b c d e f g"])
-    want = [[len(np.intersect1d(x, y)) for y in sets[1:]] for x in sets]
-    assert (jaccard.common(sets, sets[1:], width=2) == want).all()
-    assert [len(x) for x in jaccard.shingled(["a b", ""])] == [1, 0]
-
-
-def test_op2_blocks_as_pairs(spark, monkeypatch):
-    base = [f"w{i}" for i in range(60)]
-    texts = [" ".join(base[:k] + [f"z{k}"] + base[k + 1 :]) for k in range(0, 60, 3)] + [" ".join(base[:40]), None, ""]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    monkeypatch.setattr(jaccard, "FEW", 1)
-    monkeypatch.setattr(jaccard, "BLOCK", 700)
-    got = {r["doc_id"]: r["component_id"] for r in jaccard.link(df).collect()}
+def linked(texts):
+    """Component of each text, by its place, of links among all pairs."""
     sets = jaccard.shingled(texts)
     want = list(range(len(texts)))
     for _ in texts:
@@ -106,7 +94,42 @@ def test_op2_blocks_as_pairs(spark, monkeypatch):
                 both = len(np.intersect1d(sets[a], sets[b]))
                 if both and 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
                     want[b] = min(want[b], want[a])
-    assert got == dict(enumerate(want))
+    return want
+
+
+@pytest.mark.parametrize("hot, fan", [(50_000, 2000), (3, 2)])
+def test_op2_borderline_groups(spark, monkeypatch, hot, fan):
+    """Documents that share a passage and stand around the threshold, with salted tokens and cells of a text, too."""
+    r = np.random.default_rng(5)
+    texts = []
+    for k in range(90):
+        w = [f"w{i}" for i in range(60)]
+        for i in r.choice(60, r.integers(0, 3), replace=False):
+            w[i] = f"z{r.integers(4)}"
+        texts.append(" ".join(w[: r.integers(45, 61)]))
+    texts += [None, "", "a b", "A b", "a"]
+    monkeypatch.setattr(jaccard, "HOT", hot)
+    monkeypatch.setattr(jaccard, "FAN", fan)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.link(df).collect()}
+    assert got == dict(enumerate(linked(texts)))
+
+
+def test_op2_token_in_half_of_all_rows(spark):
+    """A passage that makes up most of many documents: the others' tokens decide."""
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [f"{passage} " + " ".join(f"u{k}x{i}" for i in range(3 + k % 5)) for k in range(60)] + [" ".join(f"v{k}x{i}" for i in range(30)) for k in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.link(df).collect()}
+    assert got == dict(enumerate(linked(texts)))
+
+
+def test_op2_repeated_rows_and_clashes(spark):
+    rows = [(1, "a b c d e f g h"), (1, "a b c d e f g h"), (2, "a b c d e f g h"), (3, "other words stand here all alone now")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({k: F.lit(0) for k in ("v", "a", "b", "n", "component", "cell")})
+    kept = jaccard.keep_first(df)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+    assert jaccard.link(df.limit(0)).count() == 0 == jaccard.keep_first(df.limit(0)).count()
 
 
 def test_op3_brute_force(docs, rows):

@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Python's translate table for the ASCII letters only.
-ASCII_LOWER = str.maketrans(UPPER, LOWER)
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
+#: Up to so many rows of ids and small numbers are broadcast; beyond, the join shuffles.
+MAX_IDS = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,20 +33,59 @@ def words(c: Column) -> Column:
     return F.filter(F.split(F.coalesce(c, F.lit("")), SPACE), lambda w: w != "")
 
 
+def utf8(t: str | bytes | None) -> bytes:
+    return t if isinstance(t, bytes) else (t or "").encode("utf-8", "surrogatepass")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names; one of our own only where none is set, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="verdant-")
+    """The folder that the cluster names; one of our own only where none is set and all tasks run in this process, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="verdant-")
+
 
+def cut(df: DataFrame, *spent: DataFrame) -> DataFrame:
+    """Write df in the shared folder and read it again: the lineage ends there and a lost executor costs no rework.
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write df in the shared folder and read it again: the lineage ends there and a lost executor costs no rework."""
+    spent: earlier results of cut that nothing but df needs; their files go once df is written.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_folder"] = path
+    drop(*spent)
+    return out
+
+
+def drop(*spent: DataFrame) -> None:
+    """Delete the files of results of cut that are not read any more."""
+    for old in spent:
+        path = old.sparkSession._jvm.org.apache.hadoop.fs.Path(old.__dict__["_folder"])
+        path.getFileSystem(old.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def bounded(ids: DataFrame, most: int = MAX_IDS) -> DataFrame:
+    """ids with a broadcast hint where they are at most so many, counted; ids should be cheap to read twice."""
+    return F.broadcast(ids) if ids.count() <= most else ids
+
+
+def only(rows: DataFrame, key: str, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """The rows whose key is among the distinct values of the one column of ids."""
+    ids = ids.toDF("_verdant_key")
+    return rows.join(bounded(ids), F.col(key) == F.col("_verdant_key"), how)
+
+
+def without(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """The other rows, those with a null key among them."""
+    return only(rows, key, ids, "left_anti")
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keep Arrow batches of whole texts small: some texts have many thousand words."""
+    """Keep Arrow batches of whole texts small: some texts have many thousand words. Holds for the session from then on."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
