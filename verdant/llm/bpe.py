@@ -2,9 +2,10 @@
 
 Each piece of the text keeps the ranks of its adjacent pairs in a tree of minima. The root names the lowest rank and,
 among equals, the leftmost pair; a merge changes three leaves, each a logarithmic update. Merging ends when the root
-holds no mergeable pair. Distinct pieces are encoded once for each task and kept in a dictionary of bounded size.
+holds no mergeable pair. Distinct words are encoded once for each worker and kept in dictionaries of bounded size.
 
-Null text: as empty; no tokens. Empty table: no rows. Repeated rows: each is encoded. Other columns are left alone.
+Null text: as empty; no tokens. Empty table: no rows. Repeated rows: each is encoded. Very long texts and pieces: whole. Ties
+between pairs: the leftmost. digests() ignores other columns; encoded() keeps them, but for those named as its own four.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -23,35 +25,20 @@ from pyspark.sql import functions as F
 
 NONE = 1 << 60
 #: White space as the tokenizer file's patterns see it (Unicode White_Space).
-WS = r"\t-\r \x85\xa0  -     　"
+WS = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WS}\p{{L}}\p{{N}}]+")
-SPACES = regex.compile(rf"[{WS}]+")
+EXOTIC = regex.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
-class MinTree:
-    """Minima of (rank, place), flat in one list; the leftmost place wins among equal ranks."""
+class Words(dict):
+    """Words to their packed ids (named: to their tokens joined by a space), each found when first asked for."""
 
-    def __init__(self, ranks: list[int]):
-        self.n = 1
-        while self.n < len(ranks):
-            self.n *= 2
-        self.t = [NONE] * self.n + ranks + [NONE] * (self.n - len(ranks))
-        for i in range(self.n - 1, 0, -1):
-            self.t[i] = min(self.t[2 * i], self.t[2 * i + 1])
+    def __init__(self, tokenizer: Tokenizer, named: bool):
+        super().__init__()
+        self.tokenizer, self.named = tokenizer, named
 
-    def put(self, i: int, rank: int) -> None:
-        i += self.n
-        self.t[i] = rank
-        while i > 1:
-            i //= 2
-            self.t[i] = min(self.t[2 * i], self.t[2 * i + 1])
-
-    def first(self) -> tuple[int, int]:
-        """Lowest rank and its leftmost place."""
-        i, low = 1, self.t[1]
-        while i < self.n:
-            i = 2 * i if self.t[2 * i] == low else 2 * i + 1
-        return low, i - self.n
+    def __missing__(self, word: bytes):
+        return self.tokenizer.learn(word)[self.named]
 
 
 def byte_letters() -> list[str]:
@@ -69,66 +56,115 @@ class Tokenizer:
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
-        self.merges = {(self.vocab[a], self.vocab[b]): (rank, self.vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.ranks = {self.vocab[a] << 32 | self.vocab[b]: rank for rank, (a, b) in enumerate(pairs)}
+        self.merged = [self.vocab[a + b] for a, b in pairs]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.names = {i: t for t, i in (self.vocab | self.special).items()}
-        self.letters, self.keep, self.known = byte_letters(), keep, {}
+        self.inner, self.last = ([self.vocab.get(x + end) for x in byte_letters()] for end in ("", self.suffix))
+        self.keep, self.pieces, self.ids, self.texts = keep, {}, Words(self, False), Words(self, True)
 
     def merge(self, ids: list[int]) -> list[int]:
-        n = len(ids)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        rank = lambda i: self.merges.get((ids[i], ids[after[i]]), (NONE,))[0] if after[i] < n else NONE
-        tree = MinTree([rank(i) for i in range(n)])
-        while True:
-            low, i = tree.first()
-            if low == NONE:
-                break
+        """A tree of minima over the pairs' (rank, place) as one number: the root is the leftmost pair of the lowest rank."""
+        n, size = len(ids), 1
+        while size < n:
+            size *= 2
+        bits = n.bit_length()
+        mask, get, t = (1 << bits) - 1, self.ranks.get, [NONE] * (2 * size)
+        for i in range(n - 1):
+            rank = get(ids[i] << 32 | ids[i + 1])
+            if rank is not None:
+                t[size + i] = rank << bits | i
+        for i in range(size - 1, 0, -1):
+            a, b = t[2 * i], t[2 * i + 1]
+            t[i] = a if a < b else b
+        after, before, merged = list(range(1, n + 1)), list(range(-1, n - 1)), self.merged
+        while (low := t[1]) != NONE:
+            i = low & mask
             j = after[i]
-            ids[i] = self.merges[ids[i], ids[j]][1]
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            ids[j] = -1
-            tree.put(j, NONE)
-            tree.put(i, rank(i))
-            if before[i] >= 0:
-                tree.put(before[i], rank(before[i]))
+            k = after[j]
+            ids[i], ids[j], after[i] = merged[low >> bits], -1, k
+            new, h = NONE, before[i]
+            if k < n:
+                before[k] = i
+                if (rank := get(ids[i] << 32 | ids[k])) is not None:
+                    new = rank << bits | i
+            changed = [(i, new)]
+            if t[size + j] != NONE:
+                changed.append((j, NONE))
+            if h >= 0:
+                rank = get(ids[h] << 32 | ids[i])
+                changed.append((h, NONE if rank is None else rank << bits | h))
+            for at, key in changed:  # a logarithmic update each, which ends where nothing changes
+                at += size
+                while t[at] != key:
+                    t[at] = key
+                    if at == 1:
+                        break
+                    b = t[at ^ 1]
+                    key = key if key < b else b
+                    at >>= 1
         return [x for x in ids if x >= 0]
 
-    def piece(self, piece: str) -> tuple[int, ...]:
-        symbols = [self.letters[b] for b in piece.encode("utf-8")]
-        symbols[-1] += self.suffix
-        ids = [self.vocab[s] for s in symbols if s in self.vocab]
-        return tuple(self.merge(ids) if len(ids) > 1 else ids)
-
-    def normal(self, text: str) -> str:
-        text = SPACES.sub(" ", unicodedata.normalize("NFC", text))
-        # letter by letter: no rule for a sigma at a word's end
-        return "".join(map(str.lower, text)) if "Σ" in text else text.lower()
+    def piece(self, piece: str) -> list[int]:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            data = piece.encode("utf-8")
+            ids = [self.inner[b] for b in data[:-1]] + [self.last[data[-1]]]
+            if None in ids:
+                ids = [i for i in ids if i is not None]
+            if len(ids) > 1:
+                ids = self.merge(ids)
+            if len(piece) <= 64:
+                if len(self.pieces) >= self.keep:
+                    self.pieces.clear()
+                self.pieces[piece] = ids
+        return ids
+
+    def learn(self, word: bytes) -> tuple[bytes, str]:
+        """Packed ids of a word and their tokens; both dictionaries keep them, as far as their bound goes."""
+        if word[:1] == b"\xff":
+            return array("I", [self.special[word[1:].decode()]]).tobytes(), word[1:].decode()
+        ids = [i for piece in PIECES.findall(word.decode("utf-8")) for i in self.piece(piece)]
+        out = array("I", ids).tobytes(), " ".join([self.names[i] for i in ids])
+        if len(word) <= 64:
+            if len(self.ids) >= self.keep:
+                self.ids.clear(), self.texts.clear()
+            self.ids[word], self.texts[word] = out
+        return out
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+    def words(self, text: str) -> list[bytes]:
+        """Words between white space, lower-cased; special tokens stand alone, each after a byte that no word begins with."""
+        if text.isascii() and not (self.split and "<" in text and self.split.search(text)):
+            return text.lower().encode().split()  # bytes split at the ASCII white space, and at no other control character
+        out: list[bytes] = []
         for part in self.split.split(text) if self.split else [text]:
             if part in self.special:
-                out.append(self.special[part])
+                out.append(b"\xff" + part.encode())
                 continue
-            known = self.known
-            for piece in PIECES.findall(self.normal(part)):
-                ids = known.get(piece)
-                if ids is None:
-                    ids = self.piece(piece)
-                    if len(piece) <= 64:
-                        if len(known) >= self.keep:
-                            known.clear()
-                        known[piece] = ids
-                out.extend(ids)
+            part = EXOTIC.sub(" ", unicodedata.normalize("NFC", part))
+            # letter by letter: no rule for a sigma at a word's end
+            out += ("".join(map(str.lower, part)) if "Σ" in part else part.lower()).encode().split()
         return out
 
-    def decode(self, ids: list[int]) -> str:
+    def packed(self, text: str) -> list[bytes]:
+        """Packed ids of each word, and of each special token."""
+        return list(map(self.ids.__getitem__, self.words(text)))
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(b"".join(self.packed(text)), "<u4").tolist()
+
+    def decode(self, ids: Iterable[int]) -> str:
         """The file names no decoder: tokens are joined by a space."""
         return " ".join([self.names[i] for i in ids if i in self.names])
 
+    def digest(self, text: str | None) -> tuple[bytes, int, str, str]:
+        """Packed ids, their number, and hashes of the ids and of the text that they decode to."""
+        words = self.words(text) if text else []
+        ids = b"".join(map(self.ids.__getitem__, words))
+        texts = " ".join(filter(None, map(self.texts.__getitem__, words)))
+        return ids, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(texts.encode()).hexdigest()
+
 
 @lru_cache(maxsize=2)
 def load(file: str) -> Tokenizer:
@@ -153,10 +189,19 @@ def digests(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tok = load(file)
         for b in batches:
-            rows = []
-            for i, t in zip(b[id_col], b[text_col]):
-                ids = tok.encode(t) if t else []
-                rows.append((i, len(ids), hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(tok.decode(ids).encode()).hexdigest()))
+            rows = [(i, *tok.digest(t)[1:]) for i, t in zip(b[id_col], b[text_col])]
             yield pd.DataFrame(rows, columns=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(id_col, text_col).mapInPandas(run, f"{id_col} bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+
+
+def encoded(docs: DataFrame, file: str, text_col: str = "text") -> DataFrame:
+    """docs with all its columns, and n_tokens, ids (packed, little-endian unsigned 32-bit) and the two hashes."""
+
+    names = ["ids", "n_tokens", "ids_sha256", "decoded_sha256"]
+
+    @F.pandas_udf("ids binary, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([*map(load(file).digest, texts)], columns=names)
+
+    return docs.withColumn("_verdant_ids", run(text_col)).select(*[F.col(f"`{c}`") for c in docs.columns if c not in names], "_verdant_ids.*")
