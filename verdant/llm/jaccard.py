@@ -210,14 +210,16 @@ def groups(packed: DataFrame, share: int = SHARE) -> DataFrame:
         same = key[order[1:]] == key[order[:-1]]
         hot = c["parts"] > 1  # a salted token meets its other salts later: all its rows stay
         order = order[np.r_[False, same] | np.r_[same, False] | hot[order]]
+        if not len(order):
+            return pd.DataFrame(columns=[x.split()[0] for x in GROUP.split(", ")])
         order = order[np.lexsort((c["d"][order], c["n"][order], key[order]))]
         key, c = key[order], {k: x[order] for k, x in c.items()}
         again = np.r_[False, (key[1:] == key[:-1]) & (c["d"][1:] == c["d"][:-1])]  # repeated rows
         key, c = key[~again], {k: x[~again] for k, x in c.items()}
-        new = np.r_[True, key[1:] != key[:-1]] if len(key) else np.zeros(0, bool)
+        new = np.r_[True, key[1:] != key[:-1]]
         of = np.cumsum(new) - 1
-        near = np.r_[False, 100 * c["n"][:-1].astype(np.int64) >= share * c["n"][1:].astype(np.int64)][: len(key)] & ~new
-        use = (np.bincount(of, near)[of] > 0) | (c["parts"] > 1) if len(of) else new
+        near = np.r_[False, 100 * c["n"][:-1].astype(np.int64) >= share * c["n"][1:].astype(np.int64)] & ~new
+        use = (np.bincount(of, near)[of] > 0) | (c["parts"] > 1)
         key, new, c = key[use], new[use], {k: x[use] for k, x in c.items()}
         first = np.flatnonzero(new)
         if not len(first):
