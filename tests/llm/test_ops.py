@@ -169,6 +169,18 @@ def test_op5_held_out(spark):
     assert held.predicted.sum() > 0.5 * held.toxic.sum()
 
 
+def test_op5_learns_terms_of_every_language(spark):
+    """Terms of no fixed list, whole words or inside words, are learned from labelled rows; common ones are not."""
+    rows = [(i, f"wort {i} " + ("du schnorzel" if i % 4 == 0 else "das xgromblatzx" if i % 4 == 1 else "lieber freund") + f" und {i % 7}", int(i % 4 < 2)) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    weights, beta = toxicity.fit(df.select("doc_id", "text", F.lit("x").alias("toxic")), df.select("doc_id", "toxic"))
+    assert {"schnorzel", "*rombla"} <= set(weights) and "wort" not in weights
+    new = spark.createDataFrame([(1, "ein SCHN0RZEL\nbist du"), (2, "der gromblatz"), (3, "ein freund"), (4, None), (5, "")], "doc_id long, text string").withColumn("score", F.lit("clash"))
+    assert by_id(toxicity.score(new, weights, beta)).score.ge(0.7).tolist() == [True, True, False, False, False]
+    assert sorted(r["doc_id"] for r in toxicity.clean(new, weights, beta).collect()) == [3, 4, 5] and toxicity.clean(new, weights, beta).columns == new.columns
+    assert toxicity.score(new.limit(0), *toxicity.fit(df.limit(0), df.limit(0))).count() == 0
+
+
 def test_op5_folding():
     a = toxicity.automaton({k: 1.0 for k in toxicity.LEXICON})
     assert toxicity.hits("You 1d10t, what a m0rоn", a)[1] == 2 and toxicity.hits("the trash can is full", a)[1] == 0

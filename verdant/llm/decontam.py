@@ -8,7 +8,8 @@ words than SPAN leak where all their words stand in a row: they are joined by th
 do not count.
 
 The test hashes are broadcast only below MAX_BROADCAST of them, else shuffled. Null text and texts without words match nothing.
-Repeated items each give a row. Empty tables: no rows.
+Repeated items and repeated documents give one row. Null ids match nothing; clean() keeps documents without one. Very long texts:
+whole. Ties between places of one item: the best run counts. Other columns are not read. Empty tables: no rows.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, words
+from .common import ascii_lower, cut, only, without, words
 
 #: Positions that each mask reads: every pattern of 3 unequal words in 13, and of 2 in 10 to 12, leaves one of the masks equal somewhere.
 MASKS = ((0, 2, 3, 4), (0, 3, 6, 8))
@@ -57,9 +58,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: in
     test = hashed(benchmark, "item_id", sizes, items=True).withColumnRenamed("p", "q")
     small = test.count() <= MAX_BROADCAST
     side = F.broadcast(test) if small else test
-    hit = hashed(docs, "doc_id", sizes).join(side, ["m", "s"]).select("doc_id", "item_id", (F.col("p") - F.col("q")).alias("offset")).distinct()
-    texts = docs.select(F.col("doc_id").alias("d"), tokens(F.col("text")).alias("w"))
-    items = benchmark.select(F.col("item_id").alias("i"), tokens(F.col("text")).alias("item"))
+    hit = cut(hashed(docs, "doc_id", sizes).join(side, ["m", "s"]).select("doc_id", "item_id", (F.col("p") - F.col("q")).alias("offset")).distinct())
+    # the texts of documents without a hit are neither cut into words again nor shuffled
+    texts = only(docs.select("doc_id", "text"), "doc_id", cut(hit.select("doc_id").distinct()))
+    texts = texts.select(F.col("doc_id").alias("d"), tokens(F.col("text")).alias("w"))
+    items = only(benchmark.select("item_id", "text"), "item_id", cut(hit.select("item_id").distinct()))
+    items = items.select(F.col("item_id").alias("i"), tokens(F.col("text")).alias("item"))
     # words of the item and the document side by side: from the later of both starts to the earlier of both ends
     pair = hit.join(F.broadcast(items) if small else items, F.col("item_id") == F.col("i")).join(texts, F.col("doc_id") == F.col("d"))
     first = F.greatest(F.lit(0), -F.col("offset"))
@@ -75,4 +79,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, least: in
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no item."""
-    return docs.join(leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti")
+    return without(docs, "doc_id", cut(leaks(docs, benchmark).select("doc_id").distinct()))

@@ -37,15 +37,16 @@ def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(table(spark, sf_dir, "documents"))
 
 
-def toxic_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Scores of docs by a lexicon fitted on labelled rows of the whole documents table."""
-    labelled = table(spark, sf_dir, "documents").select("doc_id", "text").join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id").where(bucket(3) != 1)
-    return toxicity.score(docs, *toxicity.fit(labelled))
+def toxic_model(spark: SparkSession, sf_dir: str) -> tuple:
+    """Terms and model of the labelled rows of the whole documents table."""
+    seen = bucket(3) != 1
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return toxicity.fit(table(spark, sf_dir, "documents").where(seen), labels.where(seen))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    out = toxic_scores(spark, table(spark, sf_dir, "documents"), sf_dir)
+    out = toxicity.score(table(spark, sf_dir, "documents"), *toxic_model(spark, sf_dir))
     return out.select("doc_id", (bucket(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 

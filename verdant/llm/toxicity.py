@@ -1,16 +1,22 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick after folding.
 
-Folding maps homoglyphs, capital ones before it lower-cases, drops accents, and maps digits inside words to Latin letters. Whole-word matches add
-their weight unless an exception phrase covers them. A logistic model turns hits, normalised by length, into a score;
-weights and model come from labelled rows only (at most MAX_LABELLED of them, drawn by a hash of doc_id).
-
-Null or empty text: the score of a text without hits. Rows without labels are scored, too. Empty table: no rows.
+Folding maps homoglyphs, capital ones before it lower-cases, drops accents, and maps digits inside words to Latin letters. The
+lexicon is a fixed list of insults and what labelled rows teach: words, and strings of PART letters inside words, that stand in at
+least LEAST toxic rows and in few others (share PURE). Matches of words between boundaries and of parts anywhere add their weight,
+a log odds, once for each term, unless an exception phrase covers them. A logistic model turns hits, normalised by length, into a
+score. Terms, weights and model come from at most about MAX_LABELLED labelled rows, drawn by a hash of doc_id.
+
+Null or empty text: the score of a text without hits. Rows without labels are scored, too. Repeated rows: each is scored. Very
+long texts: whole. Ties between terms: all count. Other columns are not read. No labelled rows of both classes: a fixed model.
+Empty table: no rows.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -18,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut, drop
+
 # Insults in four languages.
 LEXICON = """idiot idiots idiotic moron morons moronic stupid stupidity clown clowns worthless pathetic disgusting trash scum loser losers
 dumb imbecile jerk bastard bitch asshole fool filthy vermin garbage retard retarded creep freak cretin dimwit scumbag
@@ -26,9 +34,13 @@ EXCEPTIONS = "trash can|trash bin|trash collection|trash bag|garbage collection|
 # Letters of other scripts and signs that look like Latin letters.
 HOMOGLYPHS = dict(zip("аеорсухкіјѕԁԛԝһոвнмтΑΒΕΖΗΙΚΜΝΟΡΤΥΧαορυνικ", "aeopcyxkijsdqwhnbhmtabezhikmnoptyxaopuvik"))
 DIGITS = dict(zip("013457@$", "oieastas"))
-MAX_LABELLED = 50_000
+MAX_LABELLED = 30_000
+MAX_TERMS = 5000  # learned ones, those of most toxic rows first
+PART, LEAST, PURE = 6, 5, 0.9
 
-_ONE = {ord(a): b for a, b in HOMOGLYPHS.items()}
+_ONE, _DIGIT = ({ord(a): b for a, b in m.items()} for m in (HOMOGLYPHS, DIGITS))
+WORDS = re.compile(r"\S+")
+TERM = re.compile(r"[^\W_]+")
 
 
 def fold(text: str) -> str:
@@ -40,93 +52,141 @@ def fold(text: str) -> str:
     if not t.isascii():
         t = t.translate(_ONE)
     if any(c in t for c in DIGITS):
-        words = t.split(" ")
-        for i, w in enumerate(words):
-            if any(c in w for c in DIGITS) and sum(c.isalpha() for c in w) * 3 >= sum(c.isalnum() or c in "@$" for c in w):
-                words[i] = "".join(DIGITS.get(c, c) for c in w)
-        t = " ".join(words)
+        t = WORDS.sub(lambda m: _letters(m[0]), t)
     return t
 
 
+def _letters(w: str) -> str:
+    if any(c in w for c in DIGITS) and sum(c.isalpha() for c in w) * 3 >= sum(c.isalnum() or c in "@$" for c in w):
+        return w.translate(_DIGIT)
+    return w
+
+
 def automaton(weights: dict[str, float]) -> ahocorasick.Automaton:
+    """Terms that begin with * match anywhere, the others between boundaries."""
     a = ahocorasick.Automaton()
+    held: dict[str, list] = {}
     for k, w in weights.items():
-        a.add_word(k, (len(k), w, False))
+        held.setdefault(k.lstrip("*"), []).append((w, k[0] == "*", False))
     for k in EXCEPTIONS:
-        a.add_word(k, (len(k), 0.0, True))
-    a.make_automaton()
+        held.setdefault(k, []).append((0.0, False, True))
+    for k, found in held.items():
+        a.add_word(k, (k, found))
+    if held:
+        a.make_automaton()
     return a
 
 
 def hits(text: str | None, a: ahocorasick.Automaton) -> tuple[float, int, int]:
-    """Weight of the hits, their number, and the number of words."""
+    """Weight of the terms that hit, their number, and the number of words."""
     if not text:
         return 0.0, 0, 0
     t = fold(text)
     found, excused = [], []
-    for end, (size, w, exception) in a.iter(t):
-        start = end - size + 1
-        if (start and t[start - 1].isalnum()) or (end + 1 < len(t) and t[end + 1].isalnum()):
-            continue
-        (excused if exception else found).append((start, end + 1, w))
+    for end, (k, kinds) in a.iter(t):
+        start = end - len(k) + 1
+        whole = not ((start and t[start - 1].isalnum()) or (end + 1 < len(t) and t[end + 1].isalnum()))
+        for w, anywhere, exception in kinds:
+            if anywhere or whole:
+                (excused if exception else found).append((start, end + 1, w, k))
     if excused:
-        found = [f for f in found if not any(s <= f[0] and f[1] <= e for s, e, _ in excused)]
-    return sum(f[2] for f in found), len(found), len(t.split())
+        found = [f for f in found if not any(s <= f[0] and f[1] <= e for s, e, *_ in excused)]
+    terms = {f[3]: f[2] for f in found}
+    return sum(terms.values()), len(terms), len(t.split())
+
+
+def terms(text: str) -> set[str]:
+    """Words of a folded text, and the strings inside longer ones, marked by *."""
+    out = {w for w in TERM.findall(text) if len(w) > 2}
+    return out | {"*" + w[i : i + PART] for w in out for i in range(len(w) - PART + 1)}
 
 
 def features(weight: np.ndarray, n: np.ndarray, words: np.ndarray) -> np.ndarray:
     return np.column_stack([np.ones(len(n)), n > 0, np.log1p(weight), 10 * weight / np.sqrt(words + 25.0)])
 
 
-def fit(labelled: DataFrame, max_rows: int = MAX_LABELLED) -> tuple[dict[str, float], np.ndarray]:
-    """Weights and model from (doc_id, text, toxic); without rows of both classes, every weight is 1 and the model is fixed."""
+def learned(sample: DataFrame) -> dict[str, float]:
+    """Terms of the toxic rows of (text, toxic), with their log odds."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        all_, toxic = Counter(), Counter()
+        for b in batches:
+            for t, y in zip(b["text"], b["toxic"]):
+                found = terms(fold(t)) if t else ()
+                all_.update(found)
+                if y:
+                    toxic.update(found)
+        yield pd.DataFrame({"term": pd.Series(list(all_), dtype=object), "n": list(all_.values()), "t": [toxic[k] for k in all_]})
+
+    seen = sample.select("text", "toxic").mapInPandas(count, "term string, n bigint, t bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
+    rows = seen.where((F.col("t") >= LEAST) & (F.col("t") >= PURE * F.col("n"))).orderBy(F.desc("t"), "term").limit(MAX_TERMS).collect()
+    return {r["term"]: float(np.log((r["t"] + 0.5) / (r["n"] - r["t"] + 0.5))) for r in rows}
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> tuple[dict[str, float], np.ndarray]:
+    """Terms and model from (doc_id, text) and (doc_id, toxic); without rows of both classes, the fixed list at weight 1 and a fixed model."""
     plain = {k: 1.0 for k in LEXICON}
-    n = labelled.count()
-    share = min(1.0, max_rows / max(n, 1))
-    sample = labelled.where(F.col("toxic").isNotNull()).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    a = automaton(plain)
+    labels = labels.where(F.col("toxic").isNotNull())
+    share = min(1.0, max_rows / max(labels.count(), 1))
+    drawn = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20))).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    sample = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # about max_rows ids at most
+    sample = cut(sample.select("text", "toxic"))
+    weights = {**plain, **learned(sample)}
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ahocorasick.Automaton()
-        for k in LEXICON:
-            names.add_word(k, k)
-        names.make_automaton()
+        a = automaton(weights)
         for b in batches:
-            out = []
-            for t, y in zip(b["text"], b["toxic"]):
-                w, k, m = hits(t, a)
-                out.append((int(y), w, k, m, sorted({x for _, x in names.iter(fold(t))}) if k else []))
-            yield pd.DataFrame(out, columns=["toxic", "weight", "n", "words", "terms"])
+            yield pd.DataFrame([(int(y), *hits(t, a)) for t, y in zip(b["text"], b["toxic"])], columns=["toxic", "weight", "n", "words"])
 
-    got = sample.select("text", "toxic").mapInPandas(scan, "toxic int, weight double, n bigint, words bigint, terms array<string>").toPandas()
+    got = sample.mapInPandas(scan, "toxic int, weight double, n bigint, words bigint").toPandas()  # of the bounded sample, four numbers each
+    drop(sample)
     y = got["toxic"].to_numpy(float)
     default = np.array([-3.0, 3.0, 1.0, 0.5])
     if not len(got) or y.min() == y.max():
         return plain, default
-    seen: dict[str, list[int]] = {}
-    for label, terms in zip(got["toxic"], got["terms"]):
-        for t in terms:
-            seen.setdefault(t, [0, 0])[label] += 1
-    pos, neg = y.sum() + 1, (1 - y).sum() + 1
-    weights = {k: float(np.clip(np.log(((s := seen.get(k, [0, 0]))[1] + 1) / pos) - np.log((s[0] + 1) / neg), 0.1, 5) / 2) if k in seen else 1.0 for k in LEXICON}
     x = features(got["weight"].to_numpy(float), got["n"].to_numpy(), got["words"].to_numpy(float))
+
+    def loss(beta: np.ndarray) -> float:
+        z = x @ beta
+        return np.logaddexp(0, z).sum() - y @ z + ((beta - default) ** 2).sum() / 2
+
     beta = default.copy()
-    for _ in range(30):  # Newton steps with a ridge towards the fixed model
+    for _ in range(30):  # Newton steps with a ridge towards the fixed model, halved until they help
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         h = x.T @ (x * (p * (1 - p))[:, None]) + np.eye(4)
-        beta = beta + np.linalg.solve(h, x.T @ (y - p) - (beta - default))
-    beta[2:] = np.maximum(beta[2:], 0)
+        step, size = np.linalg.solve(h, x.T @ (y - p) - (beta - default)), 1.0
+        while loss(beta + size * step) > loss(beta) and size > 1e-6:
+            size /= 2
+        beta = beta + size * step
     return weights, beta
 
 
+def rate(texts: Iterable[str | None], a: ahocorasick.Automaton, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Score and number of terms of each text."""
+    got = np.array([hits(t, a) for t in texts], float).reshape(-1, 3)
+    return 1 / (1 + np.exp(-np.clip(features(got[:, 0], got[:, 1], got[:, 2]) @ beta, -30, 30))), got[:, 1].astype("int64")
+
+
 def score(docs: DataFrame, weights: dict[str, float], beta: np.ndarray) -> DataFrame:
     """doc_id, score and n_hits of each document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a = automaton(weights)
         for b in batches:
-            got = np.array([hits(t, a) for t in b["text"]], float).reshape(-1, 3)
-            s = 1 / (1 + np.exp(-np.clip(features(got[:, 0], got[:, 1], got[:, 2]) @ beta, -30, 30)))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "score": s, "n_hits": got[:, 1].astype("int64")})
+            s, n = rate(b["text"], a, beta)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "score": s, "n_hits": n})
 
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, score double, n_hits bigint")
+
+
+def clean(docs: DataFrame, weights: dict[str, float], beta: np.ndarray, level: float = 0.7) -> DataFrame:
+    """The rows of docs, with all their columns, whose score is under level; no shuffle."""
+    held: list = []
+
+    @F.pandas_udf("boolean")
+    def toxic(texts: pd.Series) -> pd.Series:
+        if not held:
+            held.append(automaton(weights))
+        return pd.Series(rate(texts, held[0], beta)[0] >= level)
+
+    return docs.where(~toxic("text"))
