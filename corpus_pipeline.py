@@ -1,4 +1,11 @@
-"""A training-data pipeline of five stages; each filters or rewrites the documents that the one before kept."""
+"""A training-data pipeline of five stages; each filters or rewrites the documents that the one before kept.
+
+toxicity: documents that score 0.7 or more go; null and empty texts stay. near_duplicates: of each component the document of the
+smallest doc_id stays, one row of it; rows without words stay. decontamination: documents that hold a benchmark item go.
+secrets: spans are replaced by a mark, n_chars follows. bpe: the columns stay, and n_tokens, ids (packed, little-endian unsigned
+32-bit) and the hashes of the ids and of the decoded text follow. Rows with a null doc_id go through all stages. Extra columns
+stay, but for those named as the last stage's own four. Empty table: no rows.
+"""
 
 from __future__ import annotations
 
@@ -6,14 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from verdant.llm import bpe, decontam, jaccard, secrets
+from verdant.llm import bpe, decontam, jaccard, secrets, toxicity
 from verdant.llm.common import cut, small_batches, table
-from verdant.llm.queries import tokenizer_file, toxic_scores
+from verdant.llm.queries import tokenizer_file, toxic_model
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return docs.join(toxic_scores(spark, docs, sf_dir).where("score >= 0.7").select("doc_id"), "doc_id", "left_anti")
+    return toxicity.clean(docs, *toxic_model(spark, sf_dir))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,15 +44,6 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     small_batches(spark)
-    return bpe.digests(docs, tokenizer_file())
-
-
-STAGES = [("toxicity", drop_toxic), ("near_duplicates", drop_near_duplicates), ("decontamination", drop_benchmark), ("secrets", redact_secrets), ("bpe", encode)]
-ORACLE_SQL = None
+    return bpe.encoded(docs, tokenizer_file())
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir))
-    return docs
