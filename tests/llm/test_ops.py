@@ -46,6 +46,16 @@ def test_op1_held_out_accuracy(docs, rows):
     assert (got.loc[held.doc_id, "lang_pred"].to_numpy() == held.lang.to_numpy()).mean() > 0.95
     assert got.loc[[10_000, 10_001, 10_002], "lang_pred"].eq("und").all() and got.score.between(0, 1).all()
     assert langid.predict(docs, langid.learn(docs.limit(0))).where("lang_pred <> 'und'").count() == 0
+    assert langid.words("\u00b2\u00bd 12 _") == [] and langid.words("Na\u00efve 2x") == ["na\u00efve", "x"]
+
+
+def test_op1_seen_ngrams_cost_less():
+    text = "a rose is a rose is a rosebud and sore eros".split()
+    grams = Counter(g for w in text for w in ["\1\1\1" + w + "\1"] for g in (w[i : i + 4] for i in range(len(w) - 3)))
+    m = langid.Models(["x"], {"x": dict(grams)})
+    nats = lambda w: m.nats([w])[0][0, 0]
+    assert nats("a") < nats("r") and nats("rose") < nats("resu") < nats("zqzq") < np.inf
+    assert m.nats(["rose", "a"])[1].tolist() == [5, 2]
 
 
 def test_op2_brute_force(docs, rows):

@@ -1,24 +1,29 @@
 """Language ID by interpolated Kneser-Ney character models, one for each language.
 
-Words are scored as strings of letters between boundaries. All n-grams of all languages stand in one sorted array of 64-bit
-hashes for each order, with a column of log probabilities for each language; missing n-grams back off by interpolation weight.
+Words are scored as strings of letters between boundaries, so that each place has a full context. Training counts the 4-grams of
+each language in Spark; the lower orders' continuation counts follow from the distinct ones. All n-grams of all languages stand in
+one sorted array of 64-bit hashes for each order, with a column of log probabilities for each language; missing n-grams back off by
+interpolation weight.
 The language of the lowest cross-entropy for each character wins; ties go to the first in alphabetical order. The score is a
 softmax of the margins to it times a slope and the logarithm of the length. Slope and rejection levels are fitted on training
 rows held back from the counts: the score below which LOST of the rightly named rows fall, and for each language the
 cross-entropy, as its mean plus a width that shrinks with the root of the length, above which LOST of them lie. A row under the
 first or over the second is marked rejected. With less than LEAST_ROWS rows held back, fixed values stand and no cross-entropy is rejected.
 
-Training counts words of at most MAX_DOCS documents for each language, drawn by a hash of doc_id. Text that is null or has no
-letter: `und`, score 0. No training rows: `und` for all. Empty table: no rows.
+Training counts words of about MAX_DOCS documents for each language, drawn by a hash of doc_id; only 4-grams, bounded by the
+alphabet, reach the driver. Text that is null or has no letter (Unicode L): `und`, score 0. No training rows: `und` for all.
+Repeated rows: each is predicted, and counts in training. Very long texts: whole. Other columns are not read. Empty table: no rows.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,17 +32,23 @@ MAX_DOCS = 3000
 HELD = 8  # one of so many sampled training rows is held back
 LOST = 0.01
 LEAST_ROWS = 20
-WORDS = re.compile(r"[^\W\d_]+")
+LETTERS, PLAIN = regex.compile(r"\p{L}+"), re.compile("[a-z]+")
+START = "\1" * (ORDER - 1)
+
+
+def words(text: str | None) -> list[str]:
+    t = (text or "").lower()
+    return (PLAIN if t.isascii() else LETTERS).findall(t)
 
 
 def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of all words, each between boundaries (1), and the word that each belongs to."""
-    text = "".join("\1" + w + "\1" for w in words)
-    return np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64), np.repeat(np.arange(len(words)), [len(w) + 2 for w in words])
+    """Code points of all words, each after START and before a boundary, and the word that each belongs to."""
+    text = "".join(START + w + "\1" for w in words)
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64), np.repeat(np.arange(len(words)), [len(w) + ORDER for w in words])
 
 
 def hashes(c: np.ndarray, n: int) -> np.ndarray:
-    """Hash of the n-gram that ends at each place; places with less than n characters before hold rubbish and are masked by the caller."""
+    """Hash of the n-gram that ends at each place; the first n - 1 hold rubbish."""
     h = np.full(len(c), np.uint64(1469598103934665603 + n))
     for k in range(n - 1, -1, -1):
         h = (h ^ np.concatenate([np.zeros(k, np.uint64), c[: len(c) - k]])) * np.uint64(1099511628211)
@@ -46,42 +57,28 @@ def hashes(c: np.ndarray, n: int) -> np.ndarray:
 
 
 class Models:
-    def __init__(self, langs: list[str], counts: dict[str, dict[str, int]], order: int = ORDER):
-        self.langs, self.order, self.tables = langs, order, []
+    """counts: for each language the 4-grams with how often they occur."""
+
+    def __init__(self, langs: list[str], counts: dict[str, dict[str, int]]):
+        self.langs, self.tables = langs, []
         self.slope, self.reject = 8.0, 0.5
         self.usual, self.width = np.zeros(len(langs)), np.full(len(langs), np.inf)
-        per = []
-        for lang in langs:
-            words = sorted(counts[lang])
-            c, of = codes(words)
-            weight = np.array([counts[lang][w] for w in words], float)[of]
-            first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-            place = np.arange(len(c)) - first[of]
-            per.append((c, weight, place))
-        lower = None
-        for n in range(1, order + 1):
+        grams = {k: sorted(counts[k]) for k in langs}
+        letters = {k: np.frombuffer("".join(g).encode("utf-32-le", "surrogatepass"), "<u4").reshape(-1, ORDER).astype(np.uint64) for k, g in grams.items()}
+        for n in range(1, ORDER + 1):
             parts = []
-            for c, weight, place in per:
-                ok = place >= max(n - 1, 1)
-                full, context, short = hashes(c, n), (np.roll(hashes(c, n - 1), 1) if n > 1 else np.zeros(len(c), np.uint64)), (hashes(c, n - 1) if n > 1 else None)
-                before = hashes(c, n + 1)
-                if n < order:  # continuation counts: distinct letters before, but whole counts where nothing can stand before
-                    deep = ok & (place >= n)
-                    _, at = np.unique(before[deep], return_index=True)
-                    f, ctx, s, w = full[deep][at], context[deep][at], None if short is None else short[deep][at], np.ones(len(at))
-                    edge = ok & (place < n)
-                    f, ctx, w = np.r_[f, full[edge]], np.r_[ctx, context[edge]], np.r_[w, weight[edge]]
-                    s = None if short is None else np.r_[s, short[edge]]
-                else:
-                    f, ctx, s, w = full[ok], context[ok], short[ok], weight[ok]
-                keys, at, inv = np.unique(f, return_index=True, return_inverse=True)
-                cnt = np.bincount(inv, w)
-                parts.append((keys, cnt, ctx[at], None if s is None else s[at]))
-            keys = np.unique(np.concatenate([p[0] for p in parts]))
-            contexts = np.unique(np.concatenate([p[2] for p in parts]))
-            prob = np.zeros((len(keys), len(langs)))
-            gamma = np.ones((len(contexts), len(langs)))
-            for k, (kk, cnt, ctx, s) in enumerate(parts):
+            for k in langs:
+                x = letters[k][:, ORDER - n :]
+                if n < ORDER:  # continuation counts: distinct letters before the n-gram
+                    x = np.unique(letters[k][:, ORDER - n - 1 :], axis=0)[:, 1:]
+                of = lambda m, width: hashes(m.ravel(), width)[width - 1 :: width] if width else np.zeros(len(m), np.uint64)
+                full, context = of(np.ascontiguousarray(x), n), of(np.ascontiguousarray(x[:, :-1]), n - 1)
+                keys, at, inv = np.unique(full, return_index=True, return_inverse=True)
+                weight = np.array([counts[k][g] for g in grams[k]], float) if n == ORDER else None
+                parts.append((keys, np.bincount(inv, weight).astype(float), context[at]))
+            keys, contexts = (np.unique(np.concatenate([p[i] for p in parts])) for i in (0, 2))
+            prob, gamma = np.zeros((len(keys), len(langs))), np.ones((len(contexts), len(langs)))
+            for k, (kk, cnt, ctx) in enumerate(parts):
                 n1, n2 = max((cnt == 1).sum(), 1), max((cnt == 2).sum(), 1)
                 d = min(n1 / (n1 + 2 * n2), 0.95)
                 ci = np.searchsorted(contexts, ctx)
@@ -96,25 +93,22 @@ class Models:
     def nats(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Cross-entropy sums (word x language) and characters of each word."""
         c, of = codes(words)
-        first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]]) if len(c) else np.zeros(0, int)
-        place = np.arange(len(c)) - first[of]
-        p = np.zeros((len(c), len(self.langs))) + self.floor
+        size = np.array([len(w) + ORDER for w in words])
+        use = np.ones(len(c), bool)
+        use[((np.cumsum(size) - size)[:, None] + np.arange(ORDER - 1)).ravel()] = False
+        of, p = of[use], np.zeros((int(use.sum()), len(self.langs))) + self.floor
         for n, (keys, prob, contexts, gamma) in enumerate(self.tables, 1):
-            h = hashes(c, n)
+            h = hashes(c, n)[use]
             i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            hit = keys[i] == h
+            hit = np.where((keys[i] == h)[:, None], prob[i], 0)
             if n == 1:
-                p = p + np.where(hit[:, None], prob[i], 0)
+                p = p + hit
                 continue
-            x = np.r_[np.uint64(0), hashes(c, n - 1)[:-1]]
+            x = np.r_[np.uint64(0), hashes(c, n - 1)[:-1]][use]
             j = np.minimum(np.searchsorted(contexts, x), len(contexts) - 1)
-            known = (contexts[j] == x) & (place >= n - 1)
-            p = np.where(known[:, None], np.where(hit[:, None], prob[i], 0) + gamma[j] * p, p)
-        use = place >= 1
-        out = np.zeros((len(words), len(self.langs)))
-        for k in range(len(self.langs)):
-            out[:, k] = np.bincount(of[use], -np.log(p[use, k]), len(words))
-        return out, np.array([len(w) + 1 for w in words])
+            p = np.where((contexts[j] == x)[:, None], hit + gamma[j] * p, p)
+        p = -np.log(p)
+        return np.column_stack([np.bincount(of, p[:, k], len(words)) for k in range(len(self.langs))]), size - ORDER + 1
 
 
 class Scorer:
@@ -126,7 +120,7 @@ class Scorer:
         self.table, self.sizes = np.zeros((0, len(models.langs))), np.zeros(0, int)
 
     def __call__(self, texts: Iterable[str | None]) -> Iterator[tuple[int, np.ndarray] | None]:
-        split = [WORDS.findall(t.lower()) if t else [] for t in texts]
+        split = [words(t) for t in texts]
         if len(self.known) > self.keep:
             self.known, self.table, self.sizes = {}, self.table[:0], self.sizes[:0]
         new = list({w for ws in split for w in ws if w not in self.known})
@@ -193,12 +187,25 @@ def learn(docs: DataFrame, max_docs: int = MAX_DOCS) -> Models | None:
     keep = F.lit(False)
     for lang, n in sizes.items():
         keep = keep | ((F.col("lang") == lang) & (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(min(1.0, max_docs / n) * (1 << 30))))
-    letters = F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0))
     held = F.pmod(F.xxhash64("doc_id", F.lit("held")), F.lit(HELD)) == 0
-    rows = docs.where(keep & ~held).select("lang", F.explode(letters).alias("w")).groupBy("lang", "w").count().where(F.length("w") <= 60).collect()  # words of a bounded sample
+
+    def grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: dict[str, Counter] = {}
+        for b in batches:
+            for lang, t in zip(b["lang"], b["text"]):
+                seen.setdefault(lang, Counter()).update(words(t))
+        for lang, found in seen.items():
+            n = Counter()
+            for w, k in found.items():
+                w = START + w + "\1"
+                for i in range(len(w) - ORDER + 1):
+                    n[w[i : i + ORDER]] += k
+            yield pd.DataFrame({"lang": lang, "gram": pd.Series(list(n), dtype=object), "n": list(n.values())})
+
+    rows = docs.where(keep & ~held).select("lang", "text").mapInPandas(grams, "lang string, gram string, n bigint").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     counts: dict[str, dict[str, int]] = {k: {} for k in sorted(sizes)}
-    for lang, w, n in rows:
-        counts[lang][w] = n
+    for lang, part in rows.groupby("lang"):
+        counts[lang] = dict(zip(part["gram"], part["n"]))
     counts = {k: v for k, v in counts.items() if v}
     if not counts:
         return None
