@@ -6,9 +6,9 @@ import time
 
 from pyspark.sql import SparkSession
 
-from verdant.plans.queries import QUERIES
+from verdant.plans import QUERIES
 
-HEADLINE = ["b1_b2_vegetation_indices", "c2_nearest_date", "d1_d3_climate_normals", "d7_pixel_quantiles", "d12_theil_sen", "e1_find_peaks", "e22_annual_phenology", "f3_f17_kf_smooth"]
+HEADLINE = ["b1_b2_vegetation_indices", "c2_nearest_date", "d1_d3_climate_normals", "d7_pixel_quantiles", "d12_theil_sen", "e1_find_peaks", "e22_annual_phenology", "f3_f17_kf_smooth_band"]
 
 
 def main() -> None:

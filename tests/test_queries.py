@@ -49,8 +49,8 @@ def test_record_order(spark):
 
 
 def test_smoother_is_surer_than_filter(spark):
-    f = Q.QUERIES["f2_kf_filter"](spark, SF).withColumnsRenamed({"mean": "m", "variance": "v"})
-    s = Q.QUERIES["f3_f17_kf_smooth"](spark, SF)
+    f = Q.QUERIES["f1_f2_kf_filter"](spark, SF).withColumnsRenamed({"mean": "m", "variance": "v"})
+    s = Q.QUERIES["f3_f17_kf_smooth_band"](spark, SF)
     assert f.join(s, ["pixel_id", "obs_date"]).where("variance > v + 1e-12").count() == 0
 
 

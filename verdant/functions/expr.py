@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -91,3 +93,117 @@ def growing_degrees(tmin: Column, tmax: Column) -> Column:
 
 def mad(x: Column, median: Column) -> Column:
     return 1.4826 * F.median(F.abs(x - median))
+
+
+def null_to_fill(x: Column, fill: int = 32767) -> Column:
+    return F.coalesce(x, F.lit(fill))
+
+
+def pixel_qa_clear(qa: Column, oli: bool = False) -> Column:
+    """No bit of fill, water, shadow, snow, cloud or high confidence (and cirrus for OLI) is set."""
+    return qa.bitwiseAND(0b1010111101 if oli else 0b10111101) == 0
+
+
+def radsat_clear(qa: Column, bands: list[int]) -> Column:
+    """No saturation bit among the bands (bit b of band b)."""
+    return qa.bitwiseAND(sum(1 << b for b in bands)) == 0
+
+
+def image_mask(clear: Column, unsaturated: Column, mode: str = "and") -> Column:
+    return clear & unsaturated if mode == "and" else clear | unsaturated
+
+
+def apply_mask(x: Column, qa: Column, good: list[int]) -> Column:
+    return F.when(qa.isin(*good), x)
+
+
+def modis_mask(x: Column, snow: Column, qa: Column) -> Column:
+    return F.when(~((snow != 0) | (qa == 4)), x)
+
+
+def qa_weight(qa: Column, table: dict[int, float]) -> Column:
+    """1 for classes of a weight other than 0, else NULL."""
+    return F.when(qa.isin(*[k for k, w in table.items() if w]), 1)
+
+
+def significant_slope(slope: Column, p: Column, alpha: float = 0.05) -> Column:
+    return F.when(p <= alpha, slope)
+
+
+def epoch_to_doy0(day: Column) -> Column:
+    return F.datediff(day, F.trunc(day, "year"))
+
+
+def epoch_to_doy1(day: Column) -> Column:
+    return F.dayofyear(day)
+
+
+def epoch2000_to_1970(n: Column) -> Column:
+    """Days of the older product, which count from 1 at 2000-01-01, as days since 1970-01-01."""
+    return n + 10957 - 1
+
+
+def phenology_year(tile: Column, year: Column) -> tuple[Column, Column]:
+    """First and last day: the calendar year for tiles north of v09, July to June for the others."""
+    north = F.substring(tile, 5, 2).cast("int") < 9
+    return F.when(north, F.make_date(year, F.lit(1), F.lit(1))).otherwise(F.make_date(year, F.lit(7), F.lit(1))), F.when(north, F.make_date(year, F.lit(12), F.lit(31))).otherwise(F.make_date(year + 1, F.lit(6), F.lit(30)))
+
+
+def hemisphere_shift(doy: Column, lat: Column) -> Column:
+    return doy + F.when(lat < 0, 182.5).otherwise(0.0)
+
+
+#: The sinusoidal grid.
+GRID_X, GRID_Y, TILE = -20015109.354, 10007554.677, 1111950.5197
+
+
+def tile_of(x: Column, y: Column) -> Column:
+    two = lambda c, most: F.lpad(F.least(F.greatest(F.floor(c), F.lit(0)), F.lit(most)).cast("string"), 2, "0")
+    return F.concat(F.lit("h"), two((x - GRID_X) / TILE, 35), F.lit("v"), two((GRID_Y - y) / TILE, 17))
+
+
+def tile_origin(tile: Column) -> tuple[Column, Column]:
+    """Upper left corner."""
+    return F.substring(tile, 2, 2).cast("int") * TILE + GRID_X, GRID_Y - F.substring(tile, 5, 2).cast("int") * TILE
+
+
+def cell_number(row: Column, col: Column, ncols: int) -> Column:
+    """Linear cell number from 1."""
+    return (row - 1) * ncols + col
+
+
+def cell_offset(cell: Column, first_row: int, ncols: int) -> Column:
+    return cell - (first_row - 1) * ncols
+
+
+def scale_metrics(value: Column, name: Column, scale: float = 1e4, fill: int = 32767) -> Column:
+    """Minimum and amplitude times scale, area times a thousandth of it, others as they are; integers with a fill value."""
+    by = F.when(name.isin("evi_min", "evi_amp"), scale).when(name == "evi_area", scale / 1000).otherwise(1.0)
+    return F.coalesce(F.bround(value * by, 0).cast("int"), F.lit(fill))
+
+
+def sensor_error(x: Column, sensor: Column, share: dict[str, float] | None = None) -> Column:
+    out = F
+    for name, k in (share or {"TM": 0.07, "ETM": 0.05, "OLI": 0.05}).items():
+        out = out.when(sensor == name, x * k)
+    return out
+
+
+def mid_phase(a: Column, b: Column) -> Column:
+    return (a + b) / 2
+
+
+def kf_band(mean: Column, se: Column, level: float = 0.95) -> tuple[Column, Column]:
+    z = NormalDist().inv_cdf((1 + level) / 2)
+    return mean - z * se, mean + z * se
+
+
+def parse_scene_name(name: Column) -> tuple[Column, Column, Column]:
+    """Sensor, pixel and date of names such as S1.17.A1995005."""
+    part = lambda i: F.regexp_extract(name, r"^(\w+)\.(\d+)\.A(\d{7})$", i)
+    return part(1), part(2).cast("long"), F.to_date(part(3), "yyyyDDD")
+
+
+def aggregate(name: str, x: Column) -> Column:
+    """An aggregate by its name."""
+    return {"mean": F.avg, "median": F.median, "min": F.min, "max": F.max, "sd": F.stddev_samp, "n": F.count}[name](x)

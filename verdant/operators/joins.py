@@ -27,3 +27,91 @@ def missing(expected: DataFrame, existing: DataFrame, keys: list[str]) -> DataFr
 def latest(df: DataFrame, keys: list[str], version: str) -> DataFrame:
     """df with its rank among versions: 1 is current, the others are superseded."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(version))))
+
+
+def expand_tasks(a: DataFrame, *dims: DataFrame) -> DataFrame:
+    """All combinations; every further dimension is a short list (years, products) and is broadcast."""
+    for d in dims:
+        a = a.crossJoin(F.broadcast(d))
+    return a
+
+
+def newest(df: DataFrame, keys: list[str], version: str) -> DataFrame:
+    """The row of the highest version of each key."""
+    rest = [c for c in df.columns if c not in keys]
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), version).alias("r")).select(*keys, "r.*")
+
+
+def pair_same_date(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("pixel_id", "obs_date")) -> DataFrame:
+    return a.join(b, [*keys])
+
+
+def cell_map_join(fine: DataFrame, cells: DataFrame, coarse: DataFrame, on: str = "pixel_id", cell: str = "cell", day: str = "obs_date") -> DataFrame:
+    """Each fine row with the values of the coarse cell that covers it; the map is (on, cell)."""
+    return fine.join(cells, on).join(coarse, [cell, day])
+
+
+def disaggregate(df: DataFrame, fact: int = 2, row: str = "row", col: str = "col") -> DataFrame:
+    """Each cell as fact x fact cells of the finer grid."""
+    steps = F.sequence(F.lit(0), F.lit(fact - 1))
+    d = df.withColumn("_i", F.explode(steps)).withColumn("_j", F.explode(steps))
+    return d.withColumn(row, F.col(row) * fact + F.col("_i")).withColumn(col, F.col(col) * fact + F.col("_j")).drop("_i", "_j")
+
+
+def complete_calendar(df: DataFrame, days: DataFrame, key: str = "pixel_id", day: str = "obs_date", fills: dict | None = None) -> DataFrame:
+    """A row for each key and day; absent ones are NULL but for fills."""
+    out = expand_tasks(df.select(key).distinct(), days.select(day)).join(df, [key, day], "left")
+    return out.na.fill(fills) if fills else out
+
+
+def merge_products(a: DataFrame, b: DataFrame, x: str, y: str, keys: tuple[str, ...] = ("pixel_id", "obs_date")) -> DataFrame:
+    """Full join with a status: 0 both, 1 the first only, 2 the second only."""
+    both = F.col(x).isNotNull() & F.col(y).isNotNull()
+    return a.join(b, [*keys], "full").withColumn("status", F.when(both, 0).when(F.col(x).isNotNull(), 1).otherwise(2))
+
+
+def compare_products(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Paired values and their difference."""
+    return a.select(*keys, F.col(value).alias("x")).join(b.select(*keys, F.col(value).alias("y")), keys).withColumn("difference", F.col("x") - F.col("y"))
+
+
+def class_params_join(pixels: DataFrame, classes: DataFrame, on: str = "class") -> DataFrame:
+    """Parameters of each pixel's class; the class table is left to the optimizer to broadcast by its size."""
+    return pixels.join(classes, on, "left")
+
+
+def extract_at_sites(obs: DataFrame, sites: DataFrame, on: str = "pixel_id") -> DataFrame:
+    return obs.join(sites.select(on).distinct(), on, "left_semi")
+
+
+def tiles_intersecting(scenes: DataFrame, tiles: DataFrame, size: float) -> DataFrame:
+    """Pairs of overlapping boxes (x0, x1, y0, y1 of scenes; tx0, tx1, ty0, ty1 of tiles, each at most size wide), by bins of size: an equi-join."""
+    cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size)))
+    s = scenes.withColumn("_bx", cells("x0", "x1")).withColumn("_by", cells("y0", "y1"))
+    t = tiles.withColumn("_bx", cells("tx0", "tx1")).withColumn("_by", cells("ty0", "ty1"))
+    hit = s.join(t, ["_bx", "_by"]).where("x0 <= tx1 AND x1 >= tx0 AND y0 <= ty1 AND y1 >= ty0")
+    return hit.drop("_bx", "_by").distinct()
+
+
+def coverage_check(pairs: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
+    """pairs with `present`, whether an output exists."""
+    have = existing.select(*keys).distinct().withColumn("_have", F.lit(True))
+    return pairs.join(have, keys, "left").withColumn("present", F.coalesce("_have", F.lit(False))).drop("_have")
+
+
+def assemble_three_years(a: DataFrame, b: DataFrame, c: DataFrame, year: int, key: str = "pixel_id", day: str = "obs_date") -> DataFrame:
+    """Three layers of year-1 to year+1 side by side; pixels that lack one of the nine parts are left out."""
+    def layer(df: DataFrame) -> DataFrame:
+        d = df.where(F.year(day).between(year - 1, year + 1))
+        whole = d.groupBy(key).agg(F.count_distinct(F.year(day)).alias("_y")).where("_y = 3").select(key)
+        return d.join(whole, key, "left_semi")
+
+    return layer(a).join(layer(b), [key, day]).join(layer(c), [key, day])
+
+
+def long_to_packed(df: DataFrame, values: list[str], key: str = "pixel_id", day: str = "obs_date") -> DataFrame:
+    return df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(day, *values))).alias("series"))
+
+
+def packed_to_long(df: DataFrame, key: str = "pixel_id") -> DataFrame:
+    return df.select(key, F.inline("series"))

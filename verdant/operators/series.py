@@ -51,3 +51,88 @@ def longest_gap(df: DataFrame, value: str, key: str = "pixel_id", day: str = "ob
     w = order(key, day)
     d = df.withColumn("g", F.count(value).over(w)).where(F.col(value).isNull())
     return d.groupBy(key, "g").agg(F.count("*").alias("n")).groupBy(key).agg(F.max("n").alias("longest_gap"))
+
+
+def local_extrema(value: str, key: str = "pixel_id", day: str = "obs_date", minima: bool = False, partial: bool = False) -> Column:
+    """Whether a row is at least (at most) as high as both neighbours and differs from one; the ends count only if partial."""
+    w, x, sign = order(key, day), F.col(value), -1 if minima else 1
+    a, b = F.lag(value).over(w), F.lead(value).over(w)
+    up, down = sign * (x - a), sign * (x - b)
+    inner = (up >= 0) & (down >= 0) & ((up > 0) | (down > 0))
+    edge = F.when(a.isNull(), down > 0).when(b.isNull(), up > 0) if partial else F.lit(False)
+    return F.coalesce(F.when(a.isNull() | b.isNull(), edge).otherwise(inner), F.lit(False))
+
+
+def cross_threshold(df: DataFrame, value: str, share: Column, key: str = "pixel_id", day: str = "obs_date") -> DataFrame:
+    """(key, first, last): first and last day on which the value, to six decimals, reaches the threshold."""
+    d = df.where(F.round(value, 6) >= F.round(share, 6))
+    return d.groupBy(key).agg(F.min(day).alias("first"), F.max(day).alias("last"))
+
+
+def crossing_dates(df: DataFrame, value: str, up: float, down: float, key: str = "pixel_id", day: str = "obs_date") -> DataFrame:
+    """(key, peak, rise, fall) around the global maximum, at fractions of each side's own amplitude; the fall starts after the peak."""
+    top = df.groupBy(key).agg(F.min_by(F.struct(day, value), F.struct(-F.col(value), F.col(day))).alias("top"))
+    d = df.join(top, key)
+    before, after = F.col(day) <= F.col("top")[day], F.col(day) > F.col("top")[day]
+    low = d.groupBy(key).agg(F.min(F.when(before, F.col(value))).alias("a"), F.min(F.when(after, F.col(value))).alias("b"))
+    d = d.join(low, key)
+    high = F.col("top")[value]
+    rise = F.when(before & (F.col(value) >= F.col("a") + up * (high - F.col("a"))), F.col(day))
+    fall = F.when(after & (F.col(value) <= F.col("b") + down * (high - F.col("b"))), F.col(day))
+    return d.groupBy(key).agg(F.first(F.col("top")[day]).alias("peak"), F.min(rise).alias("rise"), F.min(fall).alias("fall"))
+
+
+def hampel(df: DataFrame, value: str, k: int, t0: float = 3.0, key: str = "pixel_id", day: str = "obs_date") -> DataFrame:
+    """Adds `clean` and `flag`: 3 where a value lies over t0 scaled MADs from the median of 2k+1 days and is replaced by it; k days at the ends stay."""
+    w = order(key, day)
+    near = F.sort_array(F.collect_list(value).over(w.rowsBetween(-k, k)))
+    d = df.withColumn("_s", near)
+    med = F.element_at("_s", k + 1)
+    off = F.element_at(F.sort_array(F.transform("_s", lambda v: F.abs(v - med))), k + 1)
+    bad = (F.size("_s") == 2 * k + 1) & (F.abs(F.col(value) - med) > t0 * 1.4826 * off)
+    return d.withColumn("flag", F.when(bad, 3).otherwise(0)).withColumn("clean", F.when(bad, med).otherwise(F.col(value))).drop("_s")
+
+
+def snow_filter(df: DataFrame, value: str, ndsi: str, key: str = "pixel_id", limit: float = 0.2, q: float = 0.05) -> DataFrame:
+    """Adds `filled` and `flag`: snow (1) and all that lies lower become a low quantile of the snow-free values."""
+    snow = F.coalesce(F.col(ndsi) > limit, F.lit(False))
+    low = df.where(~snow).groupBy(key).agg(F.percentile(value, F.lit(q)).alias("_low"))
+    d = df.join(low, key, "left")
+    return d.withColumn("flag", snow.cast("int")).withColumn("filled", F.when(snow, F.col("_low")).otherwise(F.greatest(F.col(value).cast("double"), F.col("_low")))).drop("_low")
+
+
+def daily_change(value: str, key: str = "pixel_id", day: str = "obs_date") -> Column:
+    """Difference to the day before within a year."""
+    return F.col(value) - F.lag(value).over(Window.partitionBy(key, F.year(day)).orderBy(day))
+
+
+def pad_year(df: DataFrame, year: int, days: int, day: str = "obs_date") -> DataFrame:
+    """A year with its neighbours' last and first days."""
+    first = F.make_date(F.lit(year), F.lit(1), F.lit(1))
+    return df.where((F.col(day) >= F.date_sub(first, days)) & (F.col(day) < F.date_add(F.make_date(F.lit(year + 1), F.lit(1), F.lit(1)), days)))
+
+
+def fill_share(flag: str, key: str = "pixel_id", day: str = "obs_date", reach: int = 14) -> Column:
+    """Share of flags other than 0, 1, 2 within reach positions; at the left edge the divisor is one larger than the rows counted."""
+    w = order(key, day)
+    near = w.rowsBetween(-reach, reach)
+    bad = F.sum((~F.col(flag).isin(0, 1, 2)).cast("int")).over(near)
+    return bad / (F.count(F.lit(1)).over(near) + (F.row_number().over(w) <= reach).cast("int"))
+
+
+def nth_event(df: DataFrame, key: str, at: str, start: str, end: str, n: int) -> DataFrame:
+    """The nth event of each key whose day lies in the period."""
+    d = df.where(F.col(at).between(start, end)).withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(at)))
+    return d.where(F.col("_n") == n).drop("_n")
+
+
+def events_in_window(events: DataFrame, windows: DataFrame, key: str, at: str) -> DataFrame:
+    """(key, start, n) of half-open windows (start, stop), a short list."""
+    return events.join(F.broadcast(windows), (F.col(at) >= F.col("start")) & (F.col(at) < F.col("stop"))).groupBy(key, "start").agg(F.count("*").alias("n"))
+
+
+def season_length_window(df: DataFrame, key: str, up: str, down: str, start: str, end: str, n: int) -> DataFrame:
+    """(key, length): the nth end less the nth beginning in the period."""
+    a = nth_event(df.select(key, up), key, up, start, end, n)
+    b = nth_event(df.select(key, down), key, down, start, end, n)
+    return a.join(b, key).select(key, F.datediff(down, up).alias("length"))

@@ -1,50 +1,172 @@
-"""Scalar Kalman filters as folds over a pixel's sorted series; they stay in the JVM."""
+"""Kalman filters and smoothers, many pixels at once.
+
+Series are dealt to buckets by a hash of their key, in one shuffle; a task sorts a bucket once, lays its pixels side by side on the
+union of their days, and runs the recursion over days in numpy for all pixels together. A bucket holds SERIES rows or so, whatever
+the number of pixels; a pixel is one series. Days that a pixel lacks are no steps of it. Missing values skip the update.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+ROWS = 250_000  # of a bucket, about
+
+
+@dataclass(frozen=True)
+class Model:
+    """x = G x + noise(W), y = FF x + noise(V): n states, p observations. Shapes: G, W (n, n); FF (p, n); V (p,) variances."""
+
+    FF: np.ndarray
+    G: np.ndarray
+    W: np.ndarray
+    V: np.ndarray
+    m0: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    C0: np.ndarray = field(default_factory=lambda: np.eye(1))
+
+
+def model(states: int, sensors: list[list[int]], w: float = 1e6, v: float = 1e6, m0: float = 0.0, c0: float = 1.0) -> Model:
+    """Identity dynamics; each sensor observes a subset of the states, one observation for each."""
+    rows = [s for sensor in sensors for s in sensor]
+    return Model(np.eye(states)[rows], np.eye(states), np.eye(states) * w, np.full(len(rows), float(v)), np.full(states, float(m0)), np.eye(states) * c0)
+
+
+def seasonal(period: int, sensors: int, w: float, v: float) -> Model:
+    """The state holds one value for each step of the period and turns by one each step; all sensors see the first."""
+    return Model(np.eye(period)[[0] * sensors], np.roll(np.eye(period), 1, 1), np.diag([w] + [0.0] * (period - 1)), np.full(sensors, float(v)), np.zeros(period), np.eye(period))
+
+
+def predict(m: np.ndarray, c: np.ndarray, g: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.einsum("ij,bj->bi", g, m), g @ c @ g.T + w
+
+
+def update(m: np.ndarray, c: np.ndarray, y: np.ndarray, ff: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One scalar observation after the other (their errors are independent); NaN skips."""
+    for k in range(len(ff)):
+        seen = ~np.isnan(y[:, k])
+        f = c @ ff[k]
+        gain = np.where(seen[:, None], f / (f @ ff[k] + v[k])[:, None], 0)
+        m = m + gain * np.where(seen, y[:, k] - m @ ff[k], 0)[:, None]
+        c = c - gain[:, :, None] * f[:, None, :]
+    return m, c
+
+
+def run(y: np.ndarray, there: np.ndarray, model: Model, smooth: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Means (pixels, days, n) and covariances (pixels, days, n, n) of y (pixels, days, p); days not `there` are no steps."""
+    b, t, _ = y.shape
+    n = len(model.m0)
+    m, c = np.tile(model.m0, (b, 1)), np.tile(model.C0, (b, 1, 1))
+    ms, cs, mp, cp = np.zeros((b, t, n)), np.zeros((b, t, n, n)), np.zeros((b, t, n)), np.zeros((b, t, n, n))
+    for i in range(t):
+        a, r = predict(m, c, model.G, model.W)
+        mp[:, i], cp[:, i] = a, r
+        a, r = update(a, r, y[:, i], model.FF, model.V)
+        on = there[:, i]
+        m, c = np.where(on[:, None], a, m), np.where(on[:, None, None], r, c)
+        ms[:, i], cs[:, i] = m, c
+    if smooth:
+        after = np.full(b, -1)
+        for i in range(t - 1, -1, -1):
+            on = np.flatnonzero(there[:, i])
+            with_next = on[after[on] >= 0]
+            k = after[with_next]
+            if len(with_next):
+                pf = cp[with_next, k]
+                g = cs[with_next, i] @ model.G.T
+                g = g / pf if n == 1 else np.linalg.solve(np.swapaxes(pf, 1, 2), np.swapaxes(g, 1, 2)).swapaxes(1, 2)
+                ms[with_next, i] += np.einsum("bij,bj->bi", g, ms[with_next, k] - mp[with_next, k])
+                cs[with_next, i] += g @ (cs[with_next, k] - pf) @ np.swapaxes(g, 1, 2)
+            after[on] = i
+    return ms, cs
 
-def packed(df: DataFrame, value: Column, key: str = "pixel_id", day: str = "obs_date") -> DataFrame:
-    """(key, s): the series as a sorted array of (d, y)."""
-    return df.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.col(day).alias("d"), value.cast("double").alias("y")))).alias("s"))
 
+def _side_by_side(b: pd.DataFrame, names: list[str], key: str, day: str) -> tuple:
+    """Pixels, days, place of each row, values (pixels, days, p) and which days each pixel has."""
+    pixel, i = np.unique(b[key].to_numpy(), return_inverse=True)
+    days, j = np.unique(pd.to_datetime(b[day]).to_numpy(), return_inverse=True)
+    y = np.full((len(pixel), len(days), len(names)), np.nan)
+    there = np.zeros(y.shape[:2], bool)
+    y[i, j], there[i, j] = b[names].to_numpy(float), True
+    return i, j, y, there
 
-def filtered(s: str, a: float, q: float, r: float, m0: float, c0: float) -> Column:
-    """Array of (d, m, c, mp, cp): mean and variance after and before each step; a missing value skips the update."""
-    kind = "array<struct<d: date, m: double, c: double, mp: double, cp: double>>"
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.element_at(acc, -1)
-        mp = a * F.when(F.size(acc) > 0, last["m"]).otherwise(F.lit(m0))
-        cp = a * a * F.when(F.size(acc) > 0, last["c"]).otherwise(F.lit(c0)) + q
-        gain = F.when(x["y"].isNull(), 0.0).otherwise(cp / (cp + r))
-        m = mp + gain * (F.coalesce(x["y"], mp) - mp)
-        one = F.struct(x["d"].alias("d"), m.alias("m"), ((1 - gain) * cp).alias("c"), mp.alias("mp"), cp.alias("cp"))
-        return F.concat(acc, F.array(one).cast(kind))
+def by_buckets(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str, key: str = "pixel_id", buckets: int | None = None) -> DataFrame:
+    """fn over buckets of whole series."""
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4
+    return df.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(n))).groupBy("_b").applyInPandas(lambda b: fn(b.drop(columns="_b")), schema)
 
-    return F.aggregate(s, F.array().cast(kind), step)
+
+def kf_multi(df: DataFrame, values: list[str], m: Model, smooth: bool = False, key: str = "pixel_id", day: str = "obs_date", buckets: int | None = None) -> DataFrame:
+    """(key, day, mean_1.., variance_1..) of each state; values are the observations' columns, NULL where not observed. One row for each key and day."""
+    n = len(m.m0)
+    names = [f"{k}_{i}" for k in ("mean", "variance") for i in range(1, n + 1)]
+
+    def fn(b: pd.DataFrame) -> pd.DataFrame:
+        i, j, y, there = _side_by_side(b, values, key, day)
+        ms, cs = run(y, there, m, smooth)
+        out = np.concatenate([ms[i, j], np.diagonal(cs, axis1=2, axis2=3)[i, j]], 1)
+        return pd.concat([b[[key, day]].reset_index(drop=True), pd.DataFrame(out, columns=names)], axis=1)
+
+    d = df.select(key, day, *[F.col(v).cast("double").alias(v) for v in values])
+    return by_buckets(d, fn, f"{key} bigint, {day} date, " + ", ".join(f"{x} double" for x in names), key, buckets)
+
+
+def _one(df: DataFrame, value: Column, smooth: bool, a: float, q: float, r: float, m0: float, c0: float, key: str, day: str) -> DataFrame:
+    m = Model(np.ones((1, 1)), np.array([[a]]), np.array([[q]]), np.array([r]), np.array([m0]), np.array([[c0]]))
+    d = kf_multi(df.select(key, day, value.cast("double").alias("y")), ["y"], m, smooth, key, day)
+    return d.select(key, day, F.col("mean_1").alias("mean"), F.col("variance_1").alias("variance"))
 
 
 def kf_filter(df: DataFrame, value: Column, a: float = 1.0, q: float = 0.01, r: float = 0.05, m0: float = 0.0, c0: float = 1.0, key: str = "pixel_id", day: str = "obs_date") -> DataFrame:
     """(key, day, mean, variance)."""
-    d = packed(df, value, key, day).select(key, F.explode(filtered("s", a, q, r, m0, c0)).alias("f"))
-    return d.select(key, F.col("f.d").alias(day), F.col("f.m").alias("mean"), F.col("f.c").alias("variance"))
+    return _one(df, value, False, a, q, r, m0, c0, key, day)
 
 
 def kf_smooth(df: DataFrame, value: Column, a: float = 1.0, q: float = 0.01, r: float = 0.05, m0: float = 0.0, c0: float = 1.0, key: str = "pixel_id", day: str = "obs_date") -> DataFrame:
     """(key, day, mean, variance) after a backward pass over the filtered series."""
-    kind = "array<struct<d: date, m: double, c: double, mp: double, cp: double>>"
-    d = packed(df, value, key, day).select(key, F.reverse(filtered("s", a, q, r, m0, c0)).alias("f"))
-
-    def back(acc: Column, x: Column) -> Column:
-        nxt = F.element_at(acc, -1)
-        g = x["c"] * a / nxt["pf"]
-        m = F.when(F.size(acc) > 0, x["m"] + g * (nxt["m"] - nxt["mf"])).otherwise(x["m"])
-        c = F.when(F.size(acc) > 0, x["c"] + g * g * (nxt["c"] - nxt["pf"])).otherwise(x["c"])
-        one = F.struct(x["d"].alias("d"), m.alias("m"), c.alias("c"), x["mp"].alias("mf"), x["cp"].alias("pf"))
-        return F.concat(acc, F.array(one).cast(kind.replace("mp:", "mf:").replace("cp:", "pf:")))
-
-    d = d.select(key, F.explode(F.aggregate("f", F.array().cast(kind.replace("mp:", "mf:").replace("cp:", "pf:")), back)).alias("f"))
-    return d.select(key, F.col("f.d").alias(day), F.col("f.m").alias("mean"), F.col("f.c").alias("variance"))
+    return _one(df, value, True, a, q, r, m0, c0, key, day)
+
+
+def annual_carry(df: DataFrame, value: Column, q: float, r: float, key: str = "pixel_id", day: str = "obs_date") -> DataFrame:
+    """Each year starts from the last mean and variance of the year before, without a step between: its first day only updates."""
+
+    def fn(b: pd.DataFrame) -> pd.DataFrame:
+        i, j, y, there = _side_by_side(b, ["y"], key, day)
+        years = np.unique(pd.to_datetime(b[day]).to_numpy()).astype("datetime64[Y]")
+        m, c = np.zeros(len(y)), np.ones(len(y))
+        out = np.zeros((*there.shape, 2))
+        last = np.full(len(y), np.datetime64("NaT", "Y"))
+        for k in range(y.shape[1]):
+            on, z = there[:, k], y[:, k, 0]
+            p = c + np.where(last == years[k], q, 0.0)
+            gain = np.where(np.isnan(z), 0, p / (p + r))
+            m = np.where(on, m + gain * np.where(np.isnan(z), 0, z - m), m)
+            c = np.where(on, (1 - gain) * p, c)
+            last = np.where(on, years[k], last)
+            out[:, k, 0], out[:, k, 1] = m, c
+        return b[[key, day]].reset_index(drop=True).assign(mean=out[i, j, 0], variance=out[i, j, 1])
+
+    return by_buckets(df.select(key, day, value.cast("double").alias("y")), fn, f"{key} bigint, {day} date, mean double, variance double", key)
+
+
+def leave_one_out_error(df: DataFrame, value: Column, q: float, r: float, key: str = "pixel_id", day: str = "obs_date") -> DataFrame:
+    """(key, day, error): each observation less the smoothed estimate without it, by removing its weight from the smoother in closed form."""
+    s = kf_smooth(df, value, q=q, r=r, key=key, day=day).join(df.select(key, day, value.cast("double").alias("y")), [key, day]).where("y IS NOT NULL")
+    return s.select(key, day, ((F.col("y") - F.col("mean")) / (1 - F.col("variance") / r)).alias("error"))
+
+
+def fuse_two_sensors(df: DataFrame, first: str, second: str, w: float, v1: float, v2: float, slope: float = 1.0, bias: float = 0.0, key: str = "pixel_id", day: str = "obs_date") -> DataFrame:
+    """(key, day, mean, se) of one state seen by two sensors; the second reads slope x state + bias. Errors are variances."""
+    m = Model(np.array([[1.0], [slope]]), np.eye(1), np.array([[w]]), np.array([v1, v2]), np.zeros(1), np.eye(1))
+    d = kf_multi(df.select(key, day, F.col(first).alias("y1"), (F.col(second) - bias).alias("y2")), ["y1", "y2"], m, True, key, day)
+    return d.select(key, day, F.col("mean_1").alias("mean"), F.sqrt("variance_1").alias("se"))
+
+
+def apply_series(df: DataFrame, keys: list[str], fn: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """Run a user's function on each series."""
+    return df.groupBy(*keys).applyInPandas(fn, schema)

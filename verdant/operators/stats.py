@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import mad
+from ..functions.expr import aggregate, mad
+from .joins import nearest_date
 
 
 def with_mad(df: DataFrame, keys: list[str], x: str) -> DataFrame:
@@ -37,3 +38,138 @@ def tukey(df: DataFrame, keys: list[str], x: str, k: float = 1.5) -> DataFrame:
     q = df.groupBy(*keys).agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
     d = df.join(q, keys).withColumn("r", k * (F.col("q")[1] - F.col("q")[0]))
     return d.withColumn(x, F.when(F.col(x).between(F.col("q")[0] - F.col("r"), F.col("q")[1] + F.col("r")), F.col(x))).drop("q", "r")
+
+
+def target_year_anomaly(df: DataFrame, key: str, year: str, x: str, target: int, first: int, last: int) -> DataFrame:
+    """(key, anomaly, z) of the target year against median and MAD of first..last; z is NULL where the MAD is 0."""
+    base = with_mad(df.where(F.col(year).between(first, last)), [key], x)
+    off = F.col(x) - F.col("med")
+    return df.where(F.col(year) == target).join(base, key).select(key, off.alias("anomaly"), (off / F.nullif("mad", F.lit(0.0))).alias("z"))
+
+
+def band_profile(df: DataFrame, lat: str, x: str, width: float = 1.0) -> DataFrame:
+    """(centre, med, mad, n) of bands of latitude."""
+    return with_mad(df.withColumn("centre", (F.floor(F.col(lat) / width) + 0.5) * width), ["centre"], x).join(
+        df.groupBy(((F.floor(F.col(lat) / width) + 0.5) * width).alias("centre")).agg(F.count(x).alias("n")), "centre")
+
+
+def quantile_type3(x: str, q: float) -> Column:
+    """Nearest even order statistic, as an aggregate."""
+    s, n = F.sort_array(F.collect_list(x)), F.count(x) * q
+    return F.try_element_at(s, F.greatest(F.lit(1), F.bround(n, 0).cast("int")))
+
+
+def ground_site_year(df: DataFrame, least: float) -> DataFrame:
+    """One row for each site and year of observations that last long enough: medians, lag, midpoint and variance."""
+    d = df.where(F.col("last_yes") - F.col("first_yes") >= least)
+    d = d.groupBy("site_id", "obs_year").agg(F.median("first_yes").alias("first_yes"), F.median("last_yes").alias("last_yes"), F.var_samp("first_yes").alias("variance"), F.min("phase").alias("phase"))
+    return d.withColumn("midpoint", (F.col("first_yes") + F.col("last_yes")) / 2).withColumn("lag", F.col("last_yes") - F.col("first_yes"))
+
+
+def weighted_ols(df: DataFrame, key: str, y: str, x: str, w: str) -> DataFrame:
+    """(key, slope, intercept, r2) in closed form from one aggregation."""
+    W, X, Y = F.col(w), F.col(x), F.col(y)
+    s = df.groupBy(key).agg(F.sum(W).alias("sw"), F.sum(W * X).alias("sx"), F.sum(W * Y).alias("sy"), F.sum(W * X * X).alias("sxx"), F.sum(W * X * Y).alias("sxy"), F.sum(W * Y * Y).alias("syy"))
+    cxy, cxx, cyy = (F.expr(f"sw * {a} - {b}") for a, b in (("sxy", "sx * sy"), ("sxx", "sx * sx"), ("syy", "sy * sy")))
+    slope = cxy / F.nullif(cxx, F.lit(0.0))
+    return s.select(key, slope.alias("slope"), ((F.col("sy") - slope * F.col("sx")) / F.col("sw")).alias("intercept"), (cxy * cxy / F.nullif(cxx * cyy, F.lit(0.0))).alias("r2"))
+
+
+def slope_rank_interval(df: DataFrame, key: str, t: str, x: str) -> DataFrame:
+    """(key, low, high): the slopes at ranks n/2 -+ 1.96 sqrt(n)/2."""
+    s = pair_slopes(df, key, t, x).groupBy(key).agg(F.sort_array(F.collect_list("slope")).alias("s"))
+    n, d = F.size("s"), 1.96 * F.sqrt(F.size("s")) / 2
+    at = lambda r: F.element_at("s", F.least(F.greatest(F.bround(r, 0).cast("int"), F.lit(1)), n))
+    return s.select(key, at(n / 2 - d).alias("low"), at(n / 2 + d).alias("high"))
+
+
+def tukey_cov(df: DataFrame, keys: list[str], bands: list[str], k: float = 1.5) -> DataFrame:
+    """Covariance and correlation of each pair of bands over rows inside the Tukey bounds of every band."""
+    q = df.groupBy(*keys).agg(*[F.percentile(b, F.array(F.lit(0.25), F.lit(0.75))).alias(f"q_{b}") for b in bands])
+    good = F.lit(True)
+    for b in bands:
+        lo, hi = F.col(f"q_{b}")[0], F.col(f"q_{b}")[1]
+        good &= F.col(b).between(lo - k * (hi - lo), hi + k * (hi - lo))
+    return band_covariance(df.join(q, keys).where(good), keys, bands)
+
+
+def band_covariance(df: DataFrame, keys: list[str], bands: list[str]) -> DataFrame:
+    pairs = [(a, b) for i, a in enumerate(bands) for b in bands[i:]]
+    return df.groupBy(*keys).agg(*[f(a, b).alias(f"{n}_{a}_{b}") for a, b in pairs for n, f in (("cov", F.covar_samp), ("cor", F.corr))])
+
+
+def weekly_composite(df: DataFrame, key: str, day: str, x: str, func: str = "mean") -> DataFrame:
+    """(key, yr, week, value, n): weeks from the first of January, [lo, hi); 0 is missing."""
+    d = df.withColumn("yr", F.year(day)).withColumn("week", F.floor((F.dayofyear(day) - 1) / 7).cast("int"))
+    return d.where(F.col(x) != 0).groupBy(key, "yr", "week").agg(aggregate(func, F.col(x)).alias("value"), F.count("*").alias("n"))
+
+
+def population_prior(df: DataFrame, week: str, x: str) -> DataFrame:
+    """(week, mean, variance, rate): the rate leads to the next week's mean; 1 in the last."""
+    d = df.groupBy(week).agg(F.avg(x).alias("mean"), F.var_samp(x).alias("variance"))
+    return d.withColumn("rate", F.coalesce(F.lead("mean").over(Window.orderBy(week)) / F.col("mean"), F.lit(1.0)))  # a row for each week
+
+
+def class_shares(df: DataFrame, cls: str, least: float = 0.01) -> DataFrame:
+    n = df.groupBy(cls).agg(F.count("*").alias("n"))
+    return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("total")))).select(cls, "n", (F.col("n") / F.col("total")).alias("share")).where(F.col("share") >= least)  # one row
+
+
+def stratified_sample(df: DataFrame, cls: str, key: str, n: int) -> DataFrame:
+    """round(n x share) rows of each class, by a hash of the key."""
+    quota = class_shares(df, cls, 0).select(cls, F.bround(F.col("share") * n, 0).alias("quota"))
+    rank = F.row_number().over(Window.partitionBy(cls).orderBy(F.xxhash64(key), key))
+    return df.withColumn("_rank", rank).join(F.broadcast(quota), cls).where("_rank <= quota").drop("_rank", "quota")
+
+
+def random_sample(df: DataFrame, key: str, n: int) -> DataFrame:
+    return df.orderBy(F.xxhash64(key), key).limit(n)
+
+
+def missing_fraction(df: DataFrame, cols: list[str]) -> DataFrame:
+    return df.agg(*[F.avg(F.col(c).isNull().cast("double")).alias(c) for c in cols])
+
+
+def coarsen_median(df: DataFrame, row: str, col: str, x: str, factor: int) -> DataFrame:
+    return df.groupBy(F.floor(F.col(row) / factor).alias(row), F.floor(F.col(col) / factor).alias(col)).agg(F.median(x).alias(x))
+
+
+def stretch_breaks(df: DataFrame, x: str, p: tuple[float, float] = (0.02, 0.98), n: int = 254) -> DataFrame:
+    """(i, at): minimum, n equal steps between two quantiles, maximum."""
+    s = df.agg(F.min(x).cast("double").alias("a"), F.percentile(x, F.array(F.lit(p[0]), F.lit(p[1]))).alias("q"), F.max(x).cast("double").alias("b"))
+    steps = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.col("q")[0] + (F.col("q")[1] - F.col("q")[0]) * i / (n - 1))
+    return s.select(F.posexplode(F.concat(F.array("a"), steps, F.array("b"))).alias("i", "at"))
+
+
+def density2d(df: DataFrame, x: str, y: str, bin: float) -> DataFrame:
+    return df.groupBy(F.floor(F.col(x) / bin).alias("bin_x"), F.floor(F.col(y) / bin).alias("bin_y")).agg(F.count("*").alias("n"))
+
+
+def mosaic(frames: list[DataFrame], keys: list[str], x: str) -> DataFrame:
+    """Overlaid layers: the first non-null value wins; and the mean over the layers."""
+    d = None
+    for i, f in enumerate(frames):
+        f = f.select(*keys, x, F.lit(i).alias("_i"))
+        d = f if d is None else d.unionByName(f)
+    return d.groupBy(*keys).agg(F.min_by(x, F.when(F.col(x).isNotNull(), F.col("_i"))).alias("first"), F.avg(x).alias("mean"))
+
+
+def filter_steps(df: DataFrame, steps: list[str]) -> DataFrame:
+    """(step, n): rows left after each of the ordered predicates, in one pass."""
+    kept = [" AND ".join(f"({s})" for s in steps[:i]) or "TRUE" for i in range(len(steps) + 1)]
+    one = df.agg(*[F.count_if(F.expr(k)).alias(f"s{i}") for i, k in enumerate(kept)])
+    return one.select(F.posexplode(F.array(*one.columns)).alias("step", "n"))
+
+
+def low_value_replace(df: DataFrame, keys: list[str], x: str, q: float = 0.05) -> DataFrame:
+    """Negatives become the q-quantile of the series' non-negative values."""
+    low = df.where(F.col(x) >= 0).groupBy(*keys).agg(F.percentile(x, F.lit(q)).alias("_low"))
+    return df.join(low, keys, "left").withColumn(x, F.when(F.col(x) < 0, F.col("_low")).otherwise(F.col(x).cast("double"))).drop("_low")
+
+
+def sensor_rmse(pixels: DataFrame, a: DataFrame, b: DataFrame, x: str, max_diff: int, default: float, key: str = "pixel_id", day: str = "obs_date") -> DataFrame:
+    """(key, rmse) over each day of a and the nearest of b; the default where no pair exists."""
+    near = nearest_date(a, b, max_diff, key, day).where("match IS NOT NULL")
+    pairs = near.join(a.select(key, day, F.col(x).alias("_x")), [key, day]).join(b.select(key, F.col(day).alias("match"), F.col(x).alias("_y")), [key, "match"])
+    off = F.col("_x") - F.col("_y")
+    return pixels.join(pairs.groupBy(key).agg(F.sqrt(F.avg(off * off)).alias("rmse")), key, "left").withColumn("rmse", F.coalesce("rmse", F.lit(default)))

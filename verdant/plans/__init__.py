@@ -1 +1,4 @@
-"""See README.md for what lives here."""
+"""One query for each operator, and the SQL that gives the same rows."""
+
+from . import filters, more  # noqa: F401  they add to QUERIES and ORACLES
+from .queries import ORACLES, QUERIES  # noqa: F401

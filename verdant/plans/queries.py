@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..operators import joins, phenology, series, statespace, stats
+from ..operators import joins, phenology, series, stats
 from ..sources import views as V
 from ..streaming import composite
 
@@ -55,8 +55,8 @@ def a1_b33_read_observations(spark: SparkSession, d: str) -> DataFrame:
 def a3_parse_scene_name(spark: SparkSession, d: str) -> DataFrame:
     o = V.obs(spark, d)
     name = F.concat("sensor", F.lit("."), F.col("pixel_id").cast("string"), F.lit(".A"), F.year("obs_date").cast("string"), F.lpad(F.dayofyear("obs_date").cast("string"), 3, "0"))
-    part = lambda i: F.regexp_extract("scene", r"^(\w+)\.(\d+)\.A(\d{7})$", i)
-    o = o.select(name.alias("scene")).select(part(1).alias("sensor"), part(2).cast("long").alias("pixel_id"), F.to_date(part(3), "yyyyDDD").alias("obs_date"))
+    sensor, pixel, day = X.parse_scene_name(F.col("scene"))
+    o = o.select(name.alias("scene")).select(sensor.alias("sensor"), pixel.alias("pixel_id"), day.alias("obs_date"))
     return o.groupBy("sensor", "pixel_id", "obs_date").agg(F.count("*").alias("n"))
 
 
@@ -70,7 +70,7 @@ def a14_g6_latest_version(spark: SparkSession, d: str) -> DataFrame:
  WHERE NOT EXISTS (SELECT 1 FROM obs WHERE pixel_id = p.s_suppkey AND year(obs_date) = y.yr AND sensor = 'S1')""")
 def a12_a13_c13_missing_tasks(spark: SparkSession, d: str) -> DataFrame:
     years = spark.range(1992, 1999).select(F.col("id").cast("int").alias("yr"))
-    tasks = V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("pixel_id")).crossJoin(F.broadcast(years))  # seven years
+    tasks = joins.expand_tasks(V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("pixel_id")), years)
     have = V.obs(spark, d).where("sensor = 'S1'").select("pixel_id", F.year("obs_date").alias("yr")).distinct()
     return joins.missing(tasks, have, ["pixel_id", "yr"])
 
@@ -101,8 +101,7 @@ def b6_b7_b11_quality_bits(spark: SparkSession, d: str) -> DataFrame:
  CASE WHEN (qa & 189)=0 THEN nir END masked, CASE WHEN snow<>0 OR qa=4 THEN NULL ELSE nir END no_snow FROM obs""")
 def b4_b5_b8_b12_b13_masks(spark: SparkSession, d: str) -> DataFrame:
     nir, qa = F.col("nir"), F.col("qa")
-    clear = qa.bitwiseAND(0b10111101) == 0
-    return V.obs(spark, d).select("pixel_id", "obs_date", X.clamp_valid(nir, 2000, 4000, 1e-4).alias("clamped"), X.fill_to_null(F.col("red"), 0, 32767).alias("kept"), F.when(clear, nir).alias("masked"), F.when(~((F.col("snow") != 0) | (qa == 4)), nir).alias("no_snow"))
+    return V.obs(spark, d).select("pixel_id", "obs_date", X.clamp_valid(nir, 2000, 4000, 1e-4).alias("clamped"), X.fill_to_null(F.col("red"), 0, 32767).alias("kept"), F.when(X.pixel_qa_clear(qa), nir).alias("masked"), X.modis_mask(nir, F.col("snow"), qa).alias("no_snow"))
 
 
 @query("""SELECT o_orderkey, datediff('day', date_trunc('year', o_orderdate), o_orderdate) doy0, dayofyear(o_orderdate) doy1, dayofyear(o_orderdate) + CASE WHEN o_custkey % 2 = 0 THEN 182.5 ELSE 0 END shifted FROM orders""")
@@ -132,7 +131,7 @@ def b27_b29_b30_errors_and_snow(spark: SparkSession, d: str) -> DataFrame:
 def c1_pair_same_date(spark: SparkSession, d: str) -> DataFrame:
     p = V.obs(spark, d).groupBy("pixel_id", "obs_date", "sensor").agg(F.avg("nir").alias("nir"))
     a, b = (p.where(F.col("sensor") == s).select("pixel_id", "obs_date", r6(F.col("nir")).alias(n)) for s, n in (("S1", "nir1"), ("S3", "nir2")))
-    return a.join(b, ["pixel_id", "obs_date"])
+    return joins.pair_same_date(a, b)
 
 
 @query(f"""WITH {OBS}, a AS (SELECT DISTINCT pixel_id, obs_date FROM obs WHERE sensor='S1'), b AS (SELECT DISTINCT pixel_id, obs_date other FROM obs WHERE sensor='S3'),
@@ -156,7 +155,7 @@ def c3_cell_map_join(spark: SparkSession, d: str) -> DataFrame:
 def c6_merge_products(spark: SparkSession, d: str) -> DataFrame:
     o = V.obs(spark, d)
     a, b = (o.where(F.col("sensor") == s).groupBy("pixel_id", "obs_date").agg(F.max("nir").alias(n)) for s, n in (("S1", "x"), ("S3", "y")))
-    return a.join(b, ["pixel_id", "obs_date"], "full").withColumn("status", F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), 0).when(F.col("x").isNotNull(), 1).otherwise(2))
+    return joins.merge_products(a, b, "x", "y")
 
 
 @query(f"""WITH {ANNUAL}, m AS (SELECT pixel_id, median(doy0) med FROM annual GROUP BY 1), a AS (SELECT pixel_id, med, 1.4826*median(abs(doy0-med)) mad FROM annual JOIN m USING (pixel_id) GROUP BY 1,2)
@@ -253,19 +252,6 @@ def e22_annual_phenology(spark: SparkSession, d: str) -> DataFrame:
     return phenology.annual(V.season(spark, d), "2000-01-01", "2000-12-31")
 
 
-@query()
-def f2_kf_filter(spark: SparkSession, d: str) -> DataFrame:
-    s = V.season(spark, d)
-    return statespace.kf_filter(s, F.when(F.col("flag") == 0, F.col("evi") / 1e4))
-
-
-@query()
-def f3_f17_kf_smooth(spark: SparkSession, d: str) -> DataFrame:
-    s = statespace.kf_smooth(V.season(spark, d), F.when(F.col("flag") == 0, F.col("evi") / 1e4))
-    half = 1.959964 * F.sqrt("variance")
-    return s.withColumn("low", F.col("mean") - half).withColumn("high", F.col("mean") + half)
-
-
 @query(f"""WITH {OBS} SELECT pixel_id, obs_date, 'S1' sensor FROM obs WHERE sensor='S1' INTERSECT SELECT pixel_id, obs_date, 'S1' FROM obs WHERE sensor='S3'""")
 def h2_h3_shared_dates(spark: SparkSession, d: str) -> DataFrame:
     o = V.obs(spark, d)
