@@ -165,6 +165,45 @@ def test_op4_brute_force(docs, rows):
     assert "guess:" in got.loc[10_009, "spans"]
 
 
+def test_op3_host_falls(spark):
+    """A host whose documents mostly fail one rule goes with its good documents; a small one is shrunk to the others and stays."""
+    good = " ".join(f"word{i}" for i in range(40))
+    bad = " ".join("# $ % & word" + str(i) for i in range(10))
+    rows = [(i, bad if i % 10 else good, "spam") for i in range(100)] + [(1000 + i, good, f"host{i % 20}") for i in range(400)] + [(2000, bad, "one"), (2001, "\n".join(["same line here"] * 30), "two"), (2002, None, None)]
+    got = by_id(rules.apply(spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("host", F.lit(1))))
+    assert not got.loc[range(100), "kept"].any() and got.loc[range(1000, 1400), "kept"].all() and not got.loc[range(0, 100, 10), "base_failed"].any()
+    assert got.loc[2000, "kept"] and not got.loc[2002, "kept"] and (got.loc[range(100), "host_rate"] > 0.5).all()
+    assert rules.apply(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
+
+
+def test_op4_cost_as_brute_force():
+    """The cheapest of all segmentations, enumerated."""
+    def spans(v):
+        low = v.lower()
+        step = math.log10(max(10 * any(c.isdigit() for c in v) + 26 * any("a" <= c <= "z" for c in v) + 26 * any("A" <= c <= "Z" for c in v) + 33 * any(not c.isalnum() for c in v), 10))
+        for i in range(len(v)):
+            yield i, i + 1, step
+            for j in range(i + 3, len(v) + 1):
+                if low[i:j] in secrets.RANK:
+                    yield i, j, math.log10(secrets.RANK[low[i:j]]) + 0.3 + 0.3 * (v[i:j] != low[i:j])
+                if len(set(v[i:j])) == 1:
+                    yield i, j, step + math.log10(j - i)
+                if all((a, b) in secrets.NEXT for a, b in zip(low[i:j], low[i + 1 : j])):
+                    yield i, j, math.log10(47) + math.log10(4 * (j - i))
+            if m := secrets.DATE.match(v, i):
+                yield i, m.end(), 2.1 if m.end() - i == 4 else 4.6
+
+    def cheapest(v):
+        best = {0: 0.0}
+        for i, j, c in sorted(spans(v)):
+            best[j] = min(best.get(j, math.inf), best[i] + c)
+        return best[len(v)]
+
+    for v in ("password1999", "aaaaPASSWORD", "qwerty2019-05-04zzz", "Zq8!kf02LmPw", "1qaz2wsx", "dragonaaa", "x"):
+        assert math.isclose(secrets.guess_cost(v), cheapest(v)), v
+    assert secrets.guess_cost("a" * 20_000) < 8 and secrets.spans(None) == []
+
+
 def test_op4_guess_cost():
     assert secrets.guess_cost("") == 0
     assert secrets.guess_cost("password") < secrets.guess_cost("passwords") < secrets.guess_cost("Zq8!kf02LmPw")

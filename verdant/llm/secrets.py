@@ -4,7 +4,8 @@ The guess cost of a value is the least sum, over segmentations into dictionary w
 brute-force spans, of each span's log10 guesses; a dynamic programme over end positions finds it. Values that cost more
 than MIN_GUESS are spans of kind `guess`.
 
-Null text: empty, no spans. Repeated rows and tables without rows need nothing special. Spans count code points, end exclusive.
+Null text: empty, no spans. Repeated rows: each is scanned. Empty table: no rows. Very long texts and values: whole, in linear time.
+Ties between segmentations: their cost is one. Other columns are not read. Spans count code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -35,6 +36,9 @@ secret test guest root user qwerty hello freedom whatever trustno summer winter
 RANK = {w: i + 2 for i, w in enumerate(COMMON)}
 ROWS = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
 NEXT = {(r[i], r[i + d]) for r in ROWS for i in range(len(r)) for d in (1, -1) if 0 <= i + d < len(r)}
+# Keys under each other are neighbours, too: those of the next row at the same place or one before.
+NEXT |= {p for a, b in zip(("1234567890", *ROWS[1:]), ROWS[1:]) for i, x in enumerate(a) for y in b[max(i - 1, 0) : i + 1] for p in ((x, y), (y, x))}
+WALK = math.log10(47)
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/.]?(?:0[1-9]|1[0-2])(?:[-/.]?(?:0[1-9]|[12]\d|3[01]))?)?")
 
 
@@ -44,6 +48,10 @@ def guess_cost(value: str) -> float:
     size = 10 * any(c.isdigit() for c in value) + 26 * any("a" <= c <= "z" for c in value) + 26 * any("A" <= c <= "Z" for c in value) + 33 * any(not c.isalnum() for c in value)
     step = math.log10(max(size, 10))
     best = [0.0] + [math.inf] * n
+    runs, walks = [n] * n, [n] * n  # where the run of equal letters, and of neighbours on the keyboard, from each place ends
+    for i in range(n - 2, -1, -1):
+        runs[i] = runs[i + 1] if value[i] == value[i + 1] else i + 1
+        walks[i] = walks[i + 1] if (low[i], low[i + 1]) in NEXT else i + 1
     for i in range(n):
         at = best[i]
         best[i + 1] = min(best[i + 1], at + step)
@@ -52,16 +60,11 @@ def guess_cost(value: str) -> float:
                 best[j] = min(best[j], at + math.log10(rank) + (0.3 if value[i:j] != low[i:j] else 0) + 0.3)
         if m := DATE.match(value, i):
             best[m.end()] = min(best[m.end()], at + (2.1 if m.end() - i == 4 else 4.6))
-        j = i + 1
-        while j < n and value[j] == value[i]:
-            j += 1
-            if j - i >= 3:
-                best[j] = min(best[j], at + step + math.log10(j - i))
-        j = i + 1
-        while j < n and (low[j - 1], low[j]) in NEXT:
-            j += 1
-            if j - i >= 3:
-                best[j] = min(best[j], at + math.log10(47) + math.log10(4 * (j - i)))
+        for ends, cost in ((runs, lambda k: step + math.log10(k)), (walks, lambda k: WALK + math.log10(4 * k))):
+            # every end within MAX_SPAN, and the whole of a longer one, so a value of equal letters takes linear time
+            for j in {*range(i + 3, min(ends[i], i + MAX_SPAN) + 1), ends[i]}:
+                if j - i >= 3:
+                    best[j] = min(best[j], at + cost(j - i))
     return best[n]
 
 
