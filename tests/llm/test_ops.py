@@ -377,6 +377,42 @@ def test_op9_ratios_inside_the_mark():
     assert [x[:5] for x in html.extract(page).split("\n")] == ["Title", "Many ", "Part", "Many "]
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<html><head><title>T</title><body><article><p>Hello there, all of you.</p></article>", "Hello there, all of you."),
+        ("<title>T</title><article><p>Hello there, all of you.</p></article>", "Hello there, all of you."),
+        ("<article><p>Hello there, all of you.</p></article><article class='comment'><p>I think so, too, as it is.</p></article>", "Hello there, all of you."),
+        ("<article><p>Hello there, all of you.</p></article><article class='user-comment odd'><p>I think so, too.</p></article>", "Hello there, all of you."),
+        ("<article><p data-x=it's>Hello there, all of you.</p><p>More of it's text.</p></article>", "Hello there, all of you.\nMore of it's text."),
+        ("<article><p title='a > b' x=\"</p>\">Hello there, all of you.</p></article>", "Hello there, all of you."),
+        ("<article class=comments-open><div class='article-header'><h1>Title</h1></div><p>Hello there, all of you.</p></article>", "Title\nHello there, all of you."),
+        ("<div class='site-header'><p>Site, with words.</p></div><article><p>Hello there, all of you.</p></article>", "Hello there, all of you."),
+        ("<article><p>a < b, and 3 <4 is so.</p><!-- open <p>no</p>", "a < b, and 3 <4 is so."),
+        ("<article><p>One, two.</p><p title='open>Three", "One, two."),
+    ],
+)
+def test_op9_markup(page, text):
+    assert html.extract(page) == text
+
+
+def test_op9_long_pages_take_linear_time():
+    import time
+
+    for piece in ("<p a='", '<p a="x" b=', "<", "<!", "<script ", "</p", "<p>a, b.", "<h2>a", "<div>"):
+        start = time.process_time()
+        html.extract(piece * 20_000)
+        assert time.process_time() - start < 5, piece
+
+
+def test_op9_table(spark):
+    rows = [(1, "u", "<article><p>Hello there, all of you.</p>", "x"), (1, "u", "<article><p>Hello there, all of you.</p>", "x"), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
+    got = sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in html.main_text(df).collect())
+    assert got == [(0, "", 0)] + [(1, "Hello there, all of you.", 24)] * 2
+    assert html.main_text(df.limit(0)).count() == 0
+
+
 def test_op1_rejects_unlearned_language(spark):
     """Slope and levels come from held-back rows; long texts in no learned language are rejected, those of learned ones are not."""
     r = np.random.default_rng(3)

@@ -5,19 +5,26 @@ path, smoothed over the page, fused, and paths over a share of the mean are cont
 (menus, forms, adverts, comments ...) are left out before; the page's own mark of its article multiplies the scores of the paths
 under it by PRIOR, no more, so the ratios decide there, too. A heading under the mark is fused with the content after it.
 
-Null or empty html: empty text. Unclosed and stray tags: a block tag ends the paragraph that is open; stray end tags are ignored.
+Null or empty html: empty text. Unclosed and stray tags: a block tag ends the paragraph that is open, or the head; stray end tags
+are ignored; an open comment, tag or quoted value goes on to the end of the page. Very long pages: whole, in linear time. Repeated
+rows: each is read. Paths of equal score: all stay or all go. Empty table: no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!?/?[a-zA-Z][^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*>|<![^>]*>|<\?[^>]*>", re.S | re.I)
+# A tag ends at the first > outside a quoted value, and quotes open a value after = only; what never ends goes on to the end of the
+# page, so each character is read once. Elements whose content is no markup go with it.
+TAG_END = r"""(?>[^>=]|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))?+)*+(?:>|\Z)"""
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe)(?=[\s/>]){TAG_END}.*?(?:</\1(?=[\s/>])[^>]*+(?:>|\Z)|\Z)|</?[a-zA-Z]{TAG_END}|<[!?/][^>]*+(?:>|\Z)", re.S | re.I)
 NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
 MARK = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 # Elements by their part in HTML.
@@ -27,19 +34,40 @@ OUTSIDE = frozenset("head nav header footer aside form button select dialog menu
 PARAGRAPH_ENDS = frozenset("p div article section ul ol li table h1 h2 h3 h4 h5 h6 blockquote pre nav header footer aside form main dl figure hr".split())
 BAD = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|gdpr|newsletter|subscribe|comments?|replies|disqus|sidebar|side|widget|menu|nav\w*|breadcrumbs?|footer|header|masthead|share|social|related|recommended|popup|modal|navigation|contentinfo|complementary)(?:$|[\s_-])", re.I)
 GOOD = frozenset(["article", "main"])
+# An article element of its own for a comment or an advert: a class that ends in such a word.
+NO_ARTICLE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|sponsored|promo|comments?|reply|replies|related|recommended)(?:$|\s)", re.I)
+# Inside the article, a class of a header marks the block of its title.
+TITLE = re.compile(r"(?:^|(?<=[\s_-]))(?:header|masthead)(?=$|[\s_-])", re.I)
+IN_HEAD = frozenset("title base link meta script style noscript template".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 PRIOR = 2.0
 
 
-def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
-    """(path, text, inside a region that never is content, inside the marked article) of each leaf block."""
-    out, stack, parts = [], [], []  # stack: (tag, never content, article)
+class Block(NamedTuple):
+    path: int  # a number for each path from the root
+    leaf: str
+    text: str
+    never: bool  # inside a region that never is content
+    article: bool  # inside the marked article
+
+
+def blocks(page: str) -> list[Block]:
+    """The leaf blocks in page order."""
+    paths: dict[tuple[int, str], int] = {}
+    out, parts = [], []
+    stack = [Block(0, "", "", False, False)]  # the open elements, under the root
+    open_tags: Counter[str] = Counter()
 
     def flush() -> None:
         text = " ".join(entities.unescape("".join(parts)).split())
         parts.clear()
         if text:
-            out.append(("/".join(t for t, _, _ in stack if t not in INLINE), text, any(b for _, b, _ in stack), any(g for _, _, g in stack)))
+            out.append(stack[-1]._replace(text=text))
+
+    def pop() -> str:
+        tag = stack.pop().leaf
+        open_tags[tag] -= 1
+        return tag
 
     at = 0
     for m in TOKEN.finditer(page):
@@ -49,7 +77,7 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
         name = NAME.match(m[0])
         if m[1] or not name:
             continue
-        tag = name[2].lower()
+        tag, top = name[2].lower(), stack[-1]
         if tag in INLINE:
             continue
         if tag == "br":
@@ -57,15 +85,25 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
             continue
         flush()
         if name[1]:
-            if any(t == tag for t, _, _ in stack):
-                while stack.pop()[0] != tag:
+            if open_tags[tag]:
+                while pop() != tag:
                     pass
-        elif tag not in VOID:
-            if tag in PARAGRAPH_ENDS and stack and stack[-1][0] == "p":
-                stack.pop()
-            mark = " ".join(x for g in MARK.findall(m[0]) for x in g if x)
-            never = tag in OUTSIDE or bool(mark and tag not in ("html", "body") and tag not in GOOD and BAD.search(mark))
-            stack.append((tag, never, tag in GOOD))
+            continue
+        if top.leaf == "head" and tag not in IN_HEAD or top.leaf == "p" and tag in PARAGRAPH_ENDS:  # end tags that may be left out
+            pop()
+            top = stack[-1]
+        if tag in VOID:
+            continue
+        mark = " ".join(x for g in MARK.findall(m[0]) for x in g if x)
+        if top.article:
+            mark = TITLE.sub("", mark)
+        if tag in GOOD:
+            bad = tag == "article" and NO_ARTICLE.search(mark)
+        else:
+            bad = tag not in ("html", "body") and BAD.search(mark)
+        path = paths.setdefault((top.path, tag), len(paths) + 1)
+        stack.append(Block(path, tag, "", top.never or tag in OUTSIDE or bool(bad), top.article or tag in GOOD and not bad))
+        open_tags[tag] += 1
     if at < len(page):
         parts.append(page[at:])
     flush()
@@ -75,26 +113,26 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
 def extract(page: str | None, share: float = 0.1) -> str:
     if not page:
         return ""
-    inside = [b for b in blocks(page) if not b[2]]
-    size: dict[str, list[float]] = {}
-    for path, text, _, _ in inside:
-        s = size.setdefault(path, [0.0, 0.0, 0.0])
-        s[0] += len(text)
-        s[1] += sum(text.count(c) for c in ".,;:!?")
+    inside = [b for b in blocks(page) if not b.never]
+    size: dict[int, list[float]] = {}
+    for b in inside:
+        s = size.setdefault(b.path, [0.0, 0.0, 0.0])
+        s[0] += len(b.text)
+        s[1] += sum(b.text.count(c) for c in ".,;:!?")
         s[2] += 1
     ratio = {p: (n / k) * (1 + c / k) for p, (n, c, k) in size.items()}
-    each = [ratio[b[0]] for b in inside]
+    each = [ratio[b.path] for b in inside]
     smooth = [sum(w) / len(w) for w in (each[max(0, i - 1) : i + 2] for i in range(len(each)))]
-    fused: dict[str, list[float]] = {}
-    for (path, *_), a, b in zip(inside, each, smooth):
-        fused.setdefault(path, []).append((a * b) ** 0.5)
+    fused: dict[int, list[float]] = {}
+    for b, x, y in zip(inside, each, smooth):
+        fused.setdefault(b.path, []).append((x * y) ** 0.5)
     score = {p: sum(v) / len(v) for p, v in fused.items()}
     least = share * sum(score.values()) / max(len(score), 1)
-    value = [score[b[0]] * (PRIOR if b[3] else 1) for b in inside]
+    value = [score[b.path] * (PRIOR if b.article else 1) for b in inside]
     for i in range(len(inside) - 2, -1, -1):  # from the end, as a heading may stand over another
-        if inside[i][3] and inside[i + 1][3] and inside[i][0].rsplit("/", 1)[-1] in HEADINGS:
+        if inside[i].article and inside[i + 1].article and inside[i].leaf in HEADINGS:
             value[i] = max(value[i], (value[i] + value[i + 1]) / 2)
-    return "\n".join(b[1] for b, v in zip(inside, value) if v >= least)
+    return "\n".join(b.text for b, v in zip(inside, value) if v >= least)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
