@@ -244,9 +244,32 @@ def test_op6_brute_force(docs, rows):
         assert got.loc[i, "base_labels"] == ",".join(sorted({x for _, x in found}))
         if found:
             assert (got.loc[i, "first_word"], got.loc[i, "last_word"]) == (min(found)[0], max(found)[0])
-    text = "Foo. " + licenses.TEMPLATES["mit"].replace("copy modify", "copy alter") + " bar"
-    spark = docs.sparkSession
-    assert licenses.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["labels"] == "mit"
+
+
+def test_op6_diagonals(spark):
+    """Words left out, put in and exchanged are borne; the same words in another order, or half a notice, are not enough."""
+    mit, bsd = (next(t for x, t in licenses.TEMPLATES if x == y) for y in ("mit", "bsd"))
+    words = mit.split()
+    texts = {
+        1: "Foo. " + mit.replace("copy modify", "copy alter") + " bar",
+        2: " ".join(w for i, w in enumerate(words) if i != 20),
+        3: " ".join(w + (" odd" if i in (12, 30) else "") for i, w in enumerate(words)),
+        4: " ".join(sorted(words)),
+        5: " ".join(words[: len(words) * 2 // 5]),
+        6: "x " * 500 + mit + " y" * 300 + " " + bsd.upper(),
+        7: " ".join(words[:4] * 30),
+        8: None,
+        9: "",
+    }
+    rows = [(i, t, "x") for i, t in texts.items()] + [(6, texts[6], "x"), (None, mit, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, w string")
+    got = licenses.scan(df).toPandas()
+    assert len(got) == len(rows)
+    labels = {(None if i != i or i is None else int(i)): x for i, x in zip(got.doc_id, got.labels)}
+    assert labels == {1: "mit", 2: "mit", 3: "mit", 4: "", 5: "", 6: "bsd,mit", 7: "", 8: "", 9: "", None: ""}
+    one = got[got.doc_id == 1].iloc[0]
+    assert math.isclose(one.score, (len(words) - 1) / len(words)) and (got[got.doc_id == 4].score == 0).all()
+    assert licenses.scan(df.limit(0)).count() == 0
 
 
 def test_op7_library(docs, rows):
