@@ -315,7 +315,7 @@ def test_op9_fixture():
 
 def test_op10_base(docs, rows):
     train = F.crc32(F.col("doc_id").cast("string")) % 7 != 2
-    got = by_id(neural.score(docs.select("doc_id", "text"), docs.where(train).select("doc_id", "text"), *queries.subword_file()))
+    got = by_id(neural.score(docs.select("doc_id", "text"), train, *queries.subword_file()))
     count = Counter()
     toks = {i: [*WORD.findall(lower(t)), None] for i, t in zip(rows.doc_id, rows.text)}
     for i, t in toks.items():
@@ -333,13 +333,13 @@ def test_op10_rare_words_by_the_shuffle(spark, monkeypatch):
     monkeypatch.setattr(neural, "frequent", lambda counts, f=neural.frequent: f(counts, 3))
     rows = [(1, "a a a b b c d"), (2, "a c e E"), (2, "a c e E"), (None, None), (4, "zz")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = neural.score(df, df.where("doc_id < 4"), *queries.subword_file()).toPandas().sort_values(["n_tokens", "doc_id"])
+    got = neural.score(df, F.col("doc_id") < 4, *queries.subword_file()).toPandas().sort_values(["n_tokens", "doc_id"])
     count = Counter("a a a b b c d \n a c e e \n a c e e \n".split(" "))
     for r in got.itertuples():
         t = [*lower({1: rows[0][1], 2: rows[1][1], 4: "zz"}.get(r.doc_id, "")).split(), "\n"]
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(count[x] > 0 for x in t), 18)
         assert math.isclose(r.base_score, sum(math.log10((count[x] + 1) / (18 + len(count) + 1)) for x in t))
-    assert len(got) == 5 and neural.score(df.limit(0), df, *queries.subword_file()).count() == 0
+    assert len(got) == 5 and neural.score(df.limit(0), F.lit(True), *queries.subword_file()).count() == 0
 
 
 def test_op10_windows_agree():

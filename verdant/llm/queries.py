@@ -78,7 +78,7 @@ def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     small_batches(spark)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = neural.score(docs, docs.where(bucket(7) != 2), *subword_file())
+    out = neural.score(docs, bucket(7) != 2, *subword_file())
     return out.select("doc_id", (bucket(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
