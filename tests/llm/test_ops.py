@@ -357,7 +357,7 @@ def test_op10_trains_on_all_rows(spark):
     lists = neural.subword_ids(texts, *file)
     ids = np.concatenate(lists)
     model = neural.train(df, *file)
-    fresh = neural.Attention(model.bos, np.bincount(ids, minlength=model.bos).astype(float))
+    fresh = neural.Attention(model.bos, np.bincount(ids, minlength=model.bos).astype(float), neural.spelled(file[0]))
     assert (model.inside == fresh.inside).all() and (model.of == fresh.of).all()
     moved = (model.p["e"] != fresh.p["e"]).any(1)
     used = {*ids.tolist(), model.bos}  # an id that only ends windows is predicted, but never read
@@ -367,6 +367,17 @@ def test_op10_trains_on_all_rows(spark):
     assert read.sum() == 48
 
 
+def test_op10_held_out(docs, rows):
+    """Training helps on texts that it did not read."""
+    held = rows.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 7 == 2)
+    file = queries.subword_file()
+    model = neural.train(docs.where(F.crc32(F.col("doc_id").cast("string")) % 7 != 2), *file)
+    seen = np.concatenate(neural.subword_ids(rows.text[~held], *file))
+    fresh = neural.Attention(model.bos, np.bincount(seen, minlength=model.bos).astype(float), neural.spelled(file[0]))
+    lists = neural.subword_ids(rows.text[held], *file)
+    assert len(lists) > 10 and model.score(lists).sum() > 0.95 * fresh.score(lists).sum()
+
+
 @pytest.mark.parametrize("text, value", [('password: "Zq8!kf02#LmPw" x', "Zq8!kf02#LmPw"), ("secret=aB3$xY9!kLm2Qw", "aB3$xY9!kLm2Qw"), ("api_key: k9#Lm2!xQ7@vR4zT", "k9#Lm2!xQ7@vR4zT"), ("token = Xy7@#pQ2!rT9", "Xy7@#pQ2!rT9"), ("dbpasswd='hunter2xyz!Secret#9'", "hunter2xyz!Secret#9"), ("password=hunter2xyz!Secret#9", "hunter2xyz!Secret#9")])
 def test_op4_whole_values(text, value):
     at = text.index(value)
