@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -89,3 +89,25 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Keep Arrow batches of whole texts small: some texts have many thousand words. Holds for the session from then on."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def number(df: DataFrame, part: list[str], order: list[str]) -> DataFrame:
+    """df with k, the place (from 0) of each row within its part by `order` (nulls first), and n, the rows of the part.
+
+    Rows are range-sorted by part and order, so a part of any size is spread over tasks; only counts of (part, task) are summed. Rows
+    equal in part and order may swap places.
+    """
+    keys = [*part, *order]
+    d = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_m", F.monotonically_increasing_id())
+    d = cut(d.withColumn("_p", F.shiftright("_m", 33)))
+    w = Window.partitionBy(*(part or [F.lit(0)]))
+    runs = d.groupBy(*part, "_p").agg(F.min("_m").alias("_first"), F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(w.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select(*[F.col(c).alias(f"_part_{c}") for c in part], F.col("_p").alias("_run"), "_first", before.alias("_before"), F.sum("_c").over(w).alias("n"))
+    same = F.col("_p") == F.col("_run")
+    for c in part:
+        same &= F.col(c).eqNullSafe(F.col(f"_part_{c}"))
+    out = d.join(bounded(runs), same)
+    out = out.select(*df.columns, (F.col("_m") - F.col("_first") + F.col("_before")).alias("k"), "n")
+    out.__dict__["_folder"] = d.__dict__["_folder"]
+    return out
