@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, html, jaccard, langid, licenses, merkle, neural, rules, secrets, toxicity
+from . import bpe, decontam, html, jaccard, langid, licenses, merkle, neural, rules, secrets, toxicity, trie, warc
 from .common import bucket, small_batches, table
 
 
@@ -82,10 +82,21 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (bucket(7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    folder = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(spark, folder, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = merkle.manifest(merkle.documents(table(spark, sf_dir, "documents"), bucket(7) == 0))
     return d.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard_join, op3_quality_rules, op4_secret_scans, op5_toxicity, op6_license_scans, op7_bpe, op8_decontamination, op9_html_extraction, op10_lm_scoring, op12_merkle_manifest)}
-ORACLES: dict[str, str] = {"op12_merkle_manifest": merkle.ORACLE}
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return trie.nodes(trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard_join, op3_quality_rules, op4_secret_scans, op5_toxicity, op6_license_scans, op7_bpe, op8_decontamination, op9_html_extraction, op10_lm_scoring, op11_warc, op12_merkle_manifest, op13_conversation_trie)}
+ORACLES: dict[str, str] = {"op11_warc": warc.ORACLE, "op12_merkle_manifest": merkle.ORACLE, "op13_conversation_trie": trie.ORACLE}
