@@ -54,13 +54,17 @@ def longest_gap(df: DataFrame, value: str, key: str = "pixel_id", day: str = "ob
 
 
 def local_extrema(value: str, key: str = "pixel_id", day: str = "obs_date", minima: bool = False, partial: bool = False) -> Column:
-    """Whether a row is at least (at most) as high as both neighbours and differs from one; the ends count only if partial."""
-    w, x, sign = order(key, day), F.col(value), -1 if minima else 1
-    a, b = F.lag(value).over(w), F.lead(value).over(w)
-    up, down = sign * (x - a), sign * (x - b)
-    inner = (up >= 0) & (down >= 0) & ((up > 0) | (down > 0))
-    edge = F.when(a.isNull(), down > 0).when(b.isNull(), up > 0) if partial else F.lit(False)
-    return F.coalesce(F.when(a.isNull() | b.isNull(), edge).otherwise(inner), F.lit(False))
+    """Where the direction turns: the last row of a top (bottom), flat or not; the ends count only if partial.
+
+    Partial: the first row is a top if the next is lower, the last one if none before it is higher. NULL values are no extrema.
+    """
+    w, x = order(key, day), F.col(value)
+    up, down = x - F.lag(value).over(w), F.lead(value).over(w) - x
+    first, last = F.row_number().over(w) == 1, F.lead(F.lit(True)).over(w).isNull()
+    before, after = (up <= 0, down > 0) if minima else (up >= 0, down < 0)
+    if partial:
+        before, after = before | first, after | last
+    return F.coalesce(before & after & x.isNotNull(), F.lit(False))
 
 
 def cross_threshold(df: DataFrame, value: str, share: Column, key: str = "pixel_id", day: str = "obs_date") -> DataFrame:

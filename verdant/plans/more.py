@@ -258,8 +258,7 @@ def d39_sites_per_tile(spark: SparkSession, d: str) -> DataFrame:
 W = "WINDOW w AS (PARTITION BY pixel_id ORDER BY obs_date)"
 
 
-@query(f"""WITH {OBS}, {DAILY}, n AS (SELECT *, lag(v) OVER w a, lead(v) OVER w b FROM day {W}) SELECT pixel_id, obs_date, v, coalesce(CASE WHEN a IS NULL OR b IS NULL THEN false ELSE v>=a AND v>=b AND (v>a OR v>b) END, false) top,
- coalesce(CASE WHEN a IS NULL THEN v<b WHEN b IS NULL THEN v<a ELSE v<=a AND v<=b AND (v<a OR v<b) END, false) bottom FROM n""")
+@query(f"""WITH {OBS}, {DAILY}, n AS (SELECT *, lag(v) OVER w a, lead(v) OVER w b FROM day {W}) SELECT pixel_id, obs_date, v, coalesce(v >= a AND v > b, false) top, (a IS NULL OR v <= a) AND (b IS NULL OR b > v) bottom FROM n""")
 def e2_local_extrema(spark: SparkSession, d: str) -> DataFrame:
     return daily(spark, d).select("pixel_id", "obs_date", "v", series.local_extrema("v").alias("top"), series.local_extrema("v", minima=True, partial=True).alias("bottom"))
 
