@@ -207,3 +207,8 @@ def parse_scene_name(name: Column) -> tuple[Column, Column, Column]:
 def aggregate(name: str, x: Column) -> Column:
     """An aggregate by its name."""
     return {"mean": F.avg, "median": F.median, "min": F.min, "max": F.max, "sd": F.stddev_samp, "n": F.count}[name](x)
+
+
+def week_of_year(day: str) -> Column:
+    """Weeks that begin on Sunday; 0 before the first one of the year."""
+    return F.floor((F.dayofyear(day) - 1 + 7 - (F.dayofweek(day) - 1)) / 7).cast("int")

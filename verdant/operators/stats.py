@@ -173,3 +173,12 @@ def sensor_rmse(pixels: DataFrame, a: DataFrame, b: DataFrame, x: str, max_diff:
     pairs = near.join(a.select(key, day, F.col(x).alias("_x")), [key, day]).join(b.select(key, F.col(day).alias("match"), F.col(x).alias("_y")), [key, "match"])
     off = F.col("_x") - F.col("_y")
     return pixels.join(pairs.groupBy(key).agg(F.sqrt(F.avg(off * off)).alias("rmse")), key, "left").withColumn("rmse", F.coalesce("rmse", F.lit(default)))
+
+
+def class_week_profile(df: DataFrame, cls: str, week: str, x: str, head: int = 10, tail: int = 50) -> DataFrame:
+    """(cls, week, mean, rate): weekly means, flat before the head and after the tail week; the rate leads to the next week, 1 in the last."""
+    d = df.groupBy(cls, week).agg(F.avg(x).alias("mean"))  # a row for each class and week from here on
+    own = Window.partitionBy(cls)
+    edge = lambda w: F.max(F.when(F.col(week) == w, F.col("mean"))).over(own)
+    d = d.withColumn("mean", F.when(F.col(week) < head, edge(head)).when(F.col(week) > tail, edge(tail)).otherwise(F.col("mean")))
+    return d.withColumn("rate", F.coalesce(F.lead("mean").over(own.orderBy(week)) / F.col("mean"), F.lit(1.0)))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..operators import smoothing, statespace
+from ..operators import smoothing, statespace, stats
 from ..sources import views as V
 from .queries import SEASON, query, r6
 
@@ -33,9 +33,7 @@ def f3_f17_kf_smooth_band(spark: SparkSession, d: str) -> DataFrame:
     return s.withColumns({"low": low, "high": high}).withColumns({k: r6(F.col(k)) for k in ("mean", "variance", "low", "high")})
 
 
-@query(f"""WITH RECURSIVE {SEASON}, {STEPS}, f AS (SELECT pixel_id, obs_date, i, CASE WHEN y IS NULL THEN 0.0 ELSE 1/(1+0.05)*y END m, CASE WHEN y IS NULL THEN 1.0 ELSE (1-1/(1+0.05)) END c FROM s WHERE i=1
- UNION ALL SELECT pixel_id, obs_date, i, CASE WHEN y IS NULL THEN m ELSE m + p/(p+0.05)*(y-m) END, CASE WHEN y IS NULL THEN p ELSE (1-p/(p+0.05))*p END FROM (SELECT s.pixel_id, s.obs_date, s.i, s.y, f.m, f.c + CASE WHEN year(s.obs_date)=year(f.obs_date) THEN 0.01 ELSE 0 END p FROM f JOIN s ON s.pixel_id=f.pixel_id AND s.i=f.i+1))
- SELECT pixel_id, obs_date, round(m,6) mean, round(c,6) variance FROM f""")
+@query(f"""WITH RECURSIVE {SEASON}, {STEPS}, {FILTER} SELECT pixel_id, obs_date, round(m,6) mean, round(c,6) variance FROM f""")
 def f12_annual_carry(spark: SparkSession, d: str) -> DataFrame:
     return statespace.annual_carry(V.season(spark, d), seen(), 0.01, 0.05).withColumns({k: r6(F.col(k)) for k in ("mean", "variance")})
 
@@ -46,6 +44,114 @@ def f4_f5_f11_multi_state(spark: SparkSession, d: str) -> DataFrame:
     return statespace.kf_multi(s, ["y1", "y3", "y2"], statespace.model(2, [[0, 1], [0]], w=1e-3, v=0.01), smooth=True)
 
 
+#: Class and week of each step, and the rate of growth of the class from the week before.
+GROWTH = f"""{STEPS}, cw AS (SELECT pixel_id, obs_date, pixel_id % 4 cls, (dayofyear(obs_date) - 1 + 7 - dayofweek(obs_date)) // 7 AS week, evi/1e4 v FROM season),
+ wk AS (SELECT cls, week, avg(v) x FROM cw GROUP BY 1, 2), flat AS (SELECT cls, week, CASE WHEN week < 10 THEN max(CASE WHEN week = 10 THEN x END) OVER (PARTITION BY cls) WHEN week > 50 THEN max(CASE WHEN week = 50 THEN x END) OVER (PARTITION BY cls) ELSE x END x FROM wk),
+ rates AS (SELECT cls, week, x AS mean, coalesce(lead(x) OVER (PARTITION BY cls ORDER BY week) / x, 1.0) rate FROM flat)"""
+
+
+def by_class(spark: SparkSession, d: str) -> DataFrame:
+    s = V.season(spark, d)
+    return s.select("pixel_id", "obs_date", (F.col("pixel_id") % 4).alias("cls"), X.week_of_year("obs_date").alias("week"), (F.col("evi") / 1e4).alias("v"), seen().alias("y"))
+
+
+@query(f"""WITH {SEASON}, {GROWTH} SELECT cls, CAST(week AS INT) AS week, round(mean, 6) AS mean, round(rate, 6) AS rate FROM rates""")
+def d25_class_week_profile(spark: SparkSession, d: str) -> DataFrame:
+    out = stats.class_week_profile(by_class(spark, d), "cls", "week", "v")
+    return out.select("cls", "week", r6(F.col("mean")).alias("mean"), r6(F.col("rate")).alias("rate"))
+
+
+@query(f"""WITH RECURSIVE {SEASON}, {GROWTH}, g AS (SELECT s.*, coalesce(r.rate, 1.0) rate FROM s JOIN cw USING (pixel_id, obs_date) LEFT JOIN rates r ON r.cls = cw.cls AND r.week + 1 = cw.week),
+ f AS (SELECT pixel_id, i, obs_date, CASE WHEN y IS NULL THEN rate*0.3 ELSE rate*0.3 + (rate*rate+0.05)/(rate*rate+0.05+0.05)*(y - rate*0.3) END m, CASE WHEN y IS NULL THEN rate*rate+0.05 ELSE (1-(rate*rate+0.05)/(rate*rate+0.05+0.05))*(rate*rate+0.05) END c FROM g WHERE i = 1
+  UNION ALL SELECT g.pixel_id, g.i, g.obs_date, CASE WHEN g.y IS NULL THEN g.rate*f.m ELSE g.rate*f.m + (g.rate*g.rate*f.c+0.05)/(g.rate*g.rate*f.c+0.05+0.05)*(g.y - g.rate*f.m) END, CASE WHEN g.y IS NULL THEN g.rate*g.rate*f.c+0.05 ELSE (1-(g.rate*g.rate*f.c+0.05)/(g.rate*g.rate*f.c+0.05+0.05))*(g.rate*g.rate*f.c+0.05) END FROM f JOIN g ON g.pixel_id = f.pixel_id AND g.i = f.i + 1)
+ SELECT pixel_id, obs_date, round(m, 6) mean, round(c, 6) variance FROM f""")
+def f15_kf_class_growth(spark: SparkSession, d: str) -> DataFrame:
+    s = by_class(spark, d)
+    growth = stats.class_week_profile(s, "cls", "week", "v")
+    out = statespace.kf_class_growth(s, F.col("y"), growth, m0=0.3, smooth=False)
+    return out.withColumns({k: r6(F.col(k)) for k in ("mean", "variance")})
+
+
+@query(f"""WITH RECURSIVE {SEASON}, {STEPS}, pr AS (SELECT unnest(range(0, 4)) cluster, unnest([0.001, 0.002, 0.003, 0.004]) q), g AS (SELECT s.*, pixel_id % 4 cluster, 1 + 0.001*(month(obs_date) - 6)*(pixel_id % 4) rate, 0.001*(pixel_id % 4 + 1)*month(obs_date) var, 0.2 + 0.1*(pixel_id % 4) m0, 0.001*(pixel_id % 4 + 1) c0 FROM s),
+ f AS (SELECT pixel_id, i, obs_date, CASE WHEN y IS NULL THEN rate*m0 ELSE rate*m0 + (rate*rate*c0+var)/(rate*rate*c0+var+0.01)*(y - rate*m0) END m, CASE WHEN y IS NULL THEN rate*rate*c0+var ELSE (1-(rate*rate*c0+var)/(rate*rate*c0+var+0.01))*(rate*rate*c0+var) END c FROM g WHERE i = 1
+  UNION ALL SELECT g.pixel_id, g.i, g.obs_date, CASE WHEN g.y IS NULL THEN g.rate*f.m ELSE g.rate*f.m + (g.rate*g.rate*f.c+var)/(g.rate*g.rate*f.c+var+0.01)*(g.y - g.rate*f.m) END, CASE WHEN g.y IS NULL THEN g.rate*g.rate*f.c+var ELSE (1-(g.rate*g.rate*f.c+var)/(g.rate*g.rate*f.c+var+0.01))*(g.rate*g.rate*f.c+var) END FROM f JOIN g ON g.pixel_id = f.pixel_id AND g.i = f.i + 1)
+ SELECT pixel_id, obs_date, round(m, 6) mean, round(c, 6) variance FROM f""")
+def f13_kf_by_cluster(spark: SparkSession, d: str) -> DataFrame:
+    cluster, month = F.col("pixel_id") % 4, F.month("obs_date")
+    s = V.season(spark, d).select("pixel_id", "obs_date", cluster.alias("cluster"), month.alias("step"), seen().alias("y"))
+    priors = s.select("cluster", "step").distinct()
+    c, t = F.col("cluster"), F.col("step")
+    priors = priors.select("cluster", "step", (1 + 0.001 * (t - 6) * c).alias("rate"), (0.001 * (c + 1) * t).alias("var"), (0.2 + 0.1 * c).alias("mean"))
+    out = statespace.kf_by_cluster(s, F.col("y"), priors, 0.01, smooth=False)
+    return out.withColumns({k: r6(F.col(k)) for k in ("mean", "variance")})
+
+
+@query(f"""WITH RECURSIVE {SEASON}, q AS (SELECT pixel_id, obs_date, row_number() OVER (PARTITION BY pixel_id ORDER BY obs_date) i, CASE WHEN flag <> 1 THEN evi/1e4 END y, resid/1e4 u, 1 + (pixel_id + evi) % 3 k FROM season),
+ v AS (SELECT *, [3.0, 0.5, 0.0][k] * 8 rw, [1.1, 1, 1][k]::DOUBLE c, [0.8, 1, 1][k]::DOUBLE b FROM q),
+ f AS (SELECT pixel_id, i, obs_date, 0.0::DOUBLE est, 0.0::DOUBLE x, 5.0::DOUBLE p FROM v WHERE i = 1
+  UNION ALL SELECT pixel_id, i, obs_date, est, est + b*u, p - gain*c*p + 0.5 FROM (SELECT v.*, f.p, CASE WHEN y IS NULL THEN 0 ELSE f.p*c/(c*f.p*c+rw) END gain, f.x + CASE WHEN y IS NULL THEN 0 ELSE f.p*c/(c*f.p*c+rw)*(y - c*f.x) END est FROM f JOIN v ON v.pixel_id = f.pixel_id AND v.i = f.i + 1))
+ SELECT pixel_id, obs_date, round(est, 6) mean FROM f""")
+def f14_kf_quality(spark: SparkSession, d: str) -> DataFrame:
+    s = V.season(spark, d).select("pixel_id", "obs_date", F.when(F.col("flag") != 1, F.col("evi") / 1e4).alias("y"), (F.col("resid") / 1e4).alias("u"), (1 + (F.col("pixel_id") + F.col("evi")) % 3).alias("k"))
+    return statespace.kf_quality(s, "y", "k", "u").withColumn("mean", r6(F.col("mean")))
+
+
+def two_sensors(spark: SparkSession, d: str) -> DataFrame:
+    """Every ninth day and every fourth day of the season: a sharp sensor and a coarse one."""
+    i = F.datediff("obs_date", F.lit("1999-01-01"))
+    return V.season(spark, d).select("pixel_id", "obs_date", (F.col("pixel_id") % 4).alias("cls"), F.when(i % 9 == 0, F.col("evi") / 1e4).alias("y1"), F.when(i % 4 == 0, (F.col("evi") + F.col("resid")) / 1e4).alias("y2"), "resid")
+
+
+@query()
+def f7_fuse_multiband(spark: SparkSession, d: str) -> DataFrame:
+    s = two_sensors(spark, d)
+    fine, coarse = [f"f{k}" for k in range(4)], [f"c{k}" for k in range(4)]
+    s = s.select("*", *[(F.col("y1") * (1 + k / 4) + F.col("resid") * k / 1e5).alias(f) for k, f in enumerate(fine)], *[(F.col("y2") * (1 + k / 4)).alias(c) for k, c in enumerate(coarse)])
+    diffs = s.select("cls", F.dayofyear("obs_date").alias("doy")).distinct()
+    lower = {f"w_{r}{c}": (1e-4 if r == c else 2e-5) * (1 + F.col("cls")) * (1 + F.col("doy") / 365) for c in range(1, 5) for r in range(c, 5)}
+    cov = diffs.select("cls", "doy", *[x.alias(k) for k, x in lower.items()])
+    return statespace.fuse_multiband(s, fine, coarse, [F.abs(f) * 0.07 for f in fine], [F.lit(0.02)] * 4, cov)
+
+
+FUSED = dict(w=1e-4, v1=4e-4, v2=1e-3)
+
+
+def fused_model() -> statespace.Model:
+    return statespace.two_sensor_model(**FUSED)
+
+
+def third_year(spark: SparkSession, d: str) -> DataFrame:
+    return two_sensors(spark, d).where("year(obs_date) = 2001")
+
+
+@query()
+def f19_holdout_runs(spark: SparkSession, d: str) -> DataFrame:
+    return statespace.holdout_runs(third_year(spark, d), ["y1", "y2"], fused_model(), 3)
+
+
+@query()
+def f20_holdout_fraction(spark: SparkSession, d: str) -> DataFrame:
+    return statespace.holdout_fraction(third_year(spark, d), ["y1", "y2"], fused_model(), 0.3)
+
+
+@query()
+def f21_holdout_sweep(spark: SparkSession, d: str) -> DataFrame:
+    errors = statespace.holdout_sweep(third_year(spark, d), ["y1", "y2"], fused_model())
+    return statespace.holdout_rmse(errors, "part", "mode")
+
+
+@query()
+def f22_forecast_phenology(spark: SparkSession, d: str) -> DataFrame:
+    return statespace.forecast_phenology(V.season(spark, d).where("year(obs_date) = 2000"), seen(), 0.2, 1e-3, 1e-2, m0=0.2)
+
+
+@query()
+def f16_kf_seasonal(spark: SparkSession, d: str) -> DataFrame:
+    weeks = stats.weekly_composite(V.season(spark, d).withColumn("v", seen()), "pixel_id", "obs_date", "v")
+    weeks = weeks.select("pixel_id", F.expr("date_add(make_date(yr, 1, 1), 7 * week)").alias("obs_date"), "value")
+    return statespace.kf_multi(weeks, ["value"], statespace.seasonal(26, 1, 1e-3, 1e-2), smooth=True).select("pixel_id", "obs_date", "mean_1", "variance_1")
+
+
 @query()
 def f6_f8_fuse_two_sensors(spark: SparkSession, d: str) -> DataFrame:
     s = V.season(spark, d).withColumns({"y1": seen(), "y2": F.when(F.col("flag") != 1, F.col("evi") / 1e4 + 0.02)})
