@@ -5,10 +5,6 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from verdant.operators import smoothing, statespace
-from verdant.streaming import composite
-
-SF = "/root/testdata/sf0.001"
-
 
 def series(spark, n=3, days=40, seed=4):
     r = np.random.default_rng(seed)
@@ -66,14 +62,3 @@ def test_smoother_as_a_dense_solve(spark):
     assert np.isnan(smoothing.fit(np.array([1.0, np.nan, 2.0]), np.ones(3), 1.0)).all()
     spike = np.r_[np.zeros(10), 9.0, np.zeros(10)]
     assert smoothing.fit(spike, np.ones(21), 5.0, 0.97, 1).max() < 1e-6 < smoothing.fit(spike, np.ones(21), 5.0).max()
-
-
-def test_weekly_stream_as_the_batch(spark, tmp_path):
-    e = spark.read.parquet(f"{SF}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    e.repartition(3).write.parquet(str(tmp_path / "in"))
-    s = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = composite.weekly(s).writeStream.format("memory").queryName("weekly").outputMode("complete").start()
-    q.processAllAvailable()
-    q.stop()
-    a, b = (x.select("user_id", "week", F.round("mean_value", 6).alias("m"), "n").toPandas().sort_values(["user_id", "week"]).reset_index(drop=True) for x in (spark.table("weekly"), composite.weekly(e)))
-    pd.testing.assert_frame_equal(a, b)

@@ -41,12 +41,6 @@ def despike(df: DataFrame, value: str, key: str = "pixel_id", day: str = "obs_da
     return df.withColumn("spike", F.coalesce((dev < 0) & (F.abs(dev) > least) & (F.abs(dev) > ratio * F.abs(b - a)), F.lit(False)))
 
 
-def bad_share(flag: str, key: str = "pixel_id", day: str = "obs_date", reach: int = 14) -> Column:
-    """Share of flags other than 0, 1, 2 within reach days."""
-    w = Window.partitionBy(key).orderBy(F.unix_date(day)).rangeBetween(-reach, reach)
-    return F.avg((~F.col(flag).isin(0, 1, 2)).cast("double")).over(w)
-
-
 def longest_gap(df: DataFrame, value: str, key: str = "pixel_id", day: str = "obs_date") -> DataFrame:
     w = order(key, day)
     d = df.withColumn("g", F.count(value).over(w)).where(F.col(value).isNull())

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import expr as X
 from ..operators import joins, phenology, series, stats
 from ..sources import views as V
-from ..streaming import composite
 
 OBS = """obs AS (SELECT l_suppkey pixel_id, CAST(l_shipdate AS DATE) obs_date,
  CASE l_returnflag WHEN 'A' THEN 'S1' WHEN 'N' THEN 'S2' ELSE 'S3' END sensor,
@@ -221,11 +220,6 @@ def e1_find_peaks(spark: SparkSession, d: str) -> DataFrame:
     return series.peaks(V.season(spark, d)).select("pixel_id", "obs_date", "evi")
 
 
-@query(f"""WITH {SEASON} SELECT pixel_id, obs_date, round(avg(CASE WHEN flag NOT IN (0,1,2) THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY pixel_id ORDER BY obs_date RANGE BETWEEN INTERVAL 14 DAY PRECEDING AND INTERVAL 14 DAY FOLLOWING),6) bad FROM season""")
-def e29_fill_fraction(spark: SparkSession, d: str) -> DataFrame:
-    return V.season(spark, d).select("pixel_id", "obs_date", r6(series.bad_share("flag")).alias("bad"))
-
-
 @query(f"""WITH {SEASON}, x AS (SELECT pixel_id, obs_date, CASE WHEN flag=0 THEN evi END evi FROM season), g AS (SELECT *, count(evi) OVER (PARTITION BY pixel_id ORDER BY obs_date) g FROM x)
  SELECT pixel_id, max(n) longest_gap FROM (SELECT pixel_id, g, count(*) n FROM g WHERE evi IS NULL GROUP BY 1,2) GROUP BY 1""")
 def e20_max_gap(spark: SparkSession, d: str) -> DataFrame:
@@ -280,9 +274,3 @@ def i1_melt(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {OBS} SELECT count(*) n, count(*) FILTER (WHERE snow=0) after_snow, count(*) FILTER (WHERE snow=0 AND nir>2000) after_nir FROM obs""")
 def j2_filter_steps(spark: SparkSession, d: str) -> DataFrame:
     return V.obs(spark, d).agg(F.count("*").alias("n"), F.count_if(F.expr("snow = 0")).alias("after_snow"), F.count_if(F.expr("snow = 0 AND nir > 2000")).alias("after_nir"))
-
-
-@query("""SELECT time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01') AS week, user_id, round(avg(value),6) mean_value, count(*) n FROM events GROUP BY 1,2""")
-def k4_weekly_composite(spark: SparkSession, d: str) -> DataFrame:
-    e = V.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return composite.weekly(e).withColumn("mean_value", r6(F.col("mean_value"))).withColumn("week", F.col("week").cast("timestamp_ntz"))
