@@ -81,8 +81,11 @@ def crossing_dates(df: DataFrame, value: str, up: float, down: float, key: str =
 
 
 def hampel(df: DataFrame, value: str, k: int, t0: float = 3.0, key: str = "pixel_id", day: str = "obs_date") -> DataFrame:
-    """Adds `clean` and `flag`: 3 where a value lies over t0 scaled MADs from the median of 2k+1 days and is replaced by it; k days at the ends stay."""
-    w = order(key, day)
+    """Adds `clean` and `flag`: 3 where a value lies over t0 scaled MADs from the median of 2k+1 values and is replaced by it; k values at the ends stay.
+
+    Windows run over the values, so NULLs between them do not count; they stay NULL.
+    """
+    w = Window.partitionBy(key, F.col(value).isNull()).orderBy(day)
     near = F.sort_array(F.collect_list(value).over(w.rowsBetween(-k, k)))
     d = df.withColumn("_s", near)
     med = F.element_at("_s", k + 1)
@@ -92,11 +95,12 @@ def hampel(df: DataFrame, value: str, k: int, t0: float = 3.0, key: str = "pixel
 
 
 def snow_filter(df: DataFrame, value: str, ndsi: str, key: str = "pixel_id", limit: float = 0.2, q: float = 0.05) -> DataFrame:
-    """Adds `filled` and `flag`: snow (1) and all that lies lower become a low quantile of the snow-free values."""
+    """Adds `filled` and `flag`: snow (1) and all values that lie lower become a low quantile of the snow-free values; other NULLs stay NULL."""
     snow = F.coalesce(F.col(ndsi) > limit, F.lit(False))
-    low = df.where(~snow).groupBy(key).agg(F.percentile(value, F.lit(q)).alias("_low"))
+    low = df.where(F.col(ndsi) <= limit).groupBy(key).agg(F.percentile(value, F.lit(q)).alias("_low"))
     d = df.join(low, key, "left")
-    return d.withColumn("flag", snow.cast("int")).withColumn("filled", F.when(snow, F.col("_low")).otherwise(F.greatest(F.col(value).cast("double"), F.col("_low")))).drop("_low")
+    raised = F.when(snow | (F.col(value) < F.col("_low")), F.col("_low")).otherwise(F.col(value).cast("double"))
+    return d.withColumn("flag", snow.cast("int")).withColumn("filled", raised).drop("_low")
 
 
 def daily_change(value: str, key: str = "pixel_id", day: str = "obs_date") -> Column:

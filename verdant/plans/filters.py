@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..operators import smoothing, statespace, stats
+from ..operators import cycles, smoothing, statespace, stats
 from ..sources import views as V
-from .queries import SEASON, query, r6
+from .more import DAILY, GAPPY, gappy
+from .queries import OBS, SEASON, query, r6
 
 STEPS = "s AS (SELECT pixel_id, obs_date, row_number() OVER (PARTITION BY pixel_id ORDER BY obs_date) i, CASE WHEN flag=0 THEN evi/1e4 END y FROM season)"
 FILTER = """f AS (SELECT pixel_id, obs_date, i, CASE WHEN y IS NULL THEN 0.0 ELSE 1.01/(1.01+0.05)*y END m, CASE WHEN y IS NULL THEN 1.01 ELSE (1-1.01/(1.01+0.05))*1.01 END c, 0.0::DOUBLE mp, 1.01::DOUBLE cp FROM s WHERE i=1
@@ -170,4 +171,39 @@ def e10_e11_smooth_reject(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def e16_snow_fill_max(spark: SparkSession, d: str) -> DataFrame:
-    return smoothing.snow_fill_max(V.season(spark, d).withColumn("snow", F.col("flag") == 4), "evi", "snow")
+    s = V.season(spark, d).withColumn("v", F.when(F.col("flag") != 1, F.col("evi") / 1e4))
+    return smoothing.snow_fill_max(s, "v", F.col("flag") == 4)
+
+
+_ORDER = "list_sort({v})[CAST(greatest(1, round_even(len({v})*0.1, 0)) AS INT)]"
+
+
+@query(f"""WITH RECURSIVE {OBS}, {DAILY}, {GAPPY}, x AS (SELECT pixel_id, obs_date, year(obs_date) yr, v/1e4 v, (w % 97)/97.0 - 0.505 ndsi FROM gap),
+ ys AS (SELECT pixel_id, yr, coalesce(list(v) FILTER (WHERE ndsi < 0 AND v IS NOT NULL), []) vs, row_number() OVER (PARTITION BY pixel_id ORDER BY yr) k FROM x GROUP BY 1, 2),
+ near AS (SELECT a.*, coalesce(b.vs, []) ahead FROM ys a LEFT JOIN ys b ON b.pixel_id = a.pixel_id AND b.yr = a.yr + 1),
+ f AS (SELECT pixel_id, yr, k, fill, list_transform(vs, lambda v: greatest(v, fill)) raised FROM (SELECT *, CASE WHEN greatest(w, o)/least(w, o) <= 1.25 THEN w ELSE o END fill FROM (SELECT *, {_ORDER.format(v='list_concat(vs, ahead)')} w, {_ORDER.format(v='vs')} o FROM near WHERE k = 1))
+  UNION ALL SELECT pixel_id, yr, k, fill, list_transform(vs, lambda v: greatest(v, fill)) FROM (SELECT *, CASE WHEN greatest(w, o)/least(w, o) <= 1.25 THEN w ELSE o END fill FROM (SELECT n.*, {_ORDER.format(v='list_concat(CASE WHEN f.yr = n.yr - 1 THEN f.raised ELSE [] END, n.vs, n.ahead)')} w, {_ORDER.format(v='n.vs')} o FROM f JOIN near n ON n.pixel_id = f.pixel_id AND n.k = f.k + 1)))
+ SELECT x.pixel_id, obs_date, round(CASE WHEN ndsi > 0 OR v < fill THEN fill ELSE v END, 6) filled, CAST(CASE WHEN ndsi > 0 THEN 1 WHEN v < fill THEN 2 ELSE 0 END AS INT) flag FROM x JOIN f USING (pixel_id, yr)""")
+def e15_snow_filter_multiyear(spark: SparkSession, d: str) -> DataFrame:
+    x = gappy(spark, d).select("pixel_id", "obs_date", (F.col("v") / 1e4).alias("v"), (F.col("w") % 97 / 97 - 0.505).alias("ndsi"))
+    return smoothing.snow_filter_multiyear(x, "v", "ndsi", 0.1).select("pixel_id", "obs_date", r6(F.col("filled")).alias("filled"), "flag")
+
+
+@query()
+def e17_sharp_smooth(spark: SparkSession, d: str) -> DataFrame:
+    return smoothing.sharp_smooth(two_sensors(spark, d), "y1")
+
+
+@query()
+def e18_doy_curve(spark: SparkSession, d: str) -> DataFrame:
+    return smoothing.doy_curve(two_sensors(spark, d), "y1")
+
+
+@query()
+def e27_phenology_raw(spark: SparkSession, d: str) -> DataFrame:
+    """Bands that give the season's index, every fourth day, under snow where the season has it."""
+    s = V.season(spark, d).where(F.datediff("obs_date", F.lit("1999-01-01")) % 4 == 0)
+    red, v = F.lit(0.05), (F.col("evi") + F.col("resid")) / 1e4
+    nir = (v * (2.4 * red + 1) + 2.5 * red) / (2.5 - v)
+    s = s.select("pixel_id", "obs_date", red.alias("red"), F.when(F.col("flag") != 1, nir).alias("nir"), F.when(F.col("flag") == 4, 0.6).otherwise(0.1).alias("green"), F.lit(0.3).alias("swir"))
+    return cycles.phenology_raw(s)

@@ -10,6 +10,7 @@ from ..operators import joins, series, stats
 from ..sources import views as V
 from .queries import ANNUAL, GROUND, OBS, SEASON, query, r6
 
+GAPPY = "gap AS (SELECT pixel_id, obs_date, CASE WHEN w % 7 <> 0 THEN v END v, w FROM day)"
 DAILY = "day AS (SELECT pixel_id, obs_date, max(nir) v, max(swir) w, max(red) r FROM obs GROUP BY 1,2)"
 
 
@@ -274,16 +275,21 @@ def e8_crossing_dates(spark: SparkSession, d: str) -> DataFrame:
     return series.crossing_dates(V.season(spark, d), "evi", 0.5, 0.5)
 
 
-@query(f"""WITH {OBS}, {DAILY}, n AS (SELECT *, list(v) OVER (PARTITION BY pixel_id ORDER BY obs_date ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) s FROM day), m AS (SELECT *, list_aggregate(s, 'median') med, list_aggregate(list_transform(s, lambda x: abs(x - list_aggregate(s, 'median'))), 'median') off FROM n)
+def gappy(spark: SparkSession, d: str) -> DataFrame:
+    """A daily value with NULLs in it."""
+    return daily(spark, d).withColumn("v", F.when(F.col("w") % 7 != 0, F.col("v")))
+
+
+@query(f"""WITH {OBS}, {DAILY}, {GAPPY}, n AS (SELECT *, list(v) OVER (PARTITION BY pixel_id, v IS NULL ORDER BY obs_date ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) s FROM gap), m AS (SELECT *, list_aggregate(s, 'median') med, list_aggregate(list_transform(s, lambda x: abs(x - list_aggregate(s, 'median'))), 'median') off FROM n)
  SELECT pixel_id, obs_date, v, CASE WHEN len(s)=7 AND abs(v-med) > 2*1.4826*off THEN 3 ELSE 0 END flag, CAST(CASE WHEN len(s)=7 AND abs(v-med) > 2*1.4826*off THEN med ELSE v END AS INT) clean FROM m""")
 def e13_hampel(spark: SparkSession, d: str) -> DataFrame:
-    return series.hampel(daily(spark, d).select("pixel_id", "obs_date", "v"), "v", 3, 2.0)
+    return series.hampel(gappy(spark, d).select("pixel_id", "obs_date", "v"), "v", 3, 2.0)
 
 
-@query(f"""WITH {OBS}, {DAILY}, x AS (SELECT pixel_id, obs_date, v, (w % 100)/100.0 ndsi FROM day), q AS (SELECT pixel_id, quantile_cont(v, 0.05) low FROM x WHERE ndsi <= 0.2 GROUP BY 1)
- SELECT pixel_id, obs_date, v, CAST(ndsi > 0.2 AS INT) flag, round(CASE WHEN ndsi > 0.2 THEN low ELSE greatest(v, low) END, 6) filled FROM x LEFT JOIN q USING (pixel_id)""")
+@query(f"""WITH {OBS}, {DAILY}, {GAPPY}, x AS (SELECT pixel_id, obs_date, v, (w % 100)/100.0 ndsi FROM gap), q AS (SELECT pixel_id, quantile_cont(v, 0.05) low FROM x WHERE ndsi <= 0.2 GROUP BY 1)
+ SELECT pixel_id, obs_date, v, CAST(ndsi > 0.2 AS INT) flag, round(CASE WHEN ndsi > 0.2 OR v < low THEN low ELSE v END, 6) filled FROM x LEFT JOIN q USING (pixel_id)""")
 def e14_snow_filter(spark: SparkSession, d: str) -> DataFrame:
-    x = daily(spark, d).select("pixel_id", "obs_date", "v", (F.col("w") % 100 / 100).alias("ndsi"))
+    x = gappy(spark, d).select("pixel_id", "obs_date", "v", (F.col("w") % 100 / 100).alias("ndsi"))
     return series.snow_filter(x, "v", "ndsi").select("pixel_id", "obs_date", "v", "flag", r6(F.col("filled")).alias("filled"))
 
 
