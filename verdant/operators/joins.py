@@ -30,9 +30,9 @@ def latest(df: DataFrame, keys: list[str], version: str) -> DataFrame:
 
 
 def expand_tasks(a: DataFrame, *dims: DataFrame) -> DataFrame:
-    """All combinations; every further dimension is a short list (years, products) and is broadcast."""
+    """All combinations of tasks, years, products and the like: the product is what is asked for. Which side is sent, Spark decides by size."""
     for d in dims:
-        a = a.crossJoin(F.broadcast(d))
+        a = a.crossJoin(d)
     return a
 
 

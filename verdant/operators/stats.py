@@ -15,24 +15,6 @@ def with_mad(df: DataFrame, keys: list[str], x: str) -> DataFrame:
     return df.join(med, keys).groupBy(*keys, "med").agg(mad(F.col(x), F.col("med")).alias("mad"))
 
 
-def pair_slopes(df: DataFrame, key: str, t: str, x: str) -> DataFrame:
-    """(key, slope) of all pairs of years within a key; meant for a few tens of years."""
-    b = df.select(F.col(key), F.col(t).alias("t2"), F.col(x).alias("x2"))
-    return df.join(b, key).where(F.col("t2") > F.col(t)).select(key, F.col(t), "t2", ((F.col("x2") - F.col(x)) / (F.col("t2") - F.col(t))).alias("slope"))
-
-
-def theil_sen(df: DataFrame, key: str, t: str, x: str) -> DataFrame:
-    s = pair_slopes(df, key, t, x).groupBy(key).agg(F.median("slope").alias("slope"))
-    return df.join(s, key).groupBy(key, "slope").agg(F.median(F.col(x) - F.col("slope") * F.col(t)).alias("intercept"))
-
-
-def siegel(df: DataFrame, key: str, t: str, x: str) -> DataFrame:
-    """Median over years of the median slope from that year."""
-    half = pair_slopes(df, key, t, x)
-    both = half.select(key, F.col(t).alias("t"), "slope").union(half.select(key, F.col("t2").alias("t"), "slope"))
-    return both.groupBy(key, "t").agg(F.median("slope").alias("m")).groupBy(key).agg(F.median("m").alias("slope"))
-
-
 def tukey(df: DataFrame, keys: list[str], x: str, k: float = 1.5) -> DataFrame:
     """df with x NULL outside the quartiles widened by k interquartile ranges."""
     q = df.groupBy(*keys).agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
@@ -59,11 +41,21 @@ def quantile_type3(x: str, q: float) -> Column:
     return F.try_element_at(s, F.greatest(F.lit(1), F.bround(n, 0).cast("int")))
 
 
-def ground_site_year(df: DataFrame, least: float) -> DataFrame:
-    """One row for each site and year of observations that last long enough: medians, lag, midpoint and variance."""
-    d = df.where(F.col("last_yes") - F.col("first_yes") >= least)
-    d = d.groupBy("site_id", "obs_year").agg(F.median("first_yes").alias("first_yes"), F.median("last_yes").alias("last_yes"), F.var_samp("first_yes").alias("variance"), F.min("phase").alias("phase"))
-    return d.withColumn("midpoint", (F.col("first_yes") + F.col("last_yes")) / 2).withColumn("lag", F.col("last_yes") - F.col("first_yes"))
+def ground_site_year(df: DataFrame, filters: list[str], least: float, metric: str, last: bool = False, first_cols: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each site and year of observations that pass the ordered filters and last long enough.
+
+    day: median of the first (last) day on which the phase was seen; other: that of the day without it before (after); midpoint: median of
+    first day + duration / 2; variance of the day; lag: median of day less other; value: median of the metric; first_cols: the least of
+    each. filter_steps counts the rows that each filter drops.
+    """
+    seen, not_seen = ("last_yes", "first_no") if last else ("first_yes", "last_no")
+    d = df
+    for f in filters:
+        d = d.where(f)
+    d = d.withColumn("_len", F.col("last_yes") - F.col("first_yes")).where(F.col("_len") >= least)
+    return d.groupBy("site_id", "obs_year").agg(
+        *[F.min(c).alias(c) for c in first_cols], F.median(seen).alias("day"), F.median(not_seen).alias("other"), F.median(F.col("first_yes") + F.col("_len") / 2).alias("midpoint"),
+        F.var_samp(seen).alias("variance"), F.median(F.col(seen) - F.col(not_seen)).alias("lag"), F.median(metric).alias("value"))
 
 
 def weighted_ols(df: DataFrame, key: str, y: str, x: str, w: str) -> DataFrame:
@@ -75,14 +67,6 @@ def weighted_ols(df: DataFrame, key: str, y: str, x: str, w: str) -> DataFrame:
     return s.select(key, slope.alias("slope"), ((F.col("sy") - slope * F.col("sx")) / F.col("sw")).alias("intercept"), (cxy * cxy / F.nullif(cxx * cyy, F.lit(0.0))).alias("r2"))
 
 
-def slope_rank_interval(df: DataFrame, key: str, t: str, x: str) -> DataFrame:
-    """(key, low, high): the slopes at ranks n/2 -+ 1.96 sqrt(n)/2."""
-    s = pair_slopes(df, key, t, x).groupBy(key).agg(F.sort_array(F.collect_list("slope")).alias("s"))
-    n, d = F.size("s"), 1.96 * F.sqrt(F.size("s")) / 2
-    at = lambda r: F.element_at("s", F.least(F.greatest(F.bround(r, 0).cast("int"), F.lit(1)), n))
-    return s.select(key, at(n / 2 - d).alias("low"), at(n / 2 + d).alias("high"))
-
-
 def tukey_cov(df: DataFrame, keys: list[str], bands: list[str], k: float = 1.5) -> DataFrame:
     """Covariance and correlation of each pair of bands over rows inside the Tukey bounds of every band."""
     q = df.groupBy(*keys).agg(*[F.percentile(b, F.array(F.lit(0.25), F.lit(0.75))).alias(f"q_{b}") for b in bands])
@@ -115,15 +99,31 @@ def class_shares(df: DataFrame, cls: str, least: float = 0.01) -> DataFrame:
     return n.crossJoin(F.broadcast(n.agg(F.sum("n").alias("total")))).select(cls, "n", (F.col("n") / F.col("total")).alias("share")).where(F.col("share") >= least)  # one row
 
 
-def stratified_sample(df: DataFrame, cls: str, key: str, n: int) -> DataFrame:
-    """round(n x share) rows of each class, by a hash of the key."""
-    quota = class_shares(df, cls, 0).select(cls, F.bround(F.col("share") * n, 0).alias("quota"))
-    rank = F.row_number().over(Window.partitionBy(cls).orderBy(F.xxhash64(key), key))
-    return df.withColumn("_rank", rank).join(F.broadcast(quota), cls).where("_rank <= quota").drop("_rank", "quota")
+BINS = 4096
 
 
-def random_sample(df: DataFrame, key: str, n: int) -> DataFrame:
-    return df.orderBy(F.xxhash64(key), key).limit(n)
+def stratified_sample(df: DataFrame, cls: str, key: str, n: int, seed: int = 0) -> DataFrame:
+    """round(n x share) rows of each class, those of the least hash of the key.
+
+    Rows are counted by class and bin of the hash; the bins that make up the quota are kept, and only these few rows are ranked.
+    """
+    d = df.withColumns({"_h": F.xxhash64(F.lit(seed), key)}).withColumn("_bin", F.pmod("_h", F.lit(BINS)))
+    bins = d.groupBy(cls, "_bin").agg(F.count("*").alias("_c"))
+    own = Window.partitionBy(cls)
+    bins = bins.withColumns({"_n": F.sum("_c").over(own), "_before": F.sum("_c").over(own.orderBy("_bin")) - F.col("_c")})  # 4,096 rows a class
+    total = bins.groupBy(cls).agg(F.first("_n").alias("_n")).agg(F.sum("_n").alias("_total"))
+    bins = bins.crossJoin(F.broadcast(total))  # one row
+    bins = bins.withColumn("_quota", F.bround(F.col("_n") / F.col("_total") * n, 0)).where("_before < _quota").select(F.col(cls).alias("_cls"), F.col("_bin").alias("_b"), "_quota")
+    d = d.join(bins, F.col(cls).eqNullSafe(F.col("_cls")) & (F.col("_bin") == F.col("_b")))
+    rank = F.row_number().over(Window.partitionBy(cls).orderBy("_bin", "_h", key))
+    return d.withColumn("_rank", rank).where("_rank <= _quota").select(df.columns)
+
+
+def random_sample(df: DataFrame, key: str, n: int | None = None, share: float | None = None, seed: int = 0) -> DataFrame:
+    """n rows of the least hash of the key, or the rows whose hash lies below a share."""
+    if share is not None:
+        return df.where(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 31)) < int(share * (1 << 31)))
+    return df.orderBy(F.xxhash64(F.lit(seed), key), key).limit(n)
 
 
 def missing_fraction(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -182,3 +182,30 @@ def class_week_profile(df: DataFrame, cls: str, week: str, x: str, head: int = 1
     edge = lambda w: F.max(F.when(F.col(week) == w, F.col("mean"))).over(own)
     d = d.withColumn("mean", F.when(F.col(week) < head, edge(head)).when(F.col(week) > tail, edge(tail)).otherwise(F.col("mean")))
     return d.withColumn("rate", F.coalesce(F.lead("mean").over(own.orderBy(week)) / F.col("mean"), F.lit(1.0)))
+
+
+def anomaly_by_latitude(df: DataFrame, lat: str, z: str, cls: str, classes: list, width: float = 1.0) -> DataFrame:
+    """(centre, z, n): the median z of the pixels of the classes, by band of latitude."""
+    d = df.where(F.col(cls).isin(classes) & F.col(z).isNotNull()).withColumn("centre", (F.floor(F.col(lat) / width) + 0.5) * width)
+    return d.groupBy("centre").agg(F.median(z).alias("z"), F.count("*").alias("n"))
+
+
+def difference_stats(df: DataFrame, a: str, b: str, breaks: list[float]) -> DataFrame:
+    """(bin, n, share, mean): the histogram of a - b, bin i from break i to below the next, 0 and the last beyond the ends; mean is that of all."""
+    d = df.select((F.col(a) - F.col(b)).cast("double").alias("_d")).where("_d IS NOT NULL")
+    at = F.size(F.filter(F.array(*[F.lit(float(x)) for x in breaks]), lambda x: x <= F.col("_d")))
+    h = d.groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.sum("_d").alias("_s"))
+    every = Window.partitionBy(F.lit(0))  # a row for each bin
+    return h.select("bin", "n", (F.col("n") / F.sum("n").over(every)).alias("share"), (F.sum("_s").over(every) / F.sum("n").over(every)).alias("mean"))
+
+
+def growing_season_length(df: DataFrame, up: str, down: str) -> DataFrame:
+    """df with gsl, the days from the one date to the other."""
+    return df.withColumn("gsl", F.col(down) - F.col(up))
+
+
+def cycle_counts(df: DataFrame, first: list[str], second: list[str]) -> DataFrame:
+    """(records, with_first, with_second, cycles): records that have any metric of the first and of the second cycle."""
+    some = lambda cols: F.coalesce(*[F.col(c).cast("double") for c in cols]).isNotNull()
+    one = df.agg(F.count("*").alias("records"), F.count_if(some(first)).alias("with_first"), F.count_if(some(second)).alias("with_second"))
+    return one.withColumn("cycles", F.col("with_first") + F.col("with_second"))

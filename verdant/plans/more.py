@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..operators import joins, series, stats
+from ..operators import joins, multivariate, robust, series, stats
 from ..sources import views as V
-from .queries import ANNUAL, GROUND, OBS, SEASON, query, r6
+from .queries import ANNUAL, OBS, SEASON, SIEGEL, query, r6
 
 GAPPY = "gap AS (SELECT pixel_id, obs_date, CASE WHEN w % 7 <> 0 THEN v END v, w FROM day)"
 DAILY = "day AS (SELECT pixel_id, obs_date, max(nir) v, max(swir) w, max(red) r FROM obs GROUP BY 1,2)"
@@ -148,9 +148,56 @@ def d8_quantile_type3(spark: SparkSession, d: str) -> DataFrame:
     return V.obs(spark, d).groupBy("pixel_id").agg(stats.quantile_type3("nir", 0.05).alias("q05"), stats.quantile_type3("nir", 0.5).alias("q50"))
 
 
-@query(f"""WITH {GROUND} SELECT site_id, obs_year, median(first_yes) first_yes, median(last_yes) last_yes, round(var_samp(first_yes),6) variance, min(phase) phase, (median(first_yes)+median(last_yes))/2 midpoint, median(last_yes)-median(first_yes) lag FROM ground WHERE last_yes - first_yes >= 10 GROUP BY 1,2""")
+#: Ground observations with the days around the phase, some of them missing, and a metric.
+AROUND = "around AS (SELECT o_custkey % 200 site_id, year(o_orderdate) obs_year, o_orderpriority phase, CAST(dayofyear(o_orderdate) AS INT) first_yes, CAST(dayofyear(o_orderdate) + o_orderkey % 60 AS INT) last_yes, CASE WHEN o_orderkey % 5 <> 0 THEN CAST(dayofyear(o_orderdate) - o_custkey % 9 - 1 AS INT) END last_no, CASE WHEN o_orderkey % 3 <> 0 THEN CAST(dayofyear(o_orderdate) + o_orderkey % 60 + o_custkey % 7 + 1 AS INT) END first_no, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_totalprice AS DOUBLE) END metric FROM orders)"
+SITE_FILTERS = ["phase <> '1-URGENT'", "first_yes > 20"]
+
+
+def around(spark: SparkSession, d: str) -> DataFrame:
+    o, doy, k, c = V.table(spark, d, "orders"), F.dayofyear("o_orderdate"), F.col("o_orderkey"), F.col("o_custkey")
+    return o.select(
+        (c % 200).alias("site_id"), F.year("o_orderdate").alias("obs_year"), F.col("o_orderpriority").alias("phase"), doy.alias("first_yes"), (doy + k % 60).cast("int").alias("last_yes"),
+        F.when(k % 5 != 0, (doy - c % 9 - 1).cast("int")).alias("last_no"), F.when(k % 3 != 0, (doy + k % 60 + c % 7 + 1).cast("int")).alias("first_no"), F.when(k % 7 != 0, F.col("o_totalprice").cast("double")).alias("metric"))
+
+
+def site_sql(seen: str, other: str) -> str:
+    return f"""WITH {AROUND} SELECT site_id, obs_year, min(phase) phase, CAST(median({seen}) AS DOUBLE) AS day, CAST(median({other}) AS DOUBLE) AS other, median(first_yes + (last_yes - first_yes)/2.0) midpoint, round(var_samp({seen}),6) variance, CAST(median({seen} - {other}) AS DOUBLE) lag, round(median(metric),6) AS value
+ FROM around WHERE phase <> '1-URGENT' AND first_yes > 20 AND last_yes - first_yes >= 10 GROUP BY 1,2"""
+
+
+@query(site_sql("first_yes", "last_no"))
 def d9_ground_site_year(spark: SparkSession, d: str) -> DataFrame:
-    return stats.ground_site_year(V.ground(spark, d), 10).withColumn("variance", r6(F.col("variance")))
+    return stats.ground_site_year(around(spark, d), SITE_FILTERS, 10, "metric", first_cols=("phase",)).withColumns({c: r6(F.col(c)) for c in ("variance", "value")})
+
+
+@query(site_sql("last_yes", "first_no"))
+def d9_ground_site_year_last(spark: SparkSession, d: str) -> DataFrame:
+    return stats.ground_site_year(around(spark, d), SITE_FILTERS, 10, "metric", last=True, first_cols=("phase",)).withColumns({c: r6(F.col(c)) for c in ("variance", "value")})
+
+
+@query(f"""WITH {AROUND} SELECT * FROM (SELECT 0 step, count(*) n FROM around UNION ALL SELECT 1, count(*) FILTER (WHERE phase <> '1-URGENT') FROM around UNION ALL SELECT 2, count(*) FILTER (WHERE phase <> '1-URGENT' AND first_yes > 20) FROM around)""")
+def d9_j2_dropped_rows(spark: SparkSession, d: str) -> DataFrame:
+    return stats.filter_steps(around(spark, d), SITE_FILTERS)
+
+
+@query("""SELECT floor(CAST(o_totalprice AS DOUBLE)/10000)*10000+5000 centre, round(median(z),6) z, count(*) n FROM (SELECT *, (dayofyear(o_orderdate) - 180)/(1.0 + o_custkey % 9) z FROM orders) WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') GROUP BY 1""")
+def d5_anomaly_by_latitude(spark: SparkSession, d: str) -> DataFrame:
+    o = V.table(spark, d, "orders").select(F.col("o_totalprice").cast("double").alias("lat"), "o_orderpriority", ((F.dayofyear("o_orderdate") - 180) / (1 + F.col("o_custkey") % 9)).alias("z"))
+    return stats.anomaly_by_latitude(o, "lat", "z", "o_orderpriority", ["1-URGENT", "2-HIGH"], 10000.0).withColumn("z", r6(F.col("z")))
+
+
+@query(f"""WITH {OBS}, {DAILY}, x AS (SELECT v - w AS dd FROM day), h AS (SELECT len(list_filter([-500.0, 0, 500, 1000, 2000, 4000], lambda b: b <= dd)) bin, count(*) n FROM x GROUP BY 1)
+ SELECT CAST(bin AS INT) bin, n, round(n/sum(n) OVER (), 6) AS share, round((SELECT avg(dd) FROM x), 6) mean FROM h""")
+def d36_difference_stats(spark: SparkSession, d: str) -> DataFrame:
+    out = stats.difference_stats(daily(spark, d), "v", "w", [-500.0, 0.0, 500.0, 1000.0, 2000.0, 4000.0])
+    return out.withColumns({"share": r6(F.col("share")), "mean": r6(F.col("mean"))})
+
+
+@query(f"""WITH {AROUND}, y AS (SELECT site_id, obs_year, median(last_yes - first_yes) gsl FROM around GROUP BY 1, 2), m AS (SELECT site_id, median(gsl) med FROM y GROUP BY 1)
+ SELECT site_id, round_even(med, 0) med, round(1.4826*median(abs(gsl-med)),6) mad, round_even(avg(gsl), 0) mean, round(stddev_samp(gsl),6) sd, count(*) n FROM y JOIN m USING (site_id) GROUP BY 1, med""")
+def d38_growing_season_length(spark: SparkSession, d: str) -> DataFrame:
+    g = stats.growing_season_length(around(spark, d), "first_yes", "last_yes").groupBy("site_id", "obs_year").agg(F.median("gsl").alias("gsl"))
+    return robust.climate_normals(g, "site_id", "obs_year", "gsl").drop("p", "slope").withColumns({c: r6(F.col(c)) for c in ("mad", "sd")})
 
 
 @query(f"""WITH {OBS}, s AS (SELECT pixel_id, count(*)::DOUBLE c, sum(w) sw, sum(w*red) sx, sum(w*nir) sy, sum(w*red*red) sxx, sum(w*red*nir) sxy, sum(w*nir*nir) syy FROM (SELECT pixel_id, red::DOUBLE red, nir::DOUBLE nir, swir::DOUBLE w FROM obs) GROUP BY 1)
@@ -160,10 +207,61 @@ def d11_weighted_ols(spark: SparkSession, d: str) -> DataFrame:
     return stats.weighted_ols(o, "pixel_id", "nir", "red", "swir").select("pixel_id", r6(F.col("slope")).alias("slope"), F.round("intercept", 4).alias("intercept"), r6(F.col("r2")).alias("r2"))
 
 
-@query(f"""WITH {ANNUAL}, p AS (SELECT a.pixel_id, list_sort(list((b.doy0-a.doy0)/(b.yr-a.yr))) s FROM annual a JOIN annual b ON a.pixel_id=b.pixel_id AND b.yr>a.yr GROUP BY 1)
- SELECT pixel_id, round(s[CAST(least(greatest(round_even(len(s)/2.0-1.96*sqrt(len(s))/2,0),1),len(s)) AS INT)],6) low, round(s[CAST(least(greatest(round_even(len(s)/2.0+1.96*sqrt(len(s))/2,0),1),len(s)) AS INT)],6) high FROM p""")
+_RANKS = "round({a}[CAST(round_even(n/2.0 - 1.96*sqrt(n)/2, 0) AS INT)], 6) {k}_low, round({a}[CAST(round_even(1 + n/2.0 + 1.96*sqrt(n)/2, 0) AS INT)], 6) {k}_high"
+
+
+@query(f"""WITH {ANNUAL}, {SIEGEL}, l AS (SELECT pixel_id, list_sort(list(s)) ss, list_sort(list(t)) ts, count(*) n, median(s) slope, median(t) intercept FROM p GROUP BY 1)
+ SELECT pixel_id, round(slope, 6) slope, round(intercept, 5) intercept, {_RANKS.format(a='ss', k='slope')}, {_RANKS.format(a='ts', k='intercept').replace(', 6)', ', 5)')} FROM l""")
 def d14_slope_rank_interval(spark: SparkSession, d: str) -> DataFrame:
-    return stats.slope_rank_interval(V.annual(spark, d), "pixel_id", "yr", "doy0").select("pixel_id", r6(F.col("low")).alias("low"), r6(F.col("high")).alias("high"))
+    out = robust.slope_rank_interval(V.annual(spark, d), "pixel_id", "yr", "doy0")
+    return out.select("pixel_id", *[F.round(c, 5 if "inter" in c else 6).alias(c) for c in out.columns[1:]])
+
+
+@query()
+def d11_ols_interval(spark: SparkSession, d: str) -> DataFrame:
+    return robust.ols_interval(V.obs(spark, d), "pixel_id", "nir", "red", "swir")
+
+
+@query("""WITH x AS (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN p_size END a, CASE WHEN p_size % 5 = 0 THEN p_retailprice END b, CASE WHEN p_size % 3 = 0 THEN p_size END c FROM part)
+ SELECT count(*) records, count(*) FILTER (WHERE a IS NOT NULL OR b IS NOT NULL) with_first, count(*) FILTER (WHERE c IS NOT NULL) with_second, count(*) FILTER (WHERE a IS NOT NULL OR b IS NOT NULL) + count(*) FILTER (WHERE c IS NOT NULL) cycles FROM x""")
+def d31_cycle_counts(spark: SparkSession, d: str) -> DataFrame:
+    n = F.col("p_size")
+    x = V.table(spark, d, "part").select(F.when(n % 2 == 0, n).alias("a"), F.when(n % 5 == 0, F.col("p_retailprice")).alias("b"), F.when(n % 3 == 0, n).alias("c"))
+    return stats.cycle_counts(x, ["a", "b"], ["c"])
+
+
+@query()
+def d37_pca(spark: SparkSession, d: str) -> DataFrame:
+    """Components of four yearly metrics of all pixels, applied year by year, and the trend of each."""
+    o, c = V.table(spark, d, "orders"), V.table(spark, d, "customer")
+    y = o.join(c, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_custkey").alias("pixel_id"), F.year("o_orderdate").alias("yr"))
+    y = y.agg(F.median(F.dayofyear("o_orderdate")).alias("a"), F.avg("o_totalprice").cast("double").alias("b"), F.count("*").alias("n"), F.max(F.dayofyear("o_orderdate")).alias("z"))
+    m = multivariate.pca_fit(y, ["a", "b", "n", "z"], 3)
+    p = multivariate.pca_transform(y, m)
+    out = None
+    for k in (1, 2, 3):
+        s = robust.theil_sen(p, "pixel_id", "yr", f"pc_{k}").select("pixel_id", F.col("slope").alias(f"slope_{k}"))
+        out = s if out is None else out.join(s, "pixel_id", "full")
+    return out
+
+
+@query()
+def d22_process_noise(spark: SparkSession, d: str) -> DataFrame:
+    s = V.season(spark, d).withColumns({"a": F.when(F.col("flag") == 0, F.col("evi") / 1e4), "b": F.when(F.col("flag") == 0, (F.col("evi") + 3 * F.col("resid")) / 1e4), "cls": F.col("pixel_id") % 3})
+    return multivariate.process_noise_by_class(s, ["a", "b"], "cls", strength=500.0)
+
+
+@query()
+def d17_spline_rmse(spark: SparkSession, d: str) -> DataFrame:
+    o = V.obs(spark, d).where("snow = 0")
+    return multivariate.spline_rmse(o.where("sensor = 'S1'"), o.where("sensor = 'S3'"), "nir", 1e4)
+
+
+@query()
+def d21_f23_smooth_covariance(spark: SparkSession, d: str) -> DataFrame:
+    o = V.obs(spark, d).where("sensor <> 'S2'")
+    cov = stats.band_covariance(o, ["obs_date", "sensor"], ["red", "nir"])
+    return multivariate.smooth_covariance(cov, ["cov_red_red", "cov_red_nir", "cov_nir_nir"], 1e4, True)
 
 
 @query(f"""WITH {OBS}, a AS (SELECT pixel_id, obs_date, avg(nir) x FROM obs WHERE sensor='S1' AND (qa & 1)=0 GROUP BY 1,2), b AS (SELECT pixel_id, obs_date other, avg(nir) y FROM obs WHERE sensor='S3' AND (qa & 1)=0 GROUP BY 1,2),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..operators import joins, phenology, series, stats
+from ..operators import joins, phenology, robust, series, stats
 from ..sources import views as V
 
 OBS = """obs AS (SELECT l_suppkey pixel_id, CAST(l_shipdate AS DATE) obs_date,
@@ -157,20 +157,24 @@ def c6_merge_products(spark: SparkSession, d: str) -> DataFrame:
     return joins.merge_products(a, b, "x", "y")
 
 
-@query(f"""WITH {ANNUAL}, m AS (SELECT pixel_id, median(doy0) med FROM annual GROUP BY 1), a AS (SELECT pixel_id, med, 1.4826*median(abs(doy0-med)) mad FROM annual JOIN m USING (pixel_id) GROUP BY 1,2)
- SELECT pixel_id, round(med,6) med, round(mad,6) mad, round(avg(doy0),6) mean, round(stddev_samp(doy0),6) sd, count(doy0) n FROM annual JOIN a USING (pixel_id) GROUP BY 1, med, mad""")
+SIEGEL = """p AS (SELECT a.pixel_id, a.yr, median((b.doy0-a.doy0)/(b.yr-a.yr)) s, median((b.yr*a.doy0-a.yr*b.doy0)/(b.yr-a.yr)) t FROM annual a JOIN annual b ON a.pixel_id=b.pixel_id AND b.yr<>a.yr GROUP BY 1,2)"""
+
+
+@query(f"""WITH {ANNUAL}, {SIEGEL}, m AS (SELECT pixel_id, median(doy0) med FROM annual GROUP BY 1), a AS (SELECT pixel_id, med, 1.4826*median(abs(doy0-med)) mad FROM annual JOIN m USING (pixel_id) GROUP BY 1,2), g AS (SELECT pixel_id, median(s) slope FROM p GROUP BY 1)
+ SELECT pixel_id, round_even(med, 0) med, round(mad,6) mad, round_even(avg(doy0), 0) mean, round(stddev_samp(doy0),6) sd, round(slope,6) slope, count(doy0) n FROM annual JOIN a USING (pixel_id) LEFT JOIN g USING (pixel_id) GROUP BY 1, med, mad, slope""")
 def d1_d3_climate_normals(spark: SparkSession, d: str) -> DataFrame:
-    a = V.annual(spark, d)
-    plain = a.groupBy("pixel_id").agg(r6(F.avg("doy0")).alias("mean"), r6(F.stddev_samp("doy0")).alias("sd"), F.count("doy0").alias("n"))
-    return stats.with_mad(a, ["pixel_id"], "doy0").select("pixel_id", r6(F.col("med")).alias("med"), r6(F.col("mad")).alias("mad")).join(plain, "pixel_id")
+    return robust.climate_normals(V.annual(spark, d), "pixel_id", "yr", "doy0").drop("p").withColumns({c: r6(F.col(c)) for c in ("mad", "sd", "slope")})
+
+
+@query()
+def d1_slope_p(spark: SparkSession, d: str) -> DataFrame:
+    return robust.climate_normals(V.annual(spark, d), "pixel_id", "yr", "doy0").select("pixel_id", "slope", "p")
 
 
 @query(f"""WITH {ANNUAL}, m AS (SELECT pixel_id, median(doy0) med FROM annual GROUP BY 1), a AS (SELECT pixel_id, med, 1.4826*median(abs(doy0-med)) mad FROM annual JOIN m USING (pixel_id) GROUP BY 1,2)
- SELECT pixel_id, yr, round(doy0-med,6) anomaly, round((doy0-med)/nullif(mad,0),6) z FROM annual JOIN a USING (pixel_id)""")
+ SELECT pixel_id, yr, round_even(doy0-med, 0) anomaly, round((doy0-med)/nullif(mad,0),6) z FROM annual JOIN a USING (pixel_id)""")
 def d2_c12_anomalies(spark: SparkSession, d: str) -> DataFrame:
-    a = V.annual(spark, d)
-    off = F.col("doy0") - F.col("med")
-    return a.join(stats.with_mad(a, ["pixel_id"], "doy0"), "pixel_id").select("pixel_id", "yr", r6(off).alias("anomaly"), r6(off / F.nullif("mad", F.lit(0.0))).alias("z"))
+    return robust.climate_anomalies(V.annual(spark, d), "pixel_id", "yr", "doy0").withColumn("z", r6(F.col("z")))
 
 
 @query(f"""WITH {OBS} SELECT pixel_id, round(quantile_cont(nir,0.05),6) q05, round(quantile_cont(nir,0.5),6) q50, round(quantile_cont(nir,0.95),6) q95, count(nir) n FROM obs WHERE snow=0 GROUP BY 1""")
@@ -194,13 +198,13 @@ def d11_d15_fit_and_errors(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {ANNUAL}, p AS (SELECT a.pixel_id, (b.doy0-a.doy0)/(b.yr-a.yr) s FROM annual a JOIN annual b ON a.pixel_id=b.pixel_id AND b.yr>a.yr), t AS (SELECT pixel_id, median(s) slope FROM p GROUP BY 1)
  SELECT pixel_id, round(slope,6) slope, round(median(doy0-slope*yr),6) intercept FROM annual JOIN t USING (pixel_id) GROUP BY 1, slope""")
 def d12_theil_sen(spark: SparkSession, d: str) -> DataFrame:
-    return stats.theil_sen(V.annual(spark, d), "pixel_id", "yr", "doy0").select("pixel_id", r6(F.col("slope")).alias("slope"), r6(F.col("intercept")).alias("intercept"))
+    return robust.theil_sen(V.annual(spark, d), "pixel_id", "yr", "doy0").select("pixel_id", r6(F.col("slope")).alias("slope"), r6(F.col("intercept")).alias("intercept"))
 
 
 @query(f"""WITH {ANNUAL}, p AS (SELECT a.pixel_id, a.yr, median((b.doy0-a.doy0)/(b.yr-a.yr)) s FROM annual a JOIN annual b ON a.pixel_id=b.pixel_id AND b.yr<>a.yr GROUP BY 1,2)
  SELECT pixel_id, round(median(s),6) slope FROM p GROUP BY 1""")
 def d13_siegel(spark: SparkSession, d: str) -> DataFrame:
-    return stats.siegel(V.annual(spark, d), "pixel_id", "yr", "doy0").select("pixel_id", r6(F.col("slope")).alias("slope"))
+    return robust.siegel(V.annual(spark, d), "pixel_id", "yr", "doy0").select("pixel_id", r6(F.col("slope")).alias("slope"))
 
 
 @query(f"""WITH {OBS}, q AS (SELECT pixel_id, quantile_cont(nir,0.25) a, quantile_cont(nir,0.75) b FROM obs GROUP BY 1)
