@@ -212,3 +212,11 @@ def aggregate(name: str, x: Column) -> Column:
 def week_of_year(day: str) -> Column:
     """Weeks that begin on Sunday; 0 before the first one of the year."""
     return F.floor((F.dayofyear(day) - 1 + 7 - (F.dayofweek(day) - 1)) / 7).cast("int")
+
+
+def correlation(a: str | Column, b: str | Column) -> Column:
+    """Over complete pairs, as an aggregate; NULL where either is constant (the built-in one divides by zero there)."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    both = a.isNotNull() & b.isNotNull()
+    x, y = (F.when(both, c.cast("double")) for c in (a, b))
+    return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))

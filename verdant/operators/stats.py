@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expr import aggregate, mad
+from ..functions.expr import aggregate, correlation, mad
 from .joins import nearest_date
 
 
@@ -79,7 +79,7 @@ def tukey_cov(df: DataFrame, keys: list[str], bands: list[str], k: float = 1.5)
 
 def band_covariance(df: DataFrame, keys: list[str], bands: list[str]) -> DataFrame:
     pairs = [(a, b) for i, a in enumerate(bands) for b in bands[i:]]
-    return df.groupBy(*keys).agg(*[f(a, b).alias(f"{n}_{a}_{b}") for a, b in pairs for n, f in (("cov", F.covar_samp), ("cor", F.corr))])
+    return df.groupBy(*keys).agg(*[f(a, b).alias(f"{n}_{a}_{b}") for a, b in pairs for n, f in (("cov", F.covar_samp), ("cor", correlation))])
 
 
 def weekly_composite(df: DataFrame, key: str, day: str, x: str, func: str = "mean") -> DataFrame:

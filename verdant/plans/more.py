@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..operators import joins, multivariate, robust, series, stats
+from ..operators import joins, multivariate, phenology, robust, series, stats
 from ..sources import views as V
 from .queries import ANNUAL, OBS, SEASON, SIEGEL, query, r6
 
@@ -391,6 +391,18 @@ def e14_snow_filter(spark: SparkSession, d: str) -> DataFrame:
     return series.snow_filter(x, "v", "ndsi").select("pixel_id", "obs_date", "v", "flag", r6(F.col("filled")).alias("filled"))
 
 
+@query(f"""WITH {SEASON} SELECT pixel_id, CAST(year(obs_date) AS INT) AS yr, round(pow(corr(CASE WHEN flag < 4 THEN evi END, CASE WHEN flag < 4 THEN evi + resid END), 2), 6) r2 FROM season GROUP BY 1, 2""")
+def e28_r_squared(spark: SparkSession, d: str) -> DataFrame:
+    s = V.season(spark, d).withColumn("yr", F.year("obs_date")).withColumn("evi", F.when(F.col("flag") < 4, F.col("evi")))
+    return phenology.r_squared_of(s, ["pixel_id", "yr"]).withColumn("r2", r6(F.col("r2")))
+
+
+@query()
+def e35_parameter_sweep(spark: SparkSession, d: str) -> DataFrame:
+    sets = {"main": phenology.VERSIONS["main"], "hank": phenology.VERSIONS["hank"], "dsm": phenology.VERSIONS["dsm"]}
+    return phenology.parameter_sweep(V.season(spark, d), sets, "2000-01-01", "2000-12-31")
+
+
 @query(f"""WITH {SEASON} SELECT pixel_id, obs_date, evi - lag(evi) OVER (PARTITION BY pixel_id, year(obs_date) ORDER BY obs_date) change FROM season""")
 def e19_daily_change(spark: SparkSession, d: str) -> DataFrame:
     return V.season(spark, d).select("pixel_id", "obs_date", series.daily_change("evi").alias("change"))
