@@ -480,3 +480,23 @@ def test_op2_null_ids(spark):
     kept = jaccard.keep_first(df).collect()
     assert sorted(((r["doc_id"], (r["text"] or "")[:2]) for r in kept), key=repr) == [(5, "a0"), (7, "ot"), (None, ""), (None, "b0"), (None, "c0")]
     assert jaccard.keep_first(df.where("doc_id IS NULL")).count() == 4
+
+
+def test_op2_sketches_never_lose_a_link():
+    """The bound by classes holds for any two sets, and saturated ones pass."""
+    from verdant.llm import jaccard as j
+
+    r = np.random.default_rng(3)
+    pool = r.integers(0, 2**63, 4000).astype(np.uint64)
+    for n, m in ((1, 1), (10, 12), (300, 280), (4000, 3500)):
+        x = np.unique(r.choice(pool, n))
+        ys = [np.unique(r.choice(pool, m)) for _ in range(5)] + [np.unique(np.r_[x[: len(x) * 9 // 10], r.integers(0, 2**63, max(1, len(x) // 20)).astype(np.uint64)])]
+        common = np.array([len(np.intersect1d(x, y)) for y in ys])
+        sk = np.stack([np.frombuffer(j.sketch(y), np.uint8) for y in ys])
+        assert j.may_share(np.frombuffer(j.sketch(x), np.uint8), sk, common).all()
+    few = np.frombuffer(j.sketch(pool[:300]), np.uint8)
+    others = np.stack([np.frombuffer(j.sketch(r.integers(0, 2**63, 300).astype(np.uint64)), np.uint8) for _ in range(50)])
+    assert not j.may_share(few, others, np.full(50, 270)).any()
+    long = np.frombuffer(j.sketch(r.integers(0, 2**63, 60_000).astype(np.uint64)), np.uint8)
+    assert long[0] == 255 and j.may_share(long, others, np.full(50, 10**6)).all() and j.may_share(few, long[None], np.array([10**6])).all()
+    assert j.sketch(pool[:0]) == bytes(j.CLASSES)

@@ -12,7 +12,8 @@ same members comes back, with how many they are. Tokens that many documents may
 members of one. Links are sought in rounds. In the first, each document is verified against the first member of the groups that
 it shares most tokens with; in later ones, members outside the largest component of a group ask one member each of another
 component. When rounds join less than a tenth of those that ask, the pairs left between different components are counted
-(tokens shared, over all groups) and all that share enough are verified; salted members outside the largest component visit the
+(tokens shared, over all groups) and all that share enough are verified, but for those whose sketches, shingles counted by classes of
+their hashes, show that they have too few in common; salted members outside the largest component visit the
 other salts for that. So groups of copies make few rows, and every link is verified or lies inside one component.
 
 Null doc_id: the row takes part under a number above all ids, which must fit a long; so it is linked as any other, and stays only
@@ -43,6 +44,7 @@ HOT = 50_000  # estimated holders of a token above which its members are salted
 ROWS = 500_000  # prefix rows of a bucket of tokens, about
 FAN = 2000  # documents verified against one copy of another's text
 PAYS = 10  # rounds go on while one in so many that ask is joined
+CLASSES = 128  # of shingles in a sketch: a byte each
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -84,8 +86,19 @@ def common_least(n, m, share: int):
     return -(-share * (n + m) // (100 + share))
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """How many shingles of a set lie in each class of their hashes; 255 throughout if one has that many."""
+    c = np.bincount((s >> np.uint64(32)).astype(np.int64) % CLASSES, minlength=CLASSES)
+    return (c if c.max(initial=0) < 255 else np.full(CLASSES, 255)).astype(np.uint8).tobytes()
+
+
+def may_share(x: np.ndarray, ys: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Whether a set can have that many shingles in common with each of others: in no class more than the smaller count."""
+    return (np.minimum(x, ys).sum(1, dtype=np.int64) >= need) | (x[0] == 255) | (ys[:, 0] == 255)
+
+
 def _sets(docs: DataFrame) -> DataFrame:
-    """doc_id, n, fingerprint; and, with a null doc_id, the histogram of each task in 64 pieces."""
+    """doc_id, n, fingerprint and sketch; and, with a null doc_id, the histogram of each task in 64 pieces."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hist = np.zeros(BUCKETS, np.int64)
@@ -93,11 +106,11 @@ def _sets(docs: DataFrame) -> DataFrame:
             sets = shingled(b["text"])
             if sets:
                 hist += np.bincount((np.concatenate(sets) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
-            yield pd.DataFrame({"doc_id": b["doc_id"], "n": [len(s) for s in sets], "fp": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "n": [len(s) for s in sets], "fp": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "sk": [sketch(s) for s in sets]})
         z = zstandard.ZstdCompressor(1)
-        yield pd.DataFrame({"doc_id": pd.array([None] * 64, "Int64"), "n": range(64), "fp": [z.compress(x.tobytes()) for x in np.split(hist.astype(np.uint32), 64)]})
+        yield pd.DataFrame({"doc_id": pd.array([None] * 64, "Int64"), "n": range(64), "fp": [z.compress(x.tobytes()) for x in np.split(hist.astype(np.uint32), 64)], "sk": None})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, n bigint, fp binary")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id bigint, n bigint, fp binary, sk binary")
 
 
 def _histogram(sets: DataFrame) -> np.ndarray:
@@ -105,7 +118,7 @@ def _histogram(sets: DataFrame) -> np.ndarray:
         z = zstandard.ZstdDecompressor()
         return pd.DataFrame({"n": [b["n"].iloc[0]], "fp": [np.sum([np.frombuffer(z.decompress(x), np.uint32) for x in b["fp"]], 0, np.int64).tobytes()]})
 
-    rows = sets.where("doc_id IS NULL").groupBy("n").applyInPandas(add, "n bigint, fp binary").orderBy("n").collect()  # 64 rows of fixed size
+    rows = sets.where("doc_id IS NULL").select("n", "fp").groupBy("n").applyInPandas(add, "n bigint, fp binary").orderBy("n").collect()  # 64 rows of fixed size
     return np.concatenate([np.frombuffer(r["fp"], np.int64) for r in rows]) if rows else np.zeros(BUCKETS, np.int64)
 
 
@@ -285,14 +298,15 @@ def mixed(rows: DataFrame, comp: DataFrame) -> DataFrame:
 
 
 def _cells(rows: DataFrame, cells: int) -> DataFrame:
-    return rows.select("g.g1", "g.g2", "mult", "s", "d", "n", "p", "q", "l", "c", "top", "home", F.pmod(F.xxhash64("g", "s"), F.lit(cells)).alias("cell"))
+    return rows.select("g.g1", "g.g2", "mult", "s", "d", "n", "p", "q", "l", "c", "top", "home", *(["sk"] if "sk" in rows.columns else []), F.pmod(F.xxhash64("g", "s"), F.lit(cells)).alias("cell"))
 
 
 def _meetings(b: pd.DataFrame, share: int) -> Iterator[tuple]:
-    """For each group of a cell and each member z outside its largest component: multiplicity, z, and of the others that z may link to the ids, places and needed tokens."""
+    """For each group of a cell and each member z outside its largest component: multiplicity, z, and of the others that z may link to, by their sketches too if rows have them, the ids, places and needed tokens."""
     b = b.sort_values(["g1", "g2", "s"], kind="stable")
     d, n, p, q, l, c, top, home, mult = (b[k].to_numpy() for k in ("d", "n", "p", "q", "l", "c", "top", "home", "mult"))  # noqa: E741
     g = b[["g1", "g2", "s"]].to_numpy()
+    sk = np.frombuffer(b"".join(b["sk"]), np.uint8).reshape(-1, CLASSES) if "sk" in b else None
     first = np.flatnonzero(np.r_[True, (g[1:] != g[:-1]).any(1)])
     for i, j in zip(first, np.r_[first[1:], len(g)]):
         own = np.flatnonzero(home[i:j]) + i
@@ -303,6 +317,9 @@ def _meetings(b: pd.DataFrame, share: int) -> Iterator[tuple]:
             y = own[: np.searchsorted(after, q[z] - (share * n[z] + 99) // 100, "right")]
             ok, need = fits(n[z], p[z], q[z], l[z], d[z], n[y], p[y], q[y], l[y], d[y], share)
             ok &= (c[y] != c[z]) & ((c[y] == top[i]) | (d[y] < d[z]))  # a pair of two of them meets once
+            if sk is not None:
+                at = np.flatnonzero(ok)
+                ok[at] = may_share(sk[z], sk[y[at]], common_least(n[z], n[y[at]], share))
             if ok.any():
                 yield mult[i], d[z], d[y[ok]], p[y[ok]], need[ok]
 
@@ -320,8 +337,8 @@ def asking(rows: DataFrame, cells: int, turn: int, share: int = SHARE) -> DataFr
     return asked.groupBy("b", "a").agg(F.sum("w").alias("w")).groupBy("b").agg(F.max_by("a", F.struct("w", "a")).alias("a"))
 
 
-def counted(rows: DataFrame, cells: int, share: int = SHARE) -> DataFrame:
-    """(b, a): all pairs of different components that share enough tokens."""
+def counted(rows: DataFrame, sketches: DataFrame, cells: int, share: int = SHARE) -> DataFrame:
+    """(b, a): all pairs of different components that share enough tokens, and whose sketches leave room for enough common shingles."""
 
     def run(b: pd.DataFrame) -> pd.DataFrame:
         out: dict[tuple, list] = {}
@@ -331,7 +348,7 @@ def counted(rows: DataFrame, cells: int, share: int = SHARE) -> DataFrame:
                 out[pair] = [out.get(pair, (0,))[0] + w, m]
         return pd.DataFrame([(*k, *v) for k, v in out.items()], columns=["b", "a", "w", "need"], dtype="int64")
 
-    rows = rows.withColumn("home", F.lit(True))
+    rows = rows.withColumn("home", F.lit(True)).join(sketches.toDF("d", "sk"), "d")
     guests = rows.where("parts > 1 AND c <> top").withColumn("to", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("to <> s")
     both = rows.unionByName(guests.withColumn("s", F.col("to")).withColumn("home", F.lit(False)).drop("to"))
     pairs = _cells(both, cells).groupBy("cell").applyInPandas(run, "b bigint, a bigint, w bigint, need bigint")
@@ -415,7 +432,7 @@ def _link(docs: DataFrame, share: int) -> DataFrame:
     hist = _histogram(sets)
     rows = sets.where("doc_id IS NOT NULL")
     classes = rows.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("class_id"))
-    member = cut(rows.join(classes, "fp", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id")), sets)
+    member = cut(rows.join(classes, "fp", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"), F.when(F.col("doc_id") == F.col("class_id"), F.col("sk")).alias("sk")), sets)
     first = member.where("doc_id = class_id AND n > 0").select("doc_id").distinct()
     tokens = member.where("doc_id = class_id").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * (1 - share / 100)
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), int(tokens / ROWS))
@@ -438,7 +455,7 @@ def _link(docs: DataFrame, share: int) -> DataFrame:
         last, turn = joined * PAYS <= asked, turn + 1
         left = cut(mixed(rows, comp))
         cells = max(left.count() // 200_000, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        pairs = counted(left, cells, share) if last else asking(left, cells, turn, share)
+        pairs = counted(left, member.where("doc_id = class_id AND n > 0").groupBy("doc_id").agg(F.first("sk")), cells, share) if last else asking(left, cells, turn, share)
         fresh = pairs.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")).distinct()
         for old in tested:
             fresh = fresh.join(old.select(F.greatest("a", "b").alias("b"), F.least("a", "b").alias("a")), ["a", "b"], "left_anti")
