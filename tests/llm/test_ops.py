@@ -500,3 +500,16 @@ def test_op2_sketches_never_lose_a_link():
     long = np.frombuffer(j.sketch(r.integers(0, 2**63, 60_000).astype(np.uint64)), np.uint8)
     assert long[0] == 255 and j.may_share(long, others, np.full(50, 10**6)).all() and j.may_share(few, long[None], np.array([10**6])).all()
     assert j.sketch(pool[:0]) == bytes(j.CLASSES)
+
+
+def test_op7_small_dictionaries_forget_and_find_again():
+    from verdant.llm import bpe
+    from verdant.llm.queries import tokenizer_file
+
+    r = np.random.default_rng(2)
+    words = ["".join(map(chr, r.integers(97, 105, r.integers(1, 7)))) for _ in range(60)]
+    texts = [" ".join(r.choice(words, 30)) for _ in range(20)]
+    small, large = bpe.Tokenizer(tokenizer_file(), keep=7), bpe.Tokenizer(tokenizer_file())
+    for t in texts:
+        assert small.digest(t) == large.digest(t) and small.encode(t) == large.encode(t)
+    assert max(map(len, (small.ids, small.texts, small.pieces, small.ids.old))) <= 7 and small.ids.old

@@ -2,7 +2,8 @@
 
 Each piece of the text keeps the ranks of its adjacent pairs in a tree of minima. The root names the lowest rank and,
 among equals, the leftmost pair; a merge changes three leaves, each a logarithmic update. Merging ends when the root
-holds no mergeable pair. Distinct words are encoded once for each worker and kept in dictionaries of bounded size.
+holds no mergeable pair. Distinct words are encoded once for each worker and kept in dictionaries of bounded size,
+which forget those that were not met for long.
 
 Null text: as empty; no tokens. Empty table: no rows. Repeated rows: each is encoded. Very long texts and pieces: whole. Ties
 between pairs: the leftmost. digests() ignores other columns; encoded() keeps them, but for those named as its own four.
@@ -30,15 +31,37 @@ PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WS}\p{{L}}
 EXOTIC = regex.compile(r"[\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
-class Words(dict):
-    """Words to their packed ids (named: to their tokens joined by a space), each found when first asked for."""
+class Kept(dict):
+    """A dictionary of bounded size in two generations: a full one becomes the old one, and what is asked for again comes back from it."""
 
-    def __init__(self, tokenizer: Tokenizer, named: bool):
+    def __init__(self, keep: int):
         super().__init__()
+        self.keep, self.old = keep, {}
+
+    def put(self, key, value) -> None:
+        if len(self) >= self.keep:
+            self.old = self.copy()
+            self.clear()
+        self[key] = value
+
+    def again(self, key):
+        """A value of the old generation, kept from now on; else None."""
+        value = self.old.get(key)
+        if value is not None:
+            self.put(key, value)
+        return value
+
+
+class Words(Kept):
+    """Words to their packed ids (named: to their tokens joined by a space), each found when first asked for."""
+
+    def __init__(self, tokenizer: Tokenizer, named: bool, keep: int):
+        super().__init__(keep)
         self.tokenizer, self.named = tokenizer, named
 
     def __missing__(self, word: bytes):
-        return self.tokenizer.learn(word)[self.named]
+        value = self.again(word)
+        return self.tokenizer.learn(word)[self.named] if value is None else value
 
 
 def byte_letters() -> list[str]:
@@ -62,7 +85,7 @@ class Tokenizer:
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.names = {i: t for t, i in (self.vocab | self.special).items()}
         self.inner, self.last = ([self.vocab.get(x + end) for x in byte_letters()] for end in ("", self.suffix))
-        self.keep, self.pieces, self.ids, self.texts = keep, {}, Words(self, False), Words(self, True)
+        self.pieces, self.ids, self.texts = Kept(keep), Words(self, False, keep), Words(self, True, keep)
 
     def merge(self, ids: list[int]) -> list[int]:
         """A tree of minima over the pairs' (rank, place) as one number: the root is the leftmost pair of the lowest rank."""
@@ -108,6 +131,8 @@ class Tokenizer:
 
     def piece(self, piece: str) -> list[int]:
         ids = self.pieces.get(piece)
+        if ids is None:
+            ids = self.pieces.again(piece)
         if ids is None:
             data = piece.encode("utf-8")
             ids = [self.inner[b] for b in data[:-1]] + [self.last[data[-1]]]
@@ -116,9 +141,7 @@ class Tokenizer:
             if len(ids) > 1:
                 ids = self.merge(ids)
             if len(piece) <= 64:
-                if len(self.pieces) >= self.keep:
-                    self.pieces.clear()
-                self.pieces[piece] = ids
+                self.pieces.put(piece, ids)
         return ids
 
     def learn(self, word: bytes) -> tuple[bytes, str]:
@@ -128,9 +151,8 @@ class Tokenizer:
         ids = [i for piece in PIECES.findall(word.decode("utf-8")) for i in self.piece(piece)]
         out = array("I", ids).tobytes(), " ".join([self.names[i] for i in ids])
         if len(word) <= 64:
-            if len(self.ids) >= self.keep:
-                self.ids.clear(), self.texts.clear()
-            self.ids[word], self.texts[word] = out
+            self.ids.put(word, out[0])
+            self.texts.put(word, out[1])
         return out
 
     def words(self, text: str) -> list[bytes]:
