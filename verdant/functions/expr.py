@@ -55,10 +55,14 @@ def lst_class(qc: Column) -> Column:
     return F.when(bits(qc, 0, 2) == 0, 0).when(bits(qc, 0, 2) == 1, bits(qc, 6, 2))
 
 
-def find_interval(x: Column, breaks: list[float]) -> Column:
-    """How many breaks are not above x, within 1 and the number of intervals."""
+def find_interval(x: Column, breaks: list[float], all_inside: bool = True, rightmost_closed: bool = False) -> Column:
+    """How many breaks are not above x; all_inside: within 1 and the number of intervals; rightmost_closed: the last break lies in the last interval."""
     n = sum(((x >= b).cast("int") for b in breaks), F.lit(0))
-    return F.when(x.isNotNull(), F.greatest(F.lit(1), F.least(F.lit(len(breaks) - 1), n)))
+    if rightmost_closed:
+        n = n - (x == breaks[-1]).cast("int")
+    if all_inside:
+        n = F.greatest(F.lit(1), F.least(F.lit(len(breaks) - 1), n))
+    return F.when(x.isNotNull(), n)
 
 
 def quality_score(q: Column) -> Column:

@@ -6,18 +6,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def nearest_date(a: DataFrame, b: DataFrame, max_diff: int, key: str = "pixel_id", day: str = "obs_date") -> DataFrame:
-    """For each (key, day) of a, the closest day of b within max_diff days as `match`, the earlier one among equals, or NULL.
+def nearest_date(a: DataFrame, b: DataFrame, max_diff: int | None, key: str = "pixel_id", day: str = "obs_date", tie: str = "min") -> DataFrame:
+    """For each (key, day) of a, the closest day of b within max_diff days as `match`, or NULL; of equals the earlier one, or with tie='max' the later one.
 
-    Days of b go into bins of max_diff days; each day of a asks three bins, so the join is an equi-join.
+    Days of b go into bins of max_diff days; each day of a asks three bins, so the join is an equi-join. Without a limit the days of both
+    stand in one order, and each takes the last one before and the first one after.
     """
-    a1 = a.select(key, day).distinct()
-    bin_of = lambda c: F.floor(F.unix_date(c) / max(max_diff, 1))
-    ask = a1.withColumn("bin", F.explode(F.array(*[bin_of(F.col(day)) + k for k in (-1, 0, 1)])))
-    have = b.select(key, F.col(day).alias("other")).distinct().withColumn("bin", bin_of(F.col("other")))
+    a1, later = a.select(key, day).distinct(), tie == "max"
     gap = F.abs(F.datediff("other", day))
-    best = ask.join(have, [key, "bin"]).where(gap <= max_diff).groupBy(key, day).agg(F.min(F.struct(gap.alias("gap"), "other")).alias("m"))
-    return a1.join(best, [key, day], "left").select(key, day, F.col("m.other").alias("match"))
+    best = F.min(F.struct(gap.alias("gap"), (-F.unix_date("other") if later else F.unix_date("other")).alias("_o"), "other"))
+    if max_diff is None:
+        both = a1.withColumn("_own", F.lit(None).cast("date")).unionByName(b.select(key, day).distinct().withColumn("_own", F.col(day)))
+        w = Window.partitionBy(key).orderBy(day)
+        before, after = F.last("_own", True).over(w.rangeBetween(Window.unboundedPreceding, 0)), F.first("_own", True).over(w.rangeBetween(0, Window.unboundedFollowing))
+        asked = both.withColumns({"_a": before, "_b": after}).where("_own IS NULL").select(key, day, F.explode(F.array("_a", "_b")).alias("other")).where("other IS NOT NULL")
+        found = asked.groupBy(key, day).agg(best.alias("m"))
+    else:
+        bin_of = lambda c: F.floor(F.unix_date(c) / max(max_diff, 1))
+        ask = a1.withColumn("bin", F.explode(F.array(*[bin_of(F.col(day)) + k for k in (-1, 0, 1)])))
+        have = b.select(key, F.col(day).alias("other")).distinct().withColumn("bin", bin_of(F.col("other")))
+        found = ask.join(have, [key, "bin"]).where(gap <= max_diff).groupBy(key, day).agg(best.alias("m"))
+    return a1.join(found, [key, day], "left").select(key, day, F.col("m.other").alias("match"))
 
 
 def missing(expected: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
@@ -36,12 +45,6 @@ def expand_tasks(a: DataFrame, *dims: DataFrame) -> DataFrame:
     return a
 
 
-def newest(df: DataFrame, keys: list[str], version: str) -> DataFrame:
-    """The row of the highest version of each key."""
-    rest = [c for c in df.columns if c not in keys]
-    return df.groupBy(*keys).agg(F.max_by(F.struct(*rest), version).alias("r")).select(*keys, "r.*")
-
-
 def pair_same_date(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ("pixel_id", "obs_date")) -> DataFrame:
     return a.join(b, [*keys])
 
@@ -64,10 +67,17 @@ def complete_calendar(df: DataFrame, days: DataFrame, key: str = "pixel_id", day
     return out.na.fill(fills) if fills else out
 
 
-def merge_products(a: DataFrame, b: DataFrame, x: str, y: str, keys: tuple[str, ...] = ("pixel_id", "obs_date")) -> DataFrame:
-    """Full join with a status: 0 both, 1 the first only, 2 the second only."""
+def merge_products(a: DataFrame, b: DataFrame, x: str, y: str, keys: tuple[str, ...] = ("pixel_id", "obs_date"), expected: DataFrame | None = None, done: DataFrame | None = None) -> DataFrame:
+    """Full join with a status: 0 both, 1 the first only, 2 the second only; 3 neither, of the expected keys; 4 already done, whatever there is."""
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
-    return a.join(b, [*keys], "full").withColumn("status", F.when(both, 0).when(F.col(x).isNotNull(), 1).otherwise(2))
+    d = a.join(b, [*keys], "full")
+    if expected is not None:
+        d = d.join(expected.select(*keys).distinct(), [*keys], "full")
+    status = F.when(both, 0).when(F.col(x).isNotNull(), 1).when(F.col(y).isNotNull(), 2).otherwise(3)
+    if done is not None:
+        d = d.join(done.select(*keys).distinct().withColumn("_done", F.lit(True)), [*keys], "left")
+        status = F.when(F.col("_done"), 4).otherwise(status)
+    return d.withColumn("status", status).drop("_done")
 
 
 def compare_products(a: DataFrame, b: DataFrame, keys: list[str], value: str) -> DataFrame:

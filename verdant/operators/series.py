@@ -13,13 +13,12 @@ def order(key: str = "pixel_id", day: str = "obs_date") -> Window:
 def peaks(df: DataFrame, value: str = "evi", key: str = "pixel_id", day: str = "obs_date") -> DataFrame:
     """(key, day, value) of each peak: a run of equal values above both neighbours, dated in its middle (half to even)."""
     w = order(key, day)
-    d = df.select(key, day, value, F.row_number().over(w).alias("i"), (F.coalesce(F.col(value) != F.lag(value).over(w), F.lit(True))).cast("int").alias("new"))
+    d = df.select(key, day, value, (F.coalesce(F.col(value) != F.lag(value).over(w), F.lit(True))).cast("int").alias("new"))
     d = d.withColumn("run", F.sum("new").over(w))
-    runs = d.groupBy(key, "run").agg(F.first(value).alias(value), F.min("i").alias("i"), F.count("*").alias("n"))
+    runs = d.groupBy(key, "run").agg(F.first(value).alias(value), F.sort_array(F.collect_list(day)).alias("days"))  # a run is part of a series
     r = Window.partitionBy(key).orderBy("run")
     top = runs.withColumn("a", F.lag(value).over(r)).withColumn("b", F.lead(value).over(r)).where(f"{value} > a AND {value} > b")
-    at = F.when(F.col("n") == 1, F.col("i")).otherwise(F.col("i") + F.bround((F.col("n") - 1) / 2, 0).cast("int"))
-    return top.select(key, at.alias("i")).join(d.select(key, "i", day, value), [key, "i"])
+    return top.select(key, F.get("days", F.bround((F.size("days") - 1) / 2, 0).cast("int")).alias(day), value)
 
 
 def interpolate(value: str, key: str, day: str) -> Column:
@@ -41,10 +40,15 @@ def despike(df: DataFrame, value: str, key: str = "pixel_id", day: str = "obs_da
     return df.withColumn("spike", F.coalesce((dev < 0) & (F.abs(dev) > least) & (F.abs(dev) > ratio * F.abs(b - a)), F.lit(False)))
 
 
-def longest_gap(df: DataFrame, value: str, key: str = "pixel_id", day: str = "obs_date") -> DataFrame:
+def longest_gap(df: DataFrame, value: str, key: str = "pixel_id", day: str = "obs_date", max_span: int | None = None) -> DataFrame:
+    """(key, longest_gap) of series with NULLs, the most of them in a row. With max_span: all series, 0 where none is missing, and usable, whether no gap is longer."""
     w = order(key, day)
     d = df.withColumn("g", F.count(value).over(w)).where(F.col(value).isNull())
-    return d.groupBy(key, "g").agg(F.count("*").alias("n")).groupBy(key).agg(F.max("n").alias("longest_gap"))
+    d = d.groupBy(key, "g").agg(F.count("*").alias("n")).groupBy(key).agg(F.max("n").alias("longest_gap"))
+    if max_span is None:
+        return d
+    d = df.select(key).distinct().join(d, key, "left").withColumn("longest_gap", F.coalesce("longest_gap", F.lit(0)))
+    return d.withColumn("usable", F.col("longest_gap") <= max_span)
 
 
 def local_extrema(value: str, key: str = "pixel_id", day: str = "obs_date", minima: bool = False, partial: bool = False) -> Column:
@@ -61,10 +65,11 @@ def local_extrema(value: str, key: str = "pixel_id", day: str = "obs_date", mini
     return F.coalesce(before & after & x.isNotNull(), F.lit(False))
 
 
-def cross_threshold(df: DataFrame, value: str, share: Column, key: str = "pixel_id", day: str = "obs_date") -> DataFrame:
-    """(key, first, last): first and last day on which the value, to six decimals, reaches the threshold."""
-    d = df.where(F.round(value, 6) >= F.round(share, 6))
-    return d.groupBy(key).agg(F.min(day).alias("first"), F.max(day).alias("last"))
+def cross_threshold(df: DataFrame, value: str, level: Column, key: str = "pixel_id", day: str = "obs_date") -> DataFrame:
+    """(key, rise_first, rise_last, fall_first, fall_last): the first day at or above the level and the last at or below it; the first at or below it and the last at or above it. Both sides to six decimals."""
+    x, t = F.round(value, 6), F.round(level, 6)
+    above, below = F.when(x >= t, F.col(day)), F.when(x <= t, F.col(day))
+    return df.groupBy(key).agg(F.min(above).alias("rise_first"), F.max(below).alias("rise_last"), F.min(below).alias("fall_first"), F.max(above).alias("fall_last"))
 
 
 def crossing_dates(df: DataFrame, value: str, up: float, down: float, key: str = "pixel_id", day: str = "obs_date") -> DataFrame:
@@ -108,10 +113,20 @@ def daily_change(value: str, key: str = "pixel_id", day: str = "obs_date") -> Co
     return F.col(value) - F.lag(value).over(Window.partitionBy(key, F.year(day)).orderBy(day))
 
 
-def pad_year(df: DataFrame, year: int, days: int, day: str = "obs_date") -> DataFrame:
-    """A year with its neighbours' last and first days."""
-    first = F.make_date(F.lit(year), F.lit(1), F.lit(1))
-    return df.where((F.col(day) >= F.date_sub(first, days)) & (F.col(day) < F.date_add(F.make_date(F.lit(year + 1), F.lit(1), F.lit(1)), days)))
+def pad_year(df: DataFrame, year: int, days: int, fake: bool = False, key: str = "pixel_id", day: str = "obs_date", qc: str = "qc") -> DataFrame:
+    """A year with its neighbours' last and first days. With fake, and a column qc: a key without rows in a neighbour year has the year's own last (first) days there instead, their dates shifted by the year's length, qc 1."""
+    first, after = (F.make_date(F.lit(y), F.lit(1), F.lit(1)) for y in (year, year + 1))
+    d = df.where((F.col(day) >= F.date_sub(first, days)) & (F.col(day) < F.date_add(after, days)))
+    if not fake:
+        return d
+    size = F.datediff(after, first)
+    own = d.where(F.year(day) == year)
+    out = d
+    for side, shift, slice_ in ((year - 1, -size, F.col(day) >= F.date_sub(after, days)), (year + 1, size, F.col(day) < F.date_add(first, days))):
+        there = df.where(F.year(day) == side).select(key).distinct()
+        more = own.where(slice_).join(there, key, "left_anti").withColumns({day: F.date_add(day, shift), qc: F.lit(1)})
+        out = out.unionByName(more)
+    return out
 
 
 def fill_share(flag: str, key: str = "pixel_id", day: str = "obs_date", reach: int = 14) -> Column:
@@ -129,8 +144,8 @@ def nth_event(df: DataFrame, key: str, at: str, start: str, end: str, n: int) ->
 
 
 def events_in_window(events: DataFrame, windows: DataFrame, key: str, at: str) -> DataFrame:
-    """(key, start, n) of half-open windows (start, stop), a short list."""
-    return events.join(F.broadcast(windows), (F.col(at) >= F.col("start")) & (F.col(at) < F.col("stop"))).groupBy(key, "start").agg(F.count("*").alias("n"))
+    """(key, start, n) of half-open windows (start, stop); a short list of them is sent to the tasks, as Spark decides by its size."""
+    return events.join(windows, (F.col(at) >= F.col("start")) & (F.col(at) < F.col("stop"))).groupBy(key, "start").agg(F.count("*").alias("n"))
 
 
 def season_length_window(df: DataFrame, key: str, up: str, down: str, start: str, end: str, n: int) -> DataFrame:

@@ -362,11 +362,48 @@ def e2_local_extrema(spark: SparkSession, d: str) -> DataFrame:
     return daily(spark, d).select("pixel_id", "obs_date", "v", series.local_extrema("v").alias("top"), series.local_extrema("v", minima=True, partial=True).alias("bottom"))
 
 
-@query(f"""WITH {SEASON} SELECT pixel_id, min(obs_date) AS first, max(obs_date) AS last FROM season WHERE evi >= 3500 GROUP BY 1""")
-def e7_e26_cross_threshold(spark: SparkSession, d: str) -> DataFrame:
+@query(f"""WITH {SEASON} SELECT pixel_id, min(obs_date) FILTER (WHERE evi >= 3500) rise_first, max(obs_date) FILTER (WHERE evi <= 3500) rise_last, min(obs_date) FILTER (WHERE evi <= 3500) fall_first, max(obs_date) FILTER (WHERE evi >= 3500) fall_last FROM season GROUP BY 1""")
+def e7_cross_threshold(spark: SparkSession, d: str) -> DataFrame:
     return series.cross_threshold(V.season(spark, d), "evi", F.lit(3500))
 
 
+@query(f"""WITH {SEASON}, x AS (SELECT pixel_id, obs_date, CASE WHEN pixel_id % 2 = 0 AND flag <> 0 THEN NULL ELSE evi END evi FROM season), g AS (SELECT *, count(evi) OVER (PARTITION BY pixel_id ORDER BY obs_date) g FROM x), n AS (SELECT pixel_id, max(n) n FROM (SELECT pixel_id, g, count(*) n FROM g WHERE evi IS NULL GROUP BY 1, 2) GROUP BY 1)
+ SELECT s.s_suppkey pixel_id, coalesce(n, 0) longest_gap, coalesce(n, 0) <= 30 usable FROM supplier s LEFT JOIN n ON n.pixel_id = s.s_suppkey""")
+def e20_usable_series(spark: SparkSession, d: str) -> DataFrame:
+    s = V.season(spark, d).withColumn("evi", F.when((F.col("pixel_id") % 2 != 0) | (F.col("flag") == 0), F.col("evi")))
+    return series.longest_gap(s, "evi", max_span=30)
+
+
+@query(f"""WITH {SEASON}, x AS (SELECT * FROM season WHERE pixel_id % 2 = 0 OR year(obs_date) <> 2001), p AS (SELECT pixel_id, obs_date, evi, 0 qc FROM x WHERE obs_date BETWEEN DATE '1999-12-22' AND DATE '2001-01-10')
+ SELECT pixel_id, CAST(obs_date AS DATE) obs_date, evi, qc FROM p UNION ALL SELECT pixel_id, CAST(obs_date + INTERVAL 366 DAY AS DATE), evi, 1 FROM x WHERE pixel_id % 2 <> 0 AND obs_date BETWEEN DATE '2000-01-01' AND DATE '2000-01-10'""")
+def e21_pad_year_fake(spark: SparkSession, d: str) -> DataFrame:
+    s = V.season(spark, d).where("pixel_id % 2 = 0 OR year(obs_date) <> 2001").withColumn("qc", F.lit(0))
+    return series.pad_year(s, 2000, 10, fake=True).select("pixel_id", "obs_date", "evi", "qc")
+
+
+@query(f"""WITH {OBS}, a AS (SELECT DISTINCT pixel_id, obs_date FROM obs WHERE sensor='S1'), b AS (SELECT DISTINCT pixel_id, obs_date other FROM obs WHERE sensor='S3'),
+ j AS (SELECT a.pixel_id, a.obs_date, other, row_number() OVER (PARTITION BY a.pixel_id, a.obs_date ORDER BY abs(other-a.obs_date), other DESC) k FROM a LEFT JOIN b ON a.pixel_id=b.pixel_id) SELECT pixel_id, obs_date, other AS match FROM j WHERE k=1""")
+def c2_nearest_date_open(spark: SparkSession, d: str) -> DataFrame:
+    o = V.obs(spark, d)
+    return joins.nearest_date(o.where("sensor = 'S1'"), o.where("sensor = 'S3'"), None, tie="max")
+
+
+@query(f"""WITH {OBS}, a AS (SELECT pixel_id, obs_date, max(nir) x FROM obs WHERE sensor='S1' GROUP BY 1,2), b AS (SELECT pixel_id, obs_date, max(nir) y FROM obs WHERE sensor='S3' GROUP BY 1,2), e AS (SELECT DISTINCT pixel_id, obs_date FROM obs), j AS (SELECT * FROM e LEFT JOIN a USING (pixel_id, obs_date) LEFT JOIN b USING (pixel_id, obs_date))
+ SELECT pixel_id, obs_date, x, y, CASE WHEN year(obs_date) = 1995 THEN 4 WHEN x IS NOT NULL AND y IS NOT NULL THEN 0 WHEN x IS NOT NULL THEN 1 WHEN y IS NOT NULL THEN 2 ELSE 3 END status FROM j""")
+def c6_merge_status(spark: SparkSession, d: str) -> DataFrame:
+    o = V.obs(spark, d)
+    a, b = (o.where(F.col("sensor") == s).groupBy("pixel_id", "obs_date").agg(F.max("nir").alias(n)) for s, n in (("S1", "x"), ("S3", "y")))
+    return joins.merge_products(a, b, "x", "y", expected=o, done=o.where("year(obs_date) = 1995"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, len(list_filter([10.0, 20, 30, 50], lambda b: b <= l_quantity)) raw, greatest(1, least(3, len(list_filter([10.0, 20, 30, 50], lambda b: b <= l_quantity)))) inside, len(list_filter([10.0, 20, 30, 50], lambda b: b <= l_quantity)) - CAST(l_quantity = 50 AS INT) closed,
+ l_partkey - 2*2400 AS shifted, CAST(l_shipdate AS DATE) - DATE '2000-01-01' + 10957 AS days FROM lineitem""")
+def b22_b23_intervals_and_offsets(spark: SparkSession, d: str) -> DataFrame:
+    q, b = F.col("l_quantity").cast("double"), [10.0, 20.0, 30.0, 50.0]
+    n = F.datediff(F.col("l_shipdate").cast("date"), F.lit("2000-01-01").cast("date")) + 1
+    return V.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", X.find_interval(q, b, all_inside=False).alias("raw"), X.find_interval(q, b).alias("inside"), X.find_interval(q, b, False, True).alias("closed"), X.cell_offset(F.col("l_partkey"), 3, 2400).alias("shifted"), X.epoch2000_to_1970(n).alias("days"))
+
+
 @query(f"""WITH {SEASON}, t AS (SELECT pixel_id, arg_max(obs_date, (evi, -epoch(obs_date))) peak, max(evi) high FROM season GROUP BY 1), l AS (SELECT s.pixel_id, peak, high, min(CASE WHEN obs_date<=peak THEN evi END) a, min(CASE WHEN obs_date>peak THEN evi END) b FROM season s JOIN t USING (pixel_id) GROUP BY 1,2,3)
  SELECT s.pixel_id, peak, min(CASE WHEN obs_date<=peak AND evi >= a+0.5*(high-a) THEN obs_date END) rise, min(CASE WHEN obs_date>peak AND evi <= b+0.5*(high-b) THEN obs_date END) fall FROM season s JOIN l USING (pixel_id) GROUP BY 1,2""")
 def e8_crossing_dates(spark: SparkSession, d: str) -> DataFrame:

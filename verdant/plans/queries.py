@@ -105,8 +105,9 @@ def b4_b5_b8_b12_b13_masks(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT o_orderkey, datediff('day', date_trunc('year', o_orderdate), o_orderdate) doy0, dayofyear(o_orderdate) doy1, dayofyear(o_orderdate) + CASE WHEN o_custkey % 2 = 0 THEN 182.5 ELSE 0 END shifted FROM orders""")
 def b17_b20_day_of_year(spark: SparkSession, d: str) -> DataFrame:
-    o, doy = V.table(spark, d, "orders"), F.dayofyear("o_orderdate")
-    return o.select("o_orderkey", F.datediff("o_orderdate", F.trunc("o_orderdate", "year")).cast("long").alias("doy0"), doy.cast("long").alias("doy1"), (doy + F.when(F.col("o_custkey") % 2 == 0, 182.5).otherwise(0.0)).alias("shifted"))
+    day = F.col("o_orderdate")
+    south = F.when(F.col("o_custkey") % 2 == 0, -1.0).otherwise(1.0)
+    return V.table(spark, d, "orders").select("o_orderkey", X.epoch_to_doy0(day).cast("long").alias("doy0"), X.epoch_to_doy1(day).cast("long").alias("doy1"), X.hemisphere_shift(F.dayofyear(day), south).alias("shifted"))
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_discount*10 < 0.25 THEN 3 WHEN l_discount*10 < 0.5 THEN 2 WHEN l_discount*10 < 0.75 THEN 1 ELSE 0 END score,
@@ -214,12 +215,13 @@ def d18_d19_tukey(spark: SparkSession, d: str) -> DataFrame:
     return o.groupBy("pixel_id").agg(F.count("*").alias("n"), F.count("nir").alias("kept"), r6(F.stddev_samp("nir")).alias("sd"))
 
 
-RUNS = """d AS (SELECT pixel_id, obs_date, evi, row_number() OVER w i, CASE WHEN evi IS DISTINCT FROM lag(evi) OVER w THEN 1 ELSE 0 END fresh FROM season WINDOW w AS (PARTITION BY pixel_id ORDER BY obs_date)),
- e AS (SELECT *, sum(fresh) OVER (PARTITION BY pixel_id ORDER BY obs_date) run FROM d), r AS (SELECT pixel_id, run, min(evi) evi, min(i) i, count(*) n FROM e GROUP BY 1,2),
- t AS (SELECT *, lag(evi) OVER w a, lead(evi) OVER w b FROM r WINDOW w AS (PARTITION BY pixel_id ORDER BY run))"""
+#: Changes of value, each with the place of the next one; dates by place.
+RUNS = """c AS (SELECT pixel_id, evi, row_number() OVER w i, lag(evi) OVER w a FROM season WINDOW w AS (PARTITION BY pixel_id ORDER BY obs_date)),
+ r AS (SELECT pixel_id, evi, i, a, lead(i) OVER w j, lead(evi) OVER w b FROM c WHERE a IS NULL OR a <> evi WINDOW w AS (PARTITION BY pixel_id ORDER BY i)),
+ days AS (SELECT pixel_id, list(obs_date ORDER BY obs_date) ds FROM season GROUP BY 1)"""
 
 
-@query(f"""WITH {SEASON}, {RUNS} SELECT d.pixel_id, d.obs_date, d.evi FROM t JOIN d ON d.pixel_id=t.pixel_id AND d.i = t.i + CAST(round_even((t.n-1)/2.0,0) AS BIGINT) WHERE t.evi>a AND t.evi>b""")
+@query(f"""WITH {SEASON}, {RUNS} SELECT r.pixel_id, ds[CAST(i + round_even((j - i - 1)/2.0, 0) AS BIGINT)] obs_date, evi FROM r JOIN days USING (pixel_id) WHERE evi > a AND evi > b""")
 def e1_find_peaks(spark: SparkSession, d: str) -> DataFrame:
     return series.peaks(V.season(spark, d)).select("pixel_id", "obs_date", "evi")
 
