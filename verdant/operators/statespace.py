@@ -135,8 +135,8 @@ def by_buckets(df: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], schema
     """fn over blocks of whole series. buckets: their number; counted if not given."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = buckets or max(least, -(-df.select(key).count() // ROWS))
-    each = lambda b: pd.concat([fn(x.reset_index(drop=True)) for x in blocks(b.drop(columns="_b"), key, width)], ignore_index=True)
-    return df.withColumn("_b", F.pmod(F.xxhash64(key), F.lit(n))).groupBy("_b").applyInPandas(each, schema)
+    each = lambda b: pd.concat([fn(x.reset_index(drop=True)) for x in blocks(b.drop(columns="_bucket"), key, width)], ignore_index=True)
+    return df.withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(n))).groupBy("_bucket").applyInPandas(each, schema)
 
 
 def kf_multi(df: DataFrame, values: list[str], m: Model, smooth: bool = False, key: str = "pixel_id", day: str = "obs_date", buckets: int | None = None, errors: list[Column] | None = None, noise: list[Column] | None = None, growth: Column | None = None, first_mean: list[Column] | None = None, first_variance: list[Column] | None = None) -> DataFrame:

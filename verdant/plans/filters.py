@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import expr as X
-from ..operators import cycles, smoothing, statespace, stats
+from ..operators import cycles, fusion, smoothing, statespace, stats
 from ..sources import views as V
 from .more import DAILY, GAPPY, gappy
 from .queries import OBS, SEASON, query, r6
@@ -114,6 +114,53 @@ def f7_fuse_multiband(spark: SparkSession, d: str) -> DataFrame:
     return statespace.fuse_multiband(s, fine, coarse, [F.abs(f) * 0.07 for f in fine], [F.lit(0.02)] * 4, cov)
 
 
+@query()
+def f6_fuse_by_class(spark: SparkSession, d: str) -> DataFrame:
+    s = two_sensors(spark, d)
+    sd = s.select("cls", F.dayofyear("obs_date").alias("doy")).distinct().withColumn("sd", 0.005 * (1 + F.col("cls")) * (1 + F.col("doy") / 365))
+    return fusion.fuse_by_class(s, "y1", "y2", F.abs("y1") * 0.07, F.lit(0.03), sd, bias=0.01)
+
+
+@query()
+def f8_fuse_rmse_simple(spark: SparkSession, d: str) -> DataFrame:
+    return fusion.fuse_rmse_simple(two_sensors(spark, d), "y1", "y2", F.when(F.col("cls") != 0, F.lit(0.02)))
+
+
+def fine_and_coarse(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    o = V.obs(spark, d)
+    fine = o.where("sensor = 'S1'").groupBy("pixel_id", "obs_date").agg(F.avg("red").alias("red"), F.avg("nir").alias("nir"))
+    coarse = o.where("sensor = 'S3'").groupBy((F.col("pixel_id") % 10).alias("cell"), "obs_date").agg(F.avg("red").alias("red"), F.avg("nir").alias("nir"))
+    pixels = fine.select("pixel_id").distinct()
+    return fine, coarse, pixels.withColumn("cell", F.col("pixel_id") % 10), pixels.where("pixel_id % 4 <> 1")
+
+
+@query(f"""WITH {OBS}, f AS (SELECT pixel_id, obs_date, avg(red) f_red, avg(nir) f_nir FROM obs WHERE sensor='S1' GROUP BY 1, 2), c AS (SELECT pixel_id % 10 cell, obs_date, avg(red) c_red, avg(nir) c_nir FROM obs WHERE sensor='S3' GROUP BY 1, 2),
+ k AS (SELECT DISTINCT pixel_id, pixel_id % 10 cell FROM f), m AS (SELECT k.pixel_id, obs_date, c_red, c_nir FROM c JOIN k USING (cell)), j AS (SELECT * FROM f FULL JOIN m USING (pixel_id, obs_date)), e AS (SELECT pixel_id, coalesce(sqrt(avg((f_red-c_red)*(f_red-c_red))), 100) rmse_red, coalesce(sqrt(avg((f_nir-c_nir)*(f_nir-c_nir))), 100) rmse_nir FROM j GROUP BY 1)
+ SELECT pixel_id, obs_date, {', '.join(f"CASE WHEN pixel_id % 4 <> 1 THEN round({c}, 6) END {c}" for c in ('f_red', 'f_nir', 'c_red', 'c_nir', 'rmse_red', 'rmse_nir'))} FROM j JOIN e USING (pixel_id)""")
+def f9_assemble_measurements(spark: SparkSession, d: str) -> DataFrame:
+    fine, coarse, cells, land = fine_and_coarse(spark, d)
+    out = fusion.assemble_measurements(fine, coarse, cells, ["red", "nir"], land, 100.0)
+    return out.select("pixel_id", "obs_date", *[r6(F.col(c)).alias(c) for c in out.columns[2:]])
+
+
+@query()
+def f10_fuse_weekly(spark: SparkSession, d: str) -> DataFrame:
+    fine, coarse, cells, _ = fine_and_coarse(spark, d)
+    return fusion.fuse_weekly(fusion.assemble_measurements(fine, coarse, cells, ["red", "nir"]), ["red", "nir"])
+
+
+@query()
+def f11_fuse_many_sensors(spark: SparkSession, d: str) -> DataFrame:
+    s = two_sensors(spark, d).withColumns({"y3": F.col("resid") / 1e3, "y4": F.col("y2") * 0.98})
+    return fusion.fuse_many_sensors(s, [["y1", "y3"], ["y2"], ["y4"]], [[0, 1], [0], [0]], [F.lit(0.02), F.lit(None).cast("double"), F.lit(0.03), F.lit(0.05)], 1e-4, 0.1)
+
+
+@query()
+def e34_flux_phenology(spark: SparkSession, d: str) -> DataFrame:
+    s = V.season(spark, d).select("pixel_id", "obs_date", F.when(F.col("flag") != 1, (F.col("evi") + F.col("resid")) / 100).alias("value"), (1 + F.col("flag") / 4).alias("se"))
+    return fusion.flux_phenology(s, 2000)
+
+
 FUSED = dict(w=1e-4, v1=4e-4, v2=1e-3)
 
 
