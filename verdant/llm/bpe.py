@@ -72,7 +72,7 @@ def byte_letters() -> list[str]:
 
 
 class Tokenizer:
-    def __init__(self, file: str, keep: int = 300_000):
+    def __init__(self, file: str, keep: int = 600_000):
         with open(file, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
