@@ -161,3 +161,29 @@ def test_covariance_terms_over_days(spark):
     assert np.allclose(got, want)
     root = [x["p"] for x in multivariate.smooth_covariance(d, ["p", "q"], 2.0, True).orderBy("obs_date").collect()]
     assert np.allclose(root, np.sign(want[:, 0]) * np.sqrt(np.abs(want[:, 0])))
+
+
+@pytest.mark.parametrize("least", [5, 50])
+def test_exact_quantiles_without_a_whole_buffer(spark, least):
+    r = np.random.default_rng(11)
+    for x in (r.normal(size=700), r.integers(0, 4, 700).astype(float), np.r_[np.full(600, 2.0), r.normal(size=100)], np.exp(r.normal(0, 40, 300)), np.array([3.0]), np.full(60, -1.0)):
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "v double").repartition(3)
+        for p in (0.0, 0.02, 0.5, 0.98, 1.0):
+            assert np.isclose(stats.exact_quantile(df, "v", p, least), np.quantile(x, p), rtol=1e-12), p
+    assert stats.exact_quantile(spark.createDataFrame([(None,)], "v double"), "v", 0.5) is None
+
+
+def test_bins_from_the_pixels_first_year(spark):
+    rows = [(1, "S1", "2003-12-30", 10), (1, "S1", "2004-01-01", 30), (1, "S2", "2004-01-07", 5), (1, "S1", "2002-05-01", None), (2, "S3", "2004-12-31", 8)]
+    df = spark.createDataFrame(rows, "pixel_id long, sensor string, d string, v int").selectExpr("pixel_id", "sensor", "CAST(d AS DATE) obs_date", "v")
+    got = {(r["pixel_id"], r["sensor"], str(r["bin"]), r["value"], r["error"], r["n"]) for r in stats.bin_observations(df, "v", share={"S1": 0.1}).collect()}
+    assert got == {(1, "S1", "2003-12-31", 30.0, 3.0, 1), (1, "S1", "2003-12-24", 10.0, 1.0, 1), (1, "S2", "2004-01-07", 5.0, None, 1), (2, "S3", "2004-12-30", 8.0, None, 1)}
+    days = {(r["pixel_id"], str(r["bin"])) for r in stats.bin_observations(df, "v", "daily").collect()}
+    assert days == {(1, "2003-12-30"), (1, "2004-01-01"), (1, "2004-01-07"), (2, "2004-12-31")}
+
+
+def test_edges_of_weeks(spark):
+    df = spark.createDataFrame([(1, f"2015-01-{d:02d}", d) for d in (1, 2, 8, 9)], "pixel_id long, d string, v int").selectExpr("pixel_id", "CAST(d AS DATE) obs_date", "v")
+    left = {(r["week"], r["n"]) for r in stats.weekly_composite(df, "pixel_id", "obs_date", "v").collect()}
+    right = {(r["week"], r["n"], str(r["centre"])) for r in stats.weekly_composite(df, "pixel_id", "obs_date", "v", closed="right", centre=True).collect()}
+    assert left == {(0, 2), (1, 2)} and right == {(0, 2, "2015-01-05"), (1, 1, "2015-01-11")}

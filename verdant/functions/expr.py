@@ -224,3 +224,18 @@ def correlation(a: str | Column, b: str | Column) -> Column:
     both = a.isNotNull() & b.isNotNull()
     x, y = (F.when(both, c.cast("double")) for c in (a, b))
     return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
+
+
+def _middle(a: str) -> str:
+    """SQL for the median of a sorted array; NULL if empty."""
+    return f"(get({a}, (size({a}) - 1) div 2) + get({a}, size({a}) div 2)) / 2"
+
+
+def mad_sql(x: str) -> str:
+    """SQL of the scaled median absolute deviation as one aggregate, for GROUP BY and HAVING; a group's values stand in one array."""
+    return f"element_at(transform(array(array_sort(collect_list(CAST({x} AS DOUBLE)))), s -> 1.4826D * element_at(transform(array(array_sort(transform(s, v -> abs(v - {_middle('s')})))), r -> {_middle('r')}), 1)), 1)"
+
+
+def tukey_bounds_sql(x: str, k: float = 1.5) -> str:
+    """SQL of the quartiles widened by k interquartile ranges, as an aggregate struct (low, high)."""
+    return f"element_at(transform(array(percentile({x}, array(0.25D, 0.75D))), q -> named_struct('low', q[0] - {k}D * (q[1] - q[0]), 'high', q[1] + {k}D * (q[1] - q[0]))), 1)"

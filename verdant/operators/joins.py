@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -125,3 +127,19 @@ def long_to_packed(df: DataFrame, values: list[str], key: str = "pixel_id", day:
 
 def packed_to_long(df: DataFrame, key: str = "pixel_id") -> DataFrame:
     return df.select(key, F.inline("series"))
+
+
+def long_to_wide(df: DataFrame, bands: list[str], days: list, key: str = "pixel_id", day: str = "obs_date") -> DataFrame:
+    """A row for each key with a column YYYYDDD_band for each of the given days and bands; NULL where there is no row."""
+    d = df.select(key, F.date_format(day, "yyyyDDD").alias("_d"), *bands)
+    names = sorted({f"{t:%Y%j}" for t in days})
+    wide = d.groupBy(key).pivot("_d", names).agg(*[F.first(b, True).alias(b) for b in bands])
+    return wide.withColumnsRenamed({n: f"{n}_{bands[0]}" for n in names}) if len(bands) == 1 else wide
+
+
+def wide_to_long(df: DataFrame, bands: list[str], key: str = "pixel_id", day: str = "obs_date") -> DataFrame:
+    """Back from columns YYYYDDD_band: a row for each key and day on which some band has a value."""
+    names = sorted({c.split("_", 1)[0] for c in df.columns if re.fullmatch(r"[0-9]{7}_.+", c)})
+    have = set(df.columns)
+    each = [F.struct(F.to_date(F.lit(n), "yyyyDDD").alias(day), *[(F.col(f"{n}_{b}") if f"{n}_{b}" in have else F.lit(None)).alias(b) for b in bands]) for n in names]
+    return df.select(key, F.inline(F.array(*each))).where(" OR ".join(f"{b} IS NOT NULL" for b in bands))

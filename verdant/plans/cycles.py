@@ -77,3 +77,38 @@ def e33_segment_amplitude(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def e5_j5_segments_cycle(spark: SparkSession, d: str) -> DataFrame:
     return cycles.segments_cycle(rough(spark, d), value="smooth")
+
+
+_UP, _DOWN = (("ogi", 0.15), ("midgup", 0.5), ("mat", 0.9)), (("sen", 0.9), ("midgdown", 0.5), ("dor", 0.15))
+_NAMES = ("ogi", "midgup", "mat", "peak", "sen", "midgdown", "dor")
+
+
+def _metrics_sql(falls: str, filled: str, sides: str) -> str:
+    """mt: places of the dates; q: fill and r2 of each window of days."""
+    up = ", ".join(f"min(i) FILTER (WHERE i <= p AND round(y, 6) >= round(vs + {f}*(vp - vs), 6)) {n}" for n, f in _UP)
+    down = ", ".join(falls.format(f=f) + f" {n}" for n, f in _DOWN)
+    near = " UNION ALL ".join(f"SELECT pixel_id, seg, '{n}' AS name, greatest({n} - 14, 0) a, least({n} + 14, m) b, b - a + 1 AS n FROM mt JOIN size USING (pixel_id)" for n in _NAMES)
+    return f"""{SEGS}, mt AS (SELECT pixel_id, seg, s, p, p AS peak, e, start, segs.peak AS top, stop, vs, vp, {up}, {down}, sum(greatest(y - vs, 0)) FILTER (WHERE i <= p) area FROM segs JOIN x USING (pixel_id) WHERE i BETWEEN s AND e GROUP BY ALL),
+ win AS ({near} UNION ALL {sides}), q AS (SELECT pixel_id, seg, name, count(*) FILTER (WHERE {filled}) / nullif(CAST(n AS DOUBLE), 0) fill, CASE WHEN min(y) < max(y) AND min(smooth) < max(smooth) THEN pow(corr(y, smooth), 2) END r2 FROM win JOIN x USING (pixel_id) WHERE i BETWEEN a AND b GROUP BY pixel_id, seg, name, n),
+ dated AS (SELECT mt.pixel_id, seg, round(vs, 6) evi_min, round(vp - vs, 6) evi_amp, round(area, 6) evi_area, {', '.join(f'(SELECT obs_date FROM x WHERE x.pixel_id = mt.pixel_id AND x.i = mt.{n}) AS {n}' for n in _NAMES)}, mt.top - mt.start AS length_gup, mt.stop - mt.top AS length_gdown FROM mt)"""
+
+
+def _measured(spark: SparkSession, d: str, detailed: bool) -> DataFrame:
+    s = rough(spark, d).withColumn("resid", F.col("smooth") - F.col("y"))
+    out = cycles.segment_metrics(trough_cycles(spark, d), s, detailed=detailed, value="y")
+    return out.withColumns({k: r6(F.col(k)) for k, t in out.dtypes if t == "double"})
+
+
+_SCORE = "coalesce(3 - least(3, greatest(0, CAST(floor(4 * round((4*(1 - fill) + r2)/5, 12)) AS INT))), 3)"
+
+
+@query(f"""WITH {_metrics_sql("max(i) FILTER (WHERE i >= p AND round(y, 6) >= round(ve + {f}*(vp - ve), 6))", "flag NOT IN (0, 1, 2)", "SELECT pixel_id, seg, 'all', s, e, e - s FROM mt")}
+ SELECT dated.* EXCLUDE (length_gup, length_gdown), overall_qa, detailed_qa FROM dated JOIN (SELECT pixel_id, seg, CAST(max({_SCORE}) FILTER (WHERE name = 'all') AS INT) overall_qa, CAST(sum({_SCORE} * CASE name {' '.join(f"WHEN '{n}' THEN {4**j}" for j, n in enumerate(_NAMES))} ELSE 0 END) AS INT) detailed_qa FROM q GROUP BY 1, 2) USING (pixel_id, seg)""")
+def e23_segment_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return _measured(spark, d, False)
+
+
+@query(f"""WITH {_metrics_sql("min(i) FILTER (WHERE i >= p AND round(y, 6) <= round(ve + {f}*(vp - ve), 6))", "flag NOT IN (0, 2)", "SELECT pixel_id, seg, 'gup', s, p, top - start FROM mt UNION ALL SELECT pixel_id, seg, 'gdown', p, e, stop - top FROM mt")}
+ SELECT dated.*, {', '.join(f"(SELECT round({x}, 6) FROM q WHERE q.pixel_id = dated.pixel_id AND q.seg = dated.seg AND name = '{side}') AS {y}_{side}" for side in ('gup', 'gdown') for x, y in (('fill', 'frac_filled'), ('r2', 'spline_r2')))}, {', '.join(f"(SELECT round((4*(1 - fill) + r2)/5, 6) FROM q WHERE q.pixel_id = dated.pixel_id AND q.seg = dated.seg AND name = '{n}') AS {n}_qual" for n in _NAMES)} FROM dated""")
+def e24_segment_metrics_detailed(spark: SparkSession, d: str) -> DataFrame:
+    return _measured(spark, d, True)

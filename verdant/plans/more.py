@@ -512,3 +512,47 @@ def i4_i5_sensor_band_grid(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH {OBS} SELECT CAST(s AS INT) step, CAST(CASE s WHEN 0 THEN count(*) WHEN 1 THEN count(*) FILTER (WHERE snow=0) ELSE count(*) FILTER (WHERE snow=0 AND nir>2000) END AS BIGINT) n FROM obs, range(3) t(s) GROUP BY s""")
 def j2_filter_step_counts(spark: SparkSession, d: str) -> DataFrame:
     return stats.filter_steps(V.obs(spark, d), ["snow = 0", "nir > 2000"])
+
+
+@query(f"""WITH {OBS}, w AS (SELECT pixel_id, year(obs_date) yr, CAST(ceil((dayofyear(obs_date)-1)/7.0) AS INT) - 1 AS week, red FROM obs WHERE red <> 0)
+ SELECT pixel_id, yr, week, round(avg(red),6) value, count(*) n, DATE '1970-01-01' + CAST(round_even((make_date(yr, 1, 1) - DATE '1970-01-01') + 7*week + 3.5, 0) AS INT) AS centre FROM w WHERE week >= 0 GROUP BY 1,2,3""")
+def d23_weekly_composite_right(spark: SparkSession, d: str) -> DataFrame:
+    return stats.weekly_composite(V.obs(spark, d), "pixel_id", "obs_date", "red", closed="right", centre=True).withColumn("value", r6(F.col("value")))
+
+
+def _binned(spark: SparkSession, d: str, res: str) -> DataFrame:
+    o = V.obs(spark, d).withColumn("nir", F.when(F.col("qa") % 5 != 0, F.col("nir")))
+    return stats.bin_observations(o, "nir", res, share={"S1": 0.07, "S2": 0.05}).withColumns({"value": r6(F.col("value")), "error": r6(F.col("error"))})
+
+
+_BINS = """WITH {obs}, o AS (SELECT *, date_trunc('year', min(obs_date) OVER (PARTITION BY pixel_id)) AS f FROM obs WHERE qa % 5 <> 0)
+ SELECT pixel_id, sensor, {bin} AS bin, round(median(nir), 6) AS value, round(median(nir)*CASE sensor WHEN 'S1' THEN 0.07 WHEN 'S2' THEN 0.05 END, 6) AS error, count(*) n FROM o GROUP BY 1, 2, 3"""
+
+
+@query(_BINS.format(obs=OBS, bin="CAST(f AS DATE) + 7*CAST((obs_date - CAST(f AS DATE)) // 7 AS INT)"))
+def d24_bin_weekly(spark: SparkSession, d: str) -> DataFrame:
+    return _binned(spark, d, "weekly")
+
+
+@query(_BINS.format(obs=OBS, bin="obs_date"))
+def d24_bin_daily(spark: SparkSession, d: str) -> DataFrame:
+    return _binned(spark, d, "daily")
+
+
+@query("""SELECT o_custkey pixel_id, make_date(CAST(year(o_orderdate) AS INT), 1, 1) obs_date, max(o_orderkey) b1, CASE WHEN count(*) > 1 THEN count(*) END b2 FROM orders GROUP BY 1, 2""")
+def a8_wide_and_long(spark: SparkSession, d: str) -> DataFrame:
+    o = V.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("pixel_id"), F.trunc("o_orderdate", "year").alias("obs_date"))
+    o = o.agg(F.max("o_orderkey").alias("b1"), F.when(F.count("*") > 1, F.count("*")).alias("b2"))
+    days = [r[0] for r in o.select("obs_date").distinct().collect()]  # one for each year
+    return joins.wide_to_long(joins.long_to_wide(o, ["b1", "b2"], days), ["b1", "b2"])
+
+
+@query(f"""WITH {OBS} SELECT pixel_id, sensor, round(1.4826*mad(CAST(nir AS DOUBLE)), 6) AS mad, round(quantile_cont(nir, 0.25) - 1.5*(quantile_cont(nir, 0.75) - quantile_cont(nir, 0.25)), 6) AS low, round(quantile_cont(nir, 0.75) + 1.5*(quantile_cont(nir, 0.75) - quantile_cont(nir, 0.25)), 6) AS high FROM obs GROUP BY 1, 2""")
+def j6_mad_and_bounds_in_sql(spark: SparkSession, d: str) -> DataFrame:
+    return spark.sql(f"SELECT pixel_id, sensor, round(mad, 6) AS mad, round(b.low, 6) AS low, round(b.high, 6) AS high FROM (SELECT pixel_id, sensor, {X.mad_sql('nir')} AS mad, {X.tukey_bounds_sql('nir')} AS b FROM {{obs}} GROUP BY pixel_id, sensor)", obs=V.obs(spark, d))
+
+
+@query(f"""WITH {OBS}, v AS (SELECT nir - 2500.0 AS v FROM obs), s AS (SELECT greatest(abs(min(v)), abs(max(v))) b, greatest(abs(quantile_cont(v,0.02)), abs(quantile_cont(v,0.98))) q FROM v),
+ pts AS (SELECT i, round(CASE i WHEN 0 THEN -b WHEN 11 THEN b ELSE -q + 2*q*(i-1)/9 END, -2) AS e FROM s, range(12) t(i)) SELECT CAST(row_number() OVER (ORDER BY e) - 1 AS INT) AS i, CAST(e AS DOUBLE) AS at FROM pts GROUP BY e""")
+def d34_stretch_breaks_symmetric(spark: SparkSession, d: str) -> DataFrame:
+    return stats.stretch_breaks(V.obs(spark, d).select((F.col("nir") - 2500.0).alias("v")), "v", n=10, symmetric=True, digits=-2)
