@@ -214,7 +214,7 @@ def test_op5_held_out(spark):
     got = queries.op5_toxicity(spark, "/root/testdata/sf0.01").toPandas().merge(pd.read_parquet("/root/testdata/sf0.01/labels.parquet"), on="doc_id")
     held = got[got.held_out]
     assert got.score.between(0, 1).all() and (held[held.predicted == 1].toxic.mean() > 0.9)
-    assert held.predicted.sum() > 0.5 * held.toxic.sum()
+    assert held.predicted.sum() > 0.75 * held.toxic.sum()
 
 
 def test_op5_learns_terms_of_every_language(spark):
@@ -229,8 +229,18 @@ def test_op5_learns_terms_of_every_language(spark):
     assert toxicity.score(new.limit(0), *toxicity.fit(df.limit(0), df.limit(0))).count() == 0
 
 
+def test_op5_an_accent_tells_words_apart(spark):
+    """Folding makes one word of both; only the accented one is learned, in either normal form and in capitals."""
+    rows = [(i, f"mot {i} " + ("vous réeuxpa" if i % 4 == 0 else "le reeuxpa") + f" et {i % 7}", int(i % 4 == 0)) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    weights, beta = toxicity.fit(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert "=réeuxpa" in weights and "reeuxpa" not in weights
+    new = spark.createDataFrame([(1, "un réeuxpa ici"), (2, "un re\u0301euxpa ici"), (3, "UN RÉEUXPA ICI"), (4, "un reeuxpa ici"), (5, "un xréeuxpa ici")], "doc_id long, text string")
+    assert by_id(toxicity.score(new, weights, beta)).score.ge(0.7).tolist() == [True, True, True, False, False]
+
+
 def test_op5_folding():
-    a = toxicity.automaton({k: 1.0 for k in toxicity.LEXICON})
+    a = toxicity.lexicon({k: 1.0 for k in toxicity.LEXICON})
     assert toxicity.hits("You 1d10t, what a m0rоn", a)[1] == 2 and toxicity.hits("the trash can is full", a)[1] == 0
     assert toxicity.hits(None, a) == (0.0, 0, 0) and toxicity.hits("in 2013 idiotically", a)[1] == 0
 
@@ -424,6 +434,10 @@ def test_op9_ratios_inside_the_mark():
         ("<div class='site-header'><p>Site, with words.</p></div><article><p>Hello there, all of you.</p></article>", "Hello there, all of you."),
         ("<article><p>a < b, and 3 <4 is so.</p><!-- open <p>no</p>", "a < b, and 3 <4 is so."),
         ("<article><p>One, two.</p><p title='open>Three", "One, two."),
+        ("<article><p>Hello there, all of you, on this long and quite sunny day.</p><table><tr><th>Year</th><td>7</td></tr><tr><td><p>x</p></td></tr></table><dl><dt>A</dt><dd>b</dd></dl></article>", "Hello there, all of you, on this long and quite sunny day.\nYear\n7\nx\nA\nb"),
+        ("<header><h1>Site</h1></header><article><header><h1>Title</h1></header><p>Hello there, all of you.</p><footer>End</footer></article>", "Title\nHello there, all of you."),
+        ("<article><p class='share-holders'>Hello there, all of you.</p><p class=share-buttons>Tell your friends, all of them.</p></article>", "Hello there, all of you."),
+        ("<body><div><a href=/>Home</a> <a href=/a>About</a></div><h1>Title</h1>" + "<p>Many words stand here, and they make a sentence; so it goes.</p>" * 3 + "<div>\u00a9 The owners</div>", "Title" + "\nMany words stand here, and they make a sentence; so it goes." * 3),
     ],
 )
 def test_op9_markup(page, text):
@@ -462,7 +476,7 @@ def test_op1_rejects_unlearned_language(spark):
 
 def test_op5_every_homoglyph():
     assert [toxicity.fold(k) for k in toxicity.HOMOGLYPHS] == list(toxicity.HOMOGLYPHS.values())
-    a = toxicity.automaton({k: 1.0 for k in toxicity.LEXICON})
+    a = toxicity.lexicon({k: 1.0 for k in toxicity.LEXICON})
     greek = str.maketrans("ABEZHIKMNOPTYX", "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧ")
     for word in ("MORON", "IDIOT", "BASTARD", "FILTHY"):
         assert toxicity.hits(word.translate(greek), a)[1] == 1, word

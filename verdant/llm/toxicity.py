@@ -2,9 +2,10 @@
 
 Folding maps homoglyphs, capital ones before it lower-cases, drops accents, and maps digits inside words to Latin letters. The
 lexicon is a fixed list of insults and what labelled rows teach: words, and strings of PART letters inside words, that stand in at
-least LEAST toxic rows and in few others (share PURE). Matches of words between boundaries and of parts anywhere add their weight,
-a log odds, once for each term, unless an exception phrase covers them. A logistic model turns hits, normalised by length, into a
-score. Terms, weights and model come from at most about MAX_LABELLED labelled rows, drawn by a hash of doc_id.
+least LEAST toxic rows and in few others (share PURE). Words with letters beyond ASCII are learned in their own spelling, too, as an
+accent alone may tell an insult from a plain word. Matches of words between boundaries and of parts anywhere add their weight, a log
+odds, once for each term, unless an exception phrase covers them. A logistic model turns hits, normalised by length, into a score.
+Terms, weights and model come from at most about MAX_LABELLED labelled rows, drawn by a hash of doc_id; every term that passes counts.
 
 Null or empty text: the score of a text without hits. Rows without labels are scored, too. Repeated rows: each is scored. Very
 long texts: whole. Ties between terms: all count. Other columns are not read. No labelled rows of both classes: a fixed model.
@@ -17,6 +18,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import ahocorasick
 import numpy as np
@@ -35,8 +37,7 @@ EXCEPTIONS = "trash can|trash bin|trash collection|trash bag|garbage collection|
 HOMOGLYPHS = dict(zip("аеорсухкіјѕԁԛԝһոвнмтΑΒΕΖΗΙΚΜΝΟΡΤΥΧαορυνικ", "aeopcyxkijsdqwhnbhmtabezhikmnoptyxaopuvik"))
 DIGITS = dict(zip("013457@$", "oieastas"))
 MAX_LABELLED = 30_000
-MAX_TERMS = 5000  # learned ones, those of most toxic rows first
-PART, LEAST, PURE = 6, 5, 0.9
+PART, LEAST, PURE = 6, 3, 0.75
 
 _ONE, _DIGIT = ({ord(a): b for a, b in m.items()} for m in (HOMOGLYPHS, DIGITS))
 WORDS = re.compile(r"\S+")
@@ -62,43 +63,60 @@ def _letters(w: str) -> str:
     return w
 
 
-def automaton(weights: dict[str, float]) -> ahocorasick.Automaton:
-    """Terms that begin with * match anywhere, the others between boundaries."""
-    a = ahocorasick.Automaton()
-    held: dict[str, list] = {}
+def spelled(text: str) -> str:
+    """Small letters with their accents."""
+    return unicodedata.normalize("NFC", text.lower())
+
+
+class Lexicon(NamedTuple):
+    folded: ahocorasick.Automaton
+    spelled: ahocorasick.Automaton
+
+
+def lexicon(weights: dict[str, float]) -> Lexicon:
+    """Terms that begin with * match anywhere in the folded text, those with = between boundaries of the text as spelled, the others between
+    boundaries of the folded one."""
+    held: tuple[dict[str, list], dict[str, list]] = {}, {}
     for k, w in weights.items():
-        held.setdefault(k.lstrip("*"), []).append((w, k[0] == "*", False))
+        held[k[0] == "="].setdefault(k.lstrip("*="), []).append((w, k, False))
     for k in EXCEPTIONS:
-        held.setdefault(k, []).append((0.0, False, True))
-    for k, found in held.items():
-        a.add_word(k, (k, found))
-    if held:
-        a.make_automaton()
-    return a
+        held[0].setdefault(k, []).append((0.0, k, True))
+    out = Lexicon(ahocorasick.Automaton(), ahocorasick.Automaton())
+    for a, terms_ in zip(out, held):
+        for k, found in terms_.items():
+            a.add_word(k, (len(k), found))
+        if terms_:
+            a.make_automaton()
+    return out
+
+
+def matches(t: str, a: ahocorasick.Automaton) -> Iterator[tuple[int, int, float, str, bool]]:
+    for end, (n, kinds) in a.iter(t):
+        start = end - n + 1
+        whole = not ((start and t[start - 1].isalnum()) or (end + 1 < len(t) and t[end + 1].isalnum()))
+        for w, k, exception in kinds:
+            if whole or k[0] == "*":
+                yield start, end + 1, w, k, exception
 
 
-def hits(text: str | None, a: ahocorasick.Automaton) -> tuple[float, int, int]:
+def hits(text: str | None, a: Lexicon) -> tuple[float, int, int]:
     """Weight of the terms that hit, their number, and the number of words."""
     if not text:
         return 0.0, 0, 0
     t = fold(text)
-    found, excused = [], []
-    for end, (k, kinds) in a.iter(t):
-        start = end - len(k) + 1
-        whole = not ((start and t[start - 1].isalnum()) or (end + 1 < len(t) and t[end + 1].isalnum()))
-        for w, anywhere, exception in kinds:
-            if anywhere or whole:
-                (excused if exception else found).append((start, end + 1, w, k))
-    if excused:
-        found = [f for f in found if not any(s <= f[0] and f[1] <= e for s, e, *_ in excused)]
-    terms = {f[3]: f[2] for f in found}
-    return sum(terms.values()), len(terms), len(t.split())
+    found = list(matches(t, a.folded))
+    excused = [f[:2] for f in found if f[4]]
+    terms_ = {f[3]: f[2] for f in found if not f[4] and not any(s <= f[0] and f[1] <= e for s, e in excused)}
+    if len(a.spelled) and not text.isascii():
+        terms_ |= {f[3]: f[2] for f in matches(spelled(text), a.spelled)}
+    return sum(terms_.values()), len(terms_), len(t.split())
 
 
 def terms(text: str) -> set[str]:
-    """Words of a folded text, and the strings inside longer ones, marked by *."""
-    out = {w for w in TERM.findall(text) if len(w) > 2}
-    return out | {"*" + w[i : i + PART] for w in out for i in range(len(w) - PART + 1)}
+    """Words of the folded text, the strings inside longer ones, marked by *, and words beyond ASCII as spelled, marked by =."""
+    out = {w for w in TERM.findall(fold(text)) if len(w) > 2}
+    own = () if text.isascii() else ("=" + w for w in TERM.findall(spelled(text)) if len(w) > 2 and not w.isascii())
+    return out | {"*" + w[i : i + PART] for w in out for i in range(len(w) - PART + 1)} | set(own)
 
 
 def features(weight: np.ndarray, n: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -112,14 +130,14 @@ def learned(sample: DataFrame) -> dict[str, float]:
         all_, toxic = Counter(), Counter()
         for b in batches:
             for t, y in zip(b["text"], b["toxic"]):
-                found = terms(fold(t)) if t else ()
+                found = terms(t) if t else ()
                 all_.update(found)
                 if y:
                     toxic.update(found)
         yield pd.DataFrame({"term": pd.Series(list(all_), dtype=object), "n": list(all_.values()), "t": [toxic[k] for k in all_]})
 
     seen = sample.select("text", "toxic").mapInPandas(count, "term string, n bigint, t bigint").groupBy("term").agg(F.sum("n").alias("n"), F.sum("t").alias("t"))
-    rows = seen.where((F.col("t") >= LEAST) & (F.col("t") >= PURE * F.col("n"))).orderBy(F.desc("t"), "term").limit(MAX_TERMS).collect()
+    rows = seen.where((F.col("t") >= LEAST) & (F.col("t") >= PURE * F.col("n"))).collect()  # terms of the bounded sample
     return {r["term"]: float(np.log((r["t"] + 0.5) / (r["n"] - r["t"] + 0.5))) for r in rows}
 
 
@@ -134,7 +152,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> tup
     weights = {**plain, **learned(sample)}
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a = automaton(weights)
+        a = lexicon(weights)
         for b in batches:
             yield pd.DataFrame([(int(y), *hits(t, a)) for t, y in zip(b["text"], b["toxic"])], columns=["toxic", "weight", "n", "words"])
 
@@ -161,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_LABELLED) -> tup
     return weights, beta
 
 
-def rate(texts: Iterable[str | None], a: ahocorasick.Automaton, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def rate(texts: Iterable[str | None], a: Lexicon, beta: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Score and number of terms of each text."""
     got = np.array([hits(t, a) for t in texts], float).reshape(-1, 3)
     return 1 / (1 + np.exp(-np.clip(features(got[:, 0], got[:, 1], got[:, 2]) @ beta, -30, 30))), got[:, 1].astype("int64")
@@ -171,7 +189,7 @@ def score(docs: DataFrame, weights: dict[str, float], beta: np.ndarray) -> DataF
     """doc_id, score and n_hits of each document."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        a = automaton(weights)
+        a = lexicon(weights)
         for b in batches:
             s, n = rate(b["text"], a, beta)
             yield pd.DataFrame({"doc_id": b["doc_id"], "score": s, "n_hits": n})
@@ -186,7 +204,7 @@ def clean(docs: DataFrame, weights: dict[str, float], beta: np.ndarray, level: f
     @F.pandas_udf("boolean")
     def toxic(texts: pd.Series) -> pd.Series:
         if not held:
-            held.append(automaton(weights))
+            held.append(lexicon(weights))
         return pd.Series(rate(texts, held[0], beta)[0] >= level)
 
     return docs.where(~toxic("text"))
