@@ -527,3 +527,24 @@ def test_op7_small_dictionaries_forget_and_find_again():
     for t in texts:
         assert small.digest(t) == large.digest(t) and small.encode(t) == large.encode(t)
     assert max(map(len, (small.ids, small.texts, small.pieces, small.ids.old))) <= 7 and small.ids.old
+
+
+def test_op7_one_dictionary():
+    """A worker keeps one entry for a word and each piece of it, not one of its own for ids, texts and pieces; pieces alone are cut into themselves."""
+    from tokenizers import Tokenizer
+
+    from verdant.llm import bpe
+    from verdant.llm.queries import tokenizer_file
+
+    own, t = bpe.Tokenizer(tokenizer_file(), keep=1000), Tokenizer.from_file(tokenizer_file())
+    texts = ["plain words only", "don't it's 'sun' ''s --'ll 'Ve x'd2 12ab, (c) état... œuvre's ''' '", "a,b;c 3.14 ½²x <|x|> \\xff \\x00 ſtraße"]
+    texts += ["'" * a + x + "'" * b + y for a in range(3) for b in range(3) for x in ("s", "re", "-", "7", "é") for y in ("ll", "t2", "")]
+    for x in texts:
+        ids = t.encode(x, add_special_tokens=False).ids
+        got = own.digest(x)
+        assert own.encode(x) == ids and got[1] == len(ids)
+        assert got[3] == hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    fresh = bpe.Tokenizer(tokenizer_file())
+    fresh.digest("alpha beta gamma,")
+    held = {id(k): len(k) for k in (fresh.ids, fresh.texts, fresh.pieces)}
+    assert sum(held.values()) == 5  # the three words, and the pieces "gamma" and ","

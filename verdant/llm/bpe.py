@@ -2,8 +2,8 @@
 
 Each piece of the text keeps the ranks of its adjacent pairs in a tree of minima. The root names the lowest rank and,
 among equals, the leftmost pair; a merge changes three leaves, each a logarithmic update. Merging ends when the root
-holds no mergeable pair. Distinct words are encoded once for each worker and kept in dictionaries of bounded size,
-which forget those that were not met for long.
+holds no mergeable pair. Distinct words are encoded once for each worker and kept in two generations of bounded size,
+which forget those that were not met for long. Words and their pieces share one dictionary of ids; the decoded text follows from the ids.
 
 Null text: as empty; no tokens. Empty table: no rows. Repeated rows: each is encoded. Very long texts and pieces: whole. Ties
 between pairs: the leftmost. digests() ignores other columns; encoded() keeps them, but for those named as its own four.
@@ -53,15 +53,15 @@ class Kept(dict):
 
 
 class Words(Kept):
-    """Words to their packed ids (named: to their tokens joined by a space), each found when first asked for."""
+    """Words and pieces of words to their packed ids, each found when first asked for."""
 
-    def __init__(self, tokenizer: Tokenizer, named: bool, keep: int):
+    def __init__(self, tokenizer: Tokenizer, keep: int):
         super().__init__(keep)
-        self.tokenizer, self.named = tokenizer, named
+        self.tokenizer = tokenizer
 
     def __missing__(self, word: bytes):
         value = self.again(word)
-        return self.tokenizer.learn(word)[self.named] if value is None else value
+        return self.tokenizer.learn(word) if value is None else value
 
 
 def byte_letters() -> list[str]:
@@ -85,7 +85,9 @@ class Tokenizer:
         self.split = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.names = {i: t for t, i in (self.vocab | self.special).items()}
         self.inner, self.last = ([self.vocab.get(x + end) for x in byte_letters()] for end in ("", self.suffix))
-        self.pieces, self.ids, self.texts = Kept(keep), Words(self, False, keep), Words(self, True, keep)
+        # one dictionary for all: a piece alone is cut into itself, so it has the ids of the word of its letters, and ids tell the tokens
+        self.ids = self.pieces = self.texts = Words(self, keep)
+        self.tokens = [self.names.get(i) for i in range(max(self.names) + 1)]
 
     def merge(self, ids: list[int]) -> list[int]:
         """A tree of minima over the pairs' (rank, place) as one number: the root is the leftmost pair of the lowest rank."""
@@ -129,30 +131,21 @@ class Tokenizer:
                     at >>= 1
         return [x for x in ids if x >= 0]
 
-    def piece(self, piece: str) -> list[int]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            ids = self.pieces.again(piece)
-        if ids is None:
-            data = piece.encode("utf-8")
-            ids = [self.inner[b] for b in data[:-1]] + [self.last[data[-1]]]
-            if None in ids:
-                ids = [i for i in ids if i is not None]
-            if len(ids) > 1:
-                ids = self.merge(ids)
-            if len(piece) <= 64:
-                self.pieces.put(piece, ids)
-        return ids
-
-    def learn(self, word: bytes) -> tuple[bytes, str]:
-        """Packed ids of a word and their tokens; both dictionaries keep them, as far as their bound goes."""
+    def piece(self, piece: bytes) -> bytes:
+        """Packed ids of a piece, without a look at the dictionary."""
+        ids = [self.inner[b] for b in piece[:-1]] + [self.last[piece[-1]]]
+        if None in ids:
+            ids = [i for i in ids if i is not None]
+        return array("I", self.merge(ids) if len(ids) > 1 else ids).tobytes()
+
+    def learn(self, word: bytes) -> bytes:
+        """Packed ids of a word; the dictionary keeps them and those of its pieces, as far as its bound goes."""
         if word[:1] == b"\xff":
-            return array("I", [self.special[word[1:].decode()]]).tobytes(), word[1:].decode()
-        ids = [i for piece in PIECES.findall(word.decode("utf-8")) for i in self.piece(piece)]
-        out = array("I", ids).tobytes(), " ".join([self.names[i] for i in ids])
+            return array("I", [self.special[word[1:].decode()]]).tobytes()
+        found = PIECES.findall(word.decode("utf-8"))
+        out = self.piece(word) if len(found) == 1 else b"".join([self.ids[p.encode("utf-8")] for p in found])
         if len(word) <= 64:
-            self.ids.put(word, out[0])
-            self.texts.put(word, out[1])
+            self.ids.put(word, out)
         return out
 
     def words(self, text: str) -> list[bytes]:
@@ -182,9 +175,8 @@ class Tokenizer:
 
     def digest(self, text: str | None) -> tuple[bytes, int, str, str]:
         """Packed ids, their number, and hashes of the ids and of the text that they decode to."""
-        words = self.words(text) if text else []
-        ids = b"".join(map(self.ids.__getitem__, words))
-        texts = " ".join(filter(None, map(self.texts.__getitem__, words)))
+        ids = b"".join(self.packed(text)) if text else b""
+        texts = " ".join(map(self.tokens.__getitem__, array("I", ids)))
         return ids, len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(texts.encode()).hexdigest()
 
 
