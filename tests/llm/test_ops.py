@@ -1,5 +1,6 @@
 """The ten operators against brute force, on the smallest tables plus hand-made rows."""
 
+import copy
 import hashlib
 import itertools
 import math
@@ -377,6 +378,49 @@ def test_op10_trains_on_all_rows(spark):
     assert read.sum() == 48
 
 
+def test_op10_words_at_once():
+    """Equal words have equal hashes and others do not, whatever their length, place, case or neighbours; every text ends once."""
+    r = np.random.default_rng(5)
+    texts = [None, "", " ", "\n\t", "A", "a", "\x00", "\x00\x00 \x00", "É é", "x y z\x1cw", "\ud800 q", *["b" * k for k in range(1, 140)], *["B" * k + " c" for k in (7, 8, 9, 16, 63, 64, 65, 200_000)]]
+    texts += [" ".join("".join(r.choice(list("abAB\x00\x0bé "), 30)) for _ in range(40)) for _ in range(30)]
+    h, n = neural.word_hashes(texts)
+    words = [[*(t or "").encode("utf-8", "surrogatepass").lower().split(), None] for t in texts]
+    assert n.tolist() == [*map(len, words)]
+    pairs = set(zip([w for x in words for w in x], h.tolist()))
+    assert len(pairs) == len({w for w, _ in pairs}) == len({k for _, k in pairs})
+    assert neural.word_hashes([])[0].size == 0
+
+
+def test_op10_steps_use_few_calls(monkeypatch):
+    """A step multiplies seven times in all and places that the window before has scored are not scored again; it steps down the gradient of the loss."""
+    calls, rows = [], []
+    monkeypatch.setattr(neural, "product", lambda a, b, f=neural.product: calls.append(a.shape) or f(a, b))
+    ids = np.random.default_rng(2).integers(0, 50, (neural.BATCH, neural.WINDOW))
+    model = neural.Attention(50, np.ones(50))
+    start = copy.deepcopy(model.p)
+    model.step(ids, {k: np.full_like(v, 1e12) for k, v in model.p.items()}, 1e6)  # so large a divisor leaves the gradient
+    assert len(calls) <= 7
+
+    def loss(p):
+        m = neural.Attention(50, np.ones(50))
+        m.p = p
+        x = np.c_[np.full(len(ids), m.bos), ids[:, :-1]]
+        *_, y, raised = m.forward(x)
+        return -(y[np.arange(ids.size), m.of[ids.ravel()]] - np.log(raised.sum(1))).mean(dtype=float)
+
+    for k, v in start.items():
+        g = start[k] - model.p[k]
+        i = np.unravel_index(np.abs(g).argmax(), g.shape)
+        up, down = ({**start, k: v.copy()} for _ in range(2))
+        up[k][i] += 0.03
+        down[k][i] -= 0.03
+        assert math.isclose((loss(up) - loss(down)) / 0.06, g[i], rel_tol=0.05, abs_tol=2e-5), k
+    calls.clear()
+    monkeypatch.setattr(neural.Attention, "forward", lambda self, x, *a, f=neural.Attention.forward: rows.append(out := f(self, x, *a)) or out)
+    model.score([ids.ravel()[: neural.WINDOW + 3 * (neural.WINDOW - neural.CONTEXT)]])
+    assert sum(len(x[-1]) for x in rows) == neural.WINDOW + 3 * (neural.WINDOW - neural.CONTEXT)
+
+
 def test_op10_held_out(docs, rows):
     """Training helps on texts that it did not read."""
     held = rows.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 7 == 2)
