@@ -17,14 +17,17 @@ from verdant.llm import bpe, decontam, jaccard, secrets, toxicity
 from verdant.llm.common import cut, small_batches, table
 from verdant.llm.queries import tokenizer_file, toxic_model
 
+#: Rows of an Arrow batch: the stages share their executors' memory, and what one took outside the heap stays.
+BATCH = 200
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    small_batches(spark, BATCH)
     return toxicity.clean(docs, *toxic_model(spark, sf_dir))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    small_batches(spark, BATCH)
     return jaccard.keep_first(docs)
 
 
@@ -38,12 +41,12 @@ def redacted(text):
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    small_batches(spark, BATCH)
     return docs.withColumn("text", redacted("text")).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    small_batches(spark)
+    small_batches(spark, BATCH)
     return bpe.encoded(docs, tokenizer_file())
 
 

@@ -7,6 +7,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -592,3 +593,30 @@ def test_op7_one_dictionary():
     fresh.digest("alpha beta gamma,")
     held = {id(k): len(k) for k in (fresh.ids, fresh.texts, fresh.pieces)}
     assert sum(held.values()) == 5  # the three words, and the pieces "gamma" and ","
+
+
+def test_op7_encoded_leaves_no_words_in_the_workers(spark):
+    """Rows and digests are those of digests(), in batches of any size; once a task is over, its worker holds none of its words."""
+    from verdant.llm import bpe
+    from verdant.llm.queries import tokenizer_file
+
+    texts = [f"zqxwvforget{i % 7} don't, zqxwvforget again {i}" for i in range(300)] + [None, "", "  "]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "11")
+        got = bpe.encoded(docs, tokenizer_file()).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+    @F.pandas_udf("long")
+    def held(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import gc
+
+        for b in batches:
+            yield b * 0 + sum(any(k.startswith(b"zqxwvforget") for k in (*x, *x.old)) for x in gc.get_objects() if type(x).__name__ == "Words")
+
+    assert spark.range(8, numPartitions=8).agg(F.sum(held("id"))).first()[0] == 0
+    own = bpe.Tokenizer(tokenizer_file())
+    assert {r["doc_id"]: (bytes(r["ids"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got} == {i: own.digest(t) for i, t in enumerate(texts)}
+    assert len(got) == len(texts)

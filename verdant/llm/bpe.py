@@ -2,8 +2,8 @@
 
 Each piece of the text keeps the ranks of its adjacent pairs in a tree of minima. The root names the lowest rank and,
 among equals, the leftmost pair; a merge changes three leaves, each a logarithmic update. Merging ends when the root
-holds no mergeable pair. Distinct words are encoded once for each worker and kept in two generations of bounded size,
-which forget those that were not met for long. Words and their pieces share one dictionary of ids; the decoded text follows from the ids.
+holds no mergeable pair. Distinct words are encoded once for each worker (encoded(): each task) and kept in two generations of
+bounded size, which forget those that were not met for long. Words and their pieces share one dictionary of ids; the decoded text follows from the ids.
 
 Null text: as empty; no tokens. Empty table: no rows. Repeated rows: each is encoded. Very long texts and pieces: whole. Ties
 between pairs: the leftmost. digests() ignores other columns; encoded() keeps them, but for those named as its own four.
@@ -51,6 +51,10 @@ class Kept(dict):
             self.put(key, value)
         return value
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
 
 class Words(Kept):
     """Words and pieces of words to their packed ids, each found when first asked for."""
@@ -181,8 +185,8 @@ class Tokenizer:
 
 
 @lru_cache(maxsize=2)
-def load(file: str) -> Tokenizer:
-    return Tokenizer(file)
+def load(file: str, keep: int = 600_000) -> Tokenizer:
+    return Tokenizer(file, keep)
 
 
 def encode(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -210,12 +214,20 @@ def digests(docs: DataFrame, file: str, id_col: str = "doc_id", text_col: str =
 
 
 def encoded(docs: DataFrame, file: str, text_col: str = "text") -> DataFrame:
-    """docs with all its columns, and n_tokens, ids (packed, little-endian unsigned 32-bit) and the two hashes."""
+    """docs with all its columns, and n_tokens, ids (packed, little-endian unsigned 32-bit) and the two hashes.
+
+    A stage among others: the words, fewer of them than digests() keeps, go at the end of each task, as the workers go on to other stages.
+    """
 
     names = ["ids", "n_tokens", "ids_sha256", "decoded_sha256"]
 
     @F.pandas_udf("ids binary, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([*map(load(file).digest, texts)], columns=names)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        tok = load(file, 200_000)
+        try:
+            for texts in batches:
+                yield pd.DataFrame([*map(tok.digest, texts)], columns=names)
+        finally:
+            tok.ids.forget()
 
     return docs.withColumn("_verdant_ids", run(text_col)).select(*[F.col(f"`{c}`") for c in docs.columns if c not in names], "_verdant_ids.*")
