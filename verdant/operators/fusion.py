@@ -7,11 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import replace
+from datetime import date, timedelta
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.views import days
 from . import phenology
 from .joins import complete_calendar
 from .series import interpolate, longest_gap, order, pad_year
@@ -94,9 +96,9 @@ def flux_phenology(df: DataFrame, year: int, weight: Callable[[Column], Column]
     """The yearly record of daily fluxes (key, day, value, se): a year padded from its neighbours, or at the ends of the record from itself, without gaps over max_span days, smoothed with weights of the standard errors. Missing days have quality 2, padded ones 1. Series with a longer gap or without the year have no row."""
     d = df.select(key, day, F.col("value").cast("double").alias("value"), weight(F.col("se")).cast("double").alias("w")).withColumn("qc", F.lit(0))
     d = pad_year(d.join(d.where(F.year(day) == year).select(key).distinct(), key, "left_semi"), year, pad_days, fake, key, day)
-    first, last = (F.lit(f"{y}-01-01").cast("date") for y in (year, year + 1))
-    days = d.sparkSession.range(1).select(F.explode(F.sequence(F.date_sub(first, pad_days), F.date_add(last, pad_days - 1))).alias(day))
-    d = complete_calendar(d, days, key, day).withColumns({"w": F.coalesce("w", F.lit(0.0)), "flag": F.when(F.col("value").isNull(), 2).otherwise(F.col("qc"))})
+    pad = timedelta(pad_days)
+    every = days(d.sparkSession, date(year, 1, 1) - pad, date(year, 12, 31) + pad, day)
+    d = complete_calendar(d, every, key, day).withColumns({"w": F.coalesce("w", F.lit(0.0)), "flag": F.when(F.col("value").isNull(), 2).otherwise(F.col("qc"))})
     usable = longest_gap(d, "value", key, day, max_span).where("usable").select(key)
     d = d.join(usable, key, "left_semi")
     s = d.join(smooth(d, "value", strength, weight="w", floored=False, key=key, day=day), [key, day])
