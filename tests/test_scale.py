@@ -1,7 +1,9 @@
 """Plans that hold when tables grow."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from verdant.operators import multivariate
 from verdant.plans import QUERIES
 from verdant.sources import views as V
 
@@ -24,6 +26,17 @@ def test_season_is_not_taken_for_small(spark):
     assert int(str(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) >= 8 * d.count()
 
 
-@pytest.mark.parametrize("name", ["a7_assemble_three_years"])
+@pytest.mark.parametrize("name", ["a7_assemble_three_years", "e34_flux_phenology"])
 def test_daily_tables_are_not_broadcast(spark, name):
     assert "BroadcastHashJoin" not in planned(spark, name)
+
+
+def test_sizes_of_classes_are_sent_and_not_their_rows(spark, monkeypatch):
+    """Without a class of one pixel the changes are computed once, in one shuffle, and the sample sends only a row for each class."""
+    s = V.season(spark, SF).withColumns({"a": F.col("evi") / 1e4, "cls": F.col("pixel_id") % 3})
+    plan = multivariate.bounded_sample(s, "cls", "pixel_id", 10)._jdf.queryExecution().optimizedPlan().toString()
+    assert "rightHint=(strategy=broadcast)" in plan.split("\n")[1] + plan.split("\n")[0] + plan.split("\n")[2]
+    calls = []
+    monkeypatch.setattr(multivariate, "daily_differences", lambda *a, f=multivariate.daily_differences: calls.append(out := f(*a)) or out)
+    assert multivariate.process_noise_by_class(s, ["a"], "cls").count() == 3 * 364
+    assert len(calls) == 1 and "Join" not in calls[0]._jdf.queryExecution().optimizedPlan().toString().split("FlatMapGroups")[0]
