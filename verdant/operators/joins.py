@@ -97,12 +97,16 @@ def extract_at_sites(obs: DataFrame, sites: DataFrame, on: str = "pixel_id") ->
 
 
 def tiles_intersecting(scenes: DataFrame, tiles: DataFrame, size: float) -> DataFrame:
-    """Pairs of overlapping boxes (x0, x1, y0, y1 of scenes; tx0, tx1, ty0, ty1 of tiles, each at most size wide), by bins of size: an equi-join."""
+    """Pairs of overlapping boxes (x0, x1, y0, y1 of scenes; tx0, tx1, ty0, ty1 of tiles, each at most size wide), by bins of size: an equi-join.
+
+    A pair counts only in the bin of the lower left corner of its overlap, so it comes once and no pairs are shuffled.
+    """
     cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / size), F.floor(F.col(b) / size)))
     s = scenes.withColumn("_bx", cells("x0", "x1")).withColumn("_by", cells("y0", "y1"))
     t = tiles.withColumn("_bx", cells("tx0", "tx1")).withColumn("_by", cells("ty0", "ty1"))
     hit = s.join(t, ["_bx", "_by"]).where("x0 <= tx1 AND x1 >= tx0 AND y0 <= ty1 AND y1 >= ty0")
-    return hit.drop("_bx", "_by").distinct()
+    corner = lambda a, b: F.floor(F.greatest(a, b) / size)
+    return hit.where((F.col("_bx") == corner("x0", "tx0")) & (F.col("_by") == corner("y0", "ty0"))).drop("_bx", "_by")
 
 
 def coverage_check(pairs: DataFrame, existing: DataFrame, keys: list[str]) -> DataFrame:
