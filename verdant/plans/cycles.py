@@ -41,8 +41,8 @@ SEGS = f"""{FILTERED}, pk AS (SELECT pixel_id, k, ps[k].i pi, ps[k].y py, coales
   FROM up JOIN dn USING (pixel_id, k) JOIN x xs ON xs.pixel_id = up.pixel_id AND xs.i = s JOIN x xp ON xp.pixel_id = up.pixel_id AND xp.i = pi JOIN x xe ON xe.pixel_id = up.pixel_id AND xe.i = e WHERE s > 0 AND e > 0)"""
 
 
-def trough_cycles(spark: SparkSession, d: str) -> DataFrame:
-    return cycles.segments_trough(rough(spark, d), value="y")
+def trough_cycles(spark: SparkSession, d: str, curves: bool = False) -> DataFrame:
+    return cycles.segments_trough(rough(spark, d), value="y", curves=curves)
 
 
 @query(f"""WITH {SEGS} SELECT pixel_id, CAST(seg AS INT) seg, start, peak, stop FROM segs""")
@@ -54,7 +54,7 @@ def e6_j5_segments_trough(spark: SparkSession, d: str) -> DataFrame:
  SELECT pixel_id, seg, side, threshold, min(obs_date) FILTER (WHERE CASE WHEN side = 'up' THEN i <= p AND round(y, 6) >= round(vs + (vp - vs)*threshold, 6) ELSE i >= p AND round(y, 6) <= round(ve + (vp - ve)*threshold, 6) END) AS at
  FROM segs JOIN x USING (pixel_id) CROSS JOIN th WHERE i BETWEEN s AND e GROUP BY 1, 2, 3, 4""")
 def e26_segment_dates(spark: SparkSession, d: str) -> DataFrame:
-    return cycles.segment_dates(trough_cycles(spark, d), rough(spark, d), (0, 0.2, 0.5, 1), (0.9, 0.5, 0), value="y")
+    return cycles.segment_dates(trough_cycles(spark, d, True), None, (0, 0.2, 0.5, 1), (0.9, 0.5, 0), value="y")
 
 
 _SIDE = "round(1 - sum((raw - smooth)*(raw - smooth)) FILTER (WHERE {w}) / nullif(var_pop(raw) FILTER (WHERE {w}) * count(raw) FILTER (WHERE {w}), 0), 6) {s}_r2, round(count(*) FILTER (WHERE {w} AND seen AND raw IS NULL) / nullif(count(*) FILTER (WHERE {w} AND seen), 0), 6) {s}_missing, count(*) FILTER (WHERE {w} AND seen AND flag = 4) {s}_snow"
@@ -71,7 +71,7 @@ def e25_segment_fit_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"""WITH {SEGS} SELECT pixel_id, seg, round(vp - vs, 6) amplitude FROM segs""")
 def e33_segment_amplitude(spark: SparkSession, d: str) -> DataFrame:
-    return cycles.segment_amplitude(trough_cycles(spark, d), rough(spark, d), value="y").withColumn("amplitude", r6(F.col("amplitude")))
+    return cycles.segment_amplitude(trough_cycles(spark, d, True), None, value="y").withColumn("amplitude", r6(F.col("amplitude")))
 
 
 @query()
